@@ -15,41 +15,38 @@ DIGITS = "0123456789"
 COUNT_BITS = 12
 
 
-def composition_key(counts: list[Column]) -> Column:
-    """One BIGINT for the five counts; null if a count is null or does not fit."""
+def key_of_numbers(z: Column) -> Column:
+    """Composition key of an array of atomic numbers; null for a null array, 0 for an empty one or unknown numbers only."""
     key = F.lit(0).cast("bigint")
-    fits = F.lit(True)
-    for place, count in enumerate(counts):
-        count = count.cast("bigint")
-        fits = fits & count.between(0, (1 << COUNT_BITS) - 1)
-        key = key + F.shiftleft(count, COUNT_BITS * place)
-    return F.when(fits, key)
+    for place, (_, number) in enumerate(ELEMENTS):
+        key = key + F.shiftleft(F.size(F.array_remove(F.transform(z, _is(number)), False)).cast("bigint"), COUNT_BITS * place)
+    return F.when(z.isNotNull(), key)
 
 
-def key_of_numbers(z: Column) -> Column:
-    """Composition key of an array of atomic numbers; null for a null array, 0 for an empty one."""
-    return composition_key([F.size(F.filter(z, lambda x, n=n: x == n)) for _, n in ELEMENTS])
+def _is(number: int):
+    return lambda x: F.coalesce(x == number, F.lit(False))
 
 
 def plain_formula(formula: Column) -> Column:
     """The formula in capitals and plain digits, without separators; null if anything else is left in it."""
     text = F.translate(formula, SUBSCRIPTS + FULL_WIDTH, DIGITS + DIGITS)
     text = F.upper(F.regexp_replace(text, r"[^\p{L}\p{Nd}()\[\]+.*]", ""))
-    return F.when(text.rlike(r"^(?:[CHNOF]\d{0,4})+$"), text)
+    return F.nullif(F.regexp_extract(text, r"^((?:[CHNOF]\d{0,3})+)$", 1), F.lit(""))
 
 
 def key_of_formula(formula: Column) -> Column:
     """Composition key of a written formula: repeated symbols add up, order, case and separators do not matter.
 
-    Null for null, empty and unreadable formulas.
+    Null for null, empty and unreadable formulas; a count has at most three digits.
     """
-    text = plain_formula(formula)
+    parts = F.regexp_extract_all(plain_formula(formula), F.lit(r"([CHNOF]\d*)"), F.lit(1))
+    symbols = F.lit("".join(symbol for symbol, _ in ELEMENTS))
 
-    def count(symbol: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(symbol + r"(\d*)"), F.lit(1))
-        return F.aggregate(found, F.lit(0), lambda total, x: total + F.when(x == "", 1).otherwise(x.cast("int")))
+    def value(part: Column) -> Column:
+        count = F.when(F.length(part) == 1, F.lit(1)).otherwise(F.substring(part, 2, 3).cast("int")).cast("bigint")
+        return F.call_function("shiftleft", count, (F.instr(symbols, F.substring(part, 1, 1)) - 1) * COUNT_BITS)
 
-    return composition_key([count(symbol) for symbol, _ in ELEMENTS])
+    return F.aggregate(F.transform(parts, value), F.lit(0).cast("bigint"), lambda total, x: total + x)
 
 
 def hill_formula(z: Column) -> Column:
@@ -59,7 +56,7 @@ def hill_formula(z: Column) -> Column:
     known = F.forall(z, lambda x: x.isin(*[n for _, n in ELEMENTS]))
 
     def part(symbol: str) -> Column:
-        n = F.size(F.filter(z, lambda x: x == number[symbol]))
+        n = F.size(F.array_remove(F.transform(z, _is(number[symbol])), False))
         return F.when(n > 1, F.concat(F.lit(symbol), n.cast("string"))).when(n == 1, F.lit(symbol)).otherwise("")
 
     return F.when(known, F.concat(*[part(s) for s in order]))
