@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import proportions, stable, together
+from tessera.llm import packing, proportions, quality, stable, together, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_sample": stable.p2_sample,
         "p3_found": together.p3_found,
         "p3_assign": together.p3_assign,
+        "p6_ids": tokens.p6_ids,
+        "p7_found": packing.p7_found,
+        "p7_pack": packing.p7_pack,
+        "p8_found": quality.p8_found,
+        "p8_flags": quality.p8_flags,
+        "p8_profile": quality.p8_profile,
+        "p8_stats": quality.p8_stats,
     }
 
 
