@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import alike, packing, proportions, quality, stable, together, tokens
+from tessera.llm import alike, neighbours, packing, proportions, quality, stable, together, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_assign": together.p3_assign,
         "p4_found": alike.p4_found,
         "p4_groups": alike.p4_groups,
+        "p5_found": neighbours.p5_found,
+        "p5_neighbours": neighbours.p5_neighbours,
         "p6_ids": tokens.p6_ids,
         "p7_found": packing.p7_found,
         "p7_pack": packing.p7_pack,
