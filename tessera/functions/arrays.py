@@ -16,6 +16,11 @@ COVALENT_RADIUS = {1: 0.31, 6: 0.76, 7: 0.71, 8: 0.66, 9: 0.57}
 BOND_SCALE, DEBYE, ROTATIONAL, BOHR = 1.15, 4.80320, 505.379009, 1.8897261
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with the value evaluated once per row, however often the body uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def points(flat: Column) -> Column:
     """Flat coordinates as ARRAY<STRUCT<x, y, z>>; a rest of one or two numbers is left out, an empty array stays empty."""
     n = F.floor(F.size(flat) / 3).cast("int")
@@ -47,8 +52,7 @@ def norm(x: Column, y: Column, z: Column) -> Column:
 def weighted_norm(weights: Column, flat: Column) -> Column:
     """|sum of w_i R_i|."""
     pairs = F.zip_with(weights, points(flat), lambda w, p: F.struct(w.alias("w"), p.alias("p")))
-    parts = [total(F.transform(pairs, _component(k))) for k in "xyz"]
-    return norm(*parts)
+    return bind(pairs, lambda e: norm(*[total(F.transform(e, _component(k))) for k in "xyz"]))
 
 
 def _component(axis: str):
@@ -86,7 +90,8 @@ def charge_features(q: Column, flat: Column) -> dict[str, Column]:
 def electronegativity_dipole(z: Column, flat: Column) -> Column:
     """|sum of (chi_i - mean chi) R_i|."""
     chi = F.transform(z, lambda v: lookup(ELECTRONEGATIVITY, v))
-    return weighted_norm(F.transform(chi, lambda v: v - mean(chi)), flat)
+    charges = bind(F.struct(chi.alias("c"), mean(chi).alias("m")), lambda s: F.transform(s["c"], lambda v: v - s["m"]))
+    return weighted_norm(charges, flat)
 
 
 def heteroatom_offset(z: Column, flat: Column) -> Column:
@@ -132,31 +137,43 @@ def moment_of_constant(constant: Column) -> Column:
 
 def bonds(z: Column, flat: Column, scale: float = BOND_SCALE) -> Column:
     """ARRAY<STRUCT<i, j, d>> of pairs i < j (from 0) nearer than scale x (r_i + r_j); atoms without a radius never bond."""
-    p = points(flat)
-    r = F.transform(z, lambda v: lookup(COVALENT_RADIUS, v))
-    n = F.least(F.size(z), F.size(p))
-    first = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
-
-    def pair(i: Column, j: Column) -> Column:
-        a, b = F.get(p, i), F.get(p, j)
-        return F.struct(i.alias("i"), j.alias("j"), norm(a["x"] - b["x"], a["y"] - b["y"], a["z"] - b["z"]).alias("d"))
-
-    pairs = F.flatten(F.transform(first, lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: pair(i, j))))
-    return F.filter(pairs, lambda e: e["d"] < scale * (F.get(r, e["i"]) + F.get(r, e["j"])))
+    atoms = F.zip_with(z, points(flat), lambda v, p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"), lookup(COVALENT_RADIUS, v).alias("r")))
+
+    def pairs(a: Column) -> Column:
+        n = F.size(a)
+
+        def near(i: Column) -> Column:
+            return bind(
+                F.get(a, i),
+                lambda p: F.filter(
+                    F.transform(
+                        F.slice(a, i + 2, n),
+                        lambda q, k: F.struct(
+                            i.alias("i"),
+                            (i + 1 + k).alias("j"),
+                            norm(p["x"] - q["x"], p["y"] - q["y"], p["z"] - q["z"]).alias("d"),
+                            (scale * (p["r"] + q["r"])).alias("limit"),
+                        ),
+                    ),
+                    lambda e: e["d"] < e["limit"],
+                ),
+            )
+
+        first = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.flatten(F.transform(first, near)), lambda e: F.struct(e["i"].alias("i"), e["j"].alias("j"), e["d"].alias("d")))
+
+    return F.when(z.isNotNull() & flat.isNotNull(), bind(atoms, pairs))
 
 
 def coulomb_matrix(z: Column, flat: Column) -> Column:
     """Rows of the Coulomb matrix: z^2.4 / 2 on the diagonal, z_i z_j / d (bohr) off it."""
-    p = points(flat)
-    at = F.when(F.size(z) > 0, F.sequence(F.lit(0), F.size(z) - 1)).otherwise(F.array().cast("array<int>"))
+    atoms = F.zip_with(z, points(flat), lambda v, p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"), v.cast("double").alias("n")))
 
-    def entry(i: Column, j: Column) -> Column:
-        a, b = F.get(p, i), F.get(p, j)
-        away = norm(a["x"] - b["x"], a["y"] - b["y"], a["z"] - b["z"]) * BOHR
-        zi, zj = F.get(z, i).cast("double"), F.get(z, j).cast("double")
-        return F.when(i == j, 0.5 * F.pow(zi, F.lit(2.4))).otherwise(F.try_divide(zi * zj, away))
+    def entry(p: Column, i: Column, q: Column, j: Column) -> Column:
+        away = norm(p["x"] - q["x"], p["y"] - q["y"], p["z"] - q["z"]) * BOHR
+        return F.when(i == j, 0.5 * F.pow(p["n"], F.lit(2.4))).otherwise(F.try_divide(p["n"] * q["n"], away))
 
-    return F.transform(at, lambda i: F.transform(at, lambda j: entry(i, j)))
+    return bind(atoms, lambda a: F.transform(a, lambda p, i: F.transform(a, lambda q, j: entry(p, i, q, j))))
 
 
 def padded_coordinates(flat: Column, atoms: int = 29) -> Column:

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.lineage import cut
+
 
 def draw(salt: str, *keys: str | Column) -> Column:
     """Hexadecimal draw of a row: text order of the draws is the random order."""
@@ -29,9 +31,9 @@ def hashed_rank(df: DataFrame, order: Column, out: str = "n", by: list[str] | No
     counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     marks = counts.select(*by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_d")))
-    on = [*by, "_b"]
-    return ranked.join(marks, on).withColumn(out, (F.col("_before") + F.col("_n")).cast("bigint")).drop("_d", "_b", "_n", "_before")
+    ranked = rows.withColumn("_within", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_d")))
+    joined = ranked.join(marks, [*by, "_b"]).withColumn("_rank", (F.col("_before") + F.col("_within")).cast("bigint"))
+    return joined.drop("_d", "_b", "_within", "_before").withColumnRenamed("_rank", out)
 
 
 def choose_groups(groups: DataFrame, group: str, stratum: str, fraction: float, salt: str) -> DataFrame:
@@ -132,23 +134,23 @@ def build_splits(table: DataFrame, config: SplitConfig) -> Splits:
     sizes = sorted(c.train_sizes)
     if c.n_familiar_formulas >= sizes[0] or not set(c.track_b_sizes) <= set(sizes):
         raise ValueError("familiar formulas must be fewer than the smallest size, and track sizes among the sizes")
-    rows = table.select("id", "formula", "n_heavy").cache()
-    unseen = choose_groups(rows, "formula", "n_heavy", c.unseen_formula_frac, salt + ":unseen").cache()
+    rows = cut(table.select("id", "formula", "n_heavy"))
+    unseen = cut(choose_groups(rows, "formula", "n_heavy", c.unseen_formula_frac, salt + ":unseen"))
     rest = rows.join(unseen, "formula", "left_anti")
-    dev_unseen_f = choose_groups(rest, "formula", "n_heavy", c.dev_unseen_formula_frac, salt + ":dev_unseen").cache()
+    dev_unseen_f = cut(choose_groups(rest, "formula", "n_heavy", c.dev_unseen_formula_frac, salt + ":dev_unseen"))
     test_unseen, dev_unseen = rows.join(unseen, "formula", "left_semi"), rows.join(dev_unseen_f, "formula", "left_semi")
-    remaining = rest.join(dev_unseen_f, "formula", "left_anti").cache()
+    remaining = cut(rest.join(dev_unseen_f, "formula", "left_anti"))
     n_familiar = int(c.familiar_test_frac * remaining.count() + 0.5)
-    test_familiar = sample_keeping_one(remaining, "id", "formula", n_familiar, salt + ":familiar").cache()
-    left = remaining.join(test_familiar, "id", "left_anti").cache()
-    dev = sample_keeping_one(left, "id", "formula", c.dev_size, salt + ":dev").cache()
-    pool = left.join(dev, "id", "left_anti").cache()
+    test_familiar = cut(sample_keeping_one(remaining, "id", "formula", n_familiar, salt + ":familiar"))
+    left = cut(remaining.join(test_familiar, "id", "left_anti"))
+    dev = cut(sample_keeping_one(left, "id", "formula", c.dev_size, salt + ":dev"))
+    pool = cut(left.join(dev, "id", "left_anti"))
     if pool.count() < sizes[-1]:
         raise ValueError("the pool is smaller than the largest training size")
     some = hashed_rank(test_unseen, draw(salt + ":q", "id"), "_n", ["formula"]).where(F.col("_n") <= c.quantum_unseen_per_formula).drop("_n")
     test_unseen_q = hashed_rank(some, draw(salt + ":qcap", "id"), "_n").where(F.col("_n") <= c.quantum_unseen_max_total).drop("_n")
     eligible = test_familiar.groupBy("formula").agg(F.count("*").alias("n")).where(F.col("n") >= c.familiar_per_formula).select("formula")
-    familiar = hashed_rank(eligible, draw(salt + ":fam", "formula"), "_n").where(F.col("_n") <= c.n_familiar_formulas).select("formula").cache()
+    familiar = cut(hashed_rank(eligible, draw(salt + ":fam", "formula"), "_n").where(F.col("_n") <= c.n_familiar_formulas).select("formula"))
     if familiar.count() < c.n_familiar_formulas:
         raise ValueError("too few formulas have enough familiar test rows")
     mine = test_familiar.join(familiar, "formula", "left_semi")
@@ -163,7 +165,7 @@ def build_splits(table: DataFrame, config: SplitConfig) -> Splits:
         part = fill_order(pool, "id", "formula", familiar, f"{salt}:{s}").withColumn("seed", F.lit(s))
         order = part if order is None else order.unionByName(part)
     kinds = [unseen.select(F.lit("unseen").alias("kind"), "formula"), dev_unseen_f.select(F.lit("dev_unseen").alias("kind"), "formula"), familiar.select(F.lit("familiar").alias("kind"), "formula")]
-    return Splits(c, members, order.select("seed", "pos", "id", "is_anchor"), kinds[0].unionByName(kinds[1]).unionByName(kinds[2]))
+    return Splits(c, cut(members), cut(order.select("seed", "pos", "id", "is_anchor")), cut(kinds[0].unionByName(kinds[1]).unionByName(kinds[2])))
 
 
 MAIN = ["pool", "test_unseen", "test_familiar", "dev", "dev_unseen"]
@@ -180,7 +182,7 @@ def check_splits(s: Splits, table: DataFrame, excluded: DataFrame) -> DataFrame:
     m, order = s.members, s.order
     sizes = sorted(c.train_sizes)
     known = table.select("id", F.col("formula").alias("f"))
-    told = m.join(known, "id", "left")
+    told = cut(m.join(known, "id", "left"))
     kept = known.join(excluded.select("id"), "id", "left_anti")
     main = m.where(F.col("set_name").isin(MAIN))
     held = s.formulas.where(F.col("kind").isin("unseen", "dev_unseen"))

@@ -59,7 +59,7 @@ def q25_parse_records(spark: S, d: D) -> DataFrame:
         F.lit("C\tC\nInChI=1\tInChI=1\n"),
     )
     parsed = records.parse_records(m.select(record.alias("text")))
-    return parsed.select("error", "id", "formula", "n_atoms", "n_heavy", F.round("mu", 6).alias("mu"), F.round(ar.total(F.col("r")), 4).alias("sum_r"), F.size("freqs").alias("n_freqs"))
+    return parsed.select("error", "id", "formula", "n_atoms", "n_heavy", F.round("mu", 6).alias("mu"), F.round(ar.total(F.col("r")), 6).alias("sum_r"), F.size("freqs").alias("n_freqs"))
 
 
 def q26_composition(spark: S, d: D) -> DataFrame:
@@ -71,7 +71,7 @@ def q26_composition(spark: S, d: D) -> DataFrame:
 
 def q27_charge_features(spark: S, d: D) -> DataFrame:
     m = molecules(spark, d, "r", "q")
-    return rounded(m.select("id", *[c.alias(n) for n, c in ar.charge_features(F.col("q"), F.col("r")).items()]), 5)
+    return rounded(m.select("id", *[c.alias(n) for n, c in ar.charge_features(F.col("q"), F.col("r")).items()]), 8)
 
 
 def q28_bonds(spark: S, d: D) -> DataFrame:
@@ -140,7 +140,7 @@ def q60_invariance(spark: S, d: D) -> DataFrame:
 
 def q61_frequency_features(spark: S, d: D) -> DataFrame:
     m = molecules(spark, d, "freqs", "n_atoms").withColumn("freqs", ar.clean_frequencies(F.col("freqs"), F.col("n_atoms"))).where("size(freqs) > 0")
-    return rounded(m.select("id", *[c.alias(n) for n, c in ar.frequency_features(F.col("freqs")).items()]), 4)
+    return rounded(m.select("id", *[c.alias(n) for n, c in ar.frequency_features(F.col("freqs")).items()]), 7)
 
 
 def q62_clean_frequencies(spark: S, d: D) -> DataFrame:
@@ -218,9 +218,9 @@ SQL = {
             _rule("linear molecules", "NOT (len(freqs) = 3 * n_atoms - 5 OR len(freqs) = 2 * (3 * n_atoms - 5)) OR a = 0"),
         ]
     ),
-    "q25_parse_records": f"WITH {M} SELECT NULL::VARCHAR AS error, id, f AS formula, n_atoms, len(list_filter(z, lambda x: x > 1))::INT AS n_heavy, round(coalesce(mu, 0), 6) AS mu, round(list_sum(r), 4) + 0.0 AS sum_r, len(freqs)::INT AS n_freqs FROM m WHERE len(freqs) > 0",
+    "q25_parse_records": f"WITH {M} SELECT NULL::VARCHAR AS error, id, f AS formula, n_atoms, len(list_filter(z, lambda x: x > 1))::INT AS n_heavy, round(coalesce(mu, 0), 6) AS mu, round(list_sum(r), 6) + 0.0 AS sum_r, len(freqs)::INT AS n_freqs FROM m WHERE len(freqs) > 0",
     "q26_composition": f"WITH {M} SELECT id, f, " + ", ".join(f"len(list_filter(z, lambda x: x = {k})) AS n_{s}" for s, k in (("c", 6), ("h", 1), ("n", 7), ("o", 8), ("f", 9))) + " FROM m",
-    "q27_charge_features": f"WITH {M}, {_ATOMS} SELECT id, round(sqrt(sum(q * x) ** 2 + sum(q * y) ** 2 + sum(q * w) ** 2) * 4.80320, 5) AS charge_dipole_d, round(max(abs(q)), 5) AS max_abs_charge, round(sum(abs(q)) / 2, 5) AS charge_separation FROM p GROUP BY id",
+    "q27_charge_features": f"WITH {M}, {_ATOMS} SELECT id, round(sqrt(sum(q * x) ** 2 + sum(q * y) ** 2 + sum(q * w) ** 2) * 4.80320, 8) AS charge_dipole_d, round(max(abs(q)), 8) AS max_abs_charge, round(sum(abs(q)) / 2, 8) AS charge_separation FROM p GROUP BY id",
     "q28_bonds": f"WITH {M}, {_BONDS}, n AS (SELECT d, CASE WHEN {_PLACE.format(c='za')} <= {_PLACE.format(c='zb')} THEN {_SYMBOL.format(c='za')} || '-' || {_SYMBOL.format(c='zb')} ELSE {_SYMBOL.format(c='zb')} || '-' || {_SYMBOL.format(c='za')} END AS pair FROM b) SELECT pair, count(*) AS n, round(avg(d), 6) AS mean, round(max(d), 6) AS longest FROM n GROUP BY pair",
     "q29_bond_orders": f"""WITH {M}, {_BONDS}, k AS (SELECT id, least(za, zb) AS lo, greatest(za, zb) AS hi, d FROM b),
  n AS (SELECT id, CASE WHEN lo = 6 AND hi = 6 AND d < 1.26 THEN 'triple_C-C' WHEN lo = 6 AND hi = 7 AND d < 1.21 THEN 'triple_C-N' WHEN lo = 6 AND hi = 7 AND d < 1.43 THEN 'multiple_C-N' WHEN lo = 6 AND hi = 8 AND d < 1.27 THEN 'double_C-O' WHEN lo = 7 AND hi = 8 AND d < 1.28 THEN 'double_N-O' END AS name FROM k)
@@ -232,7 +232,7 @@ SQL = {
  SELECT id, round(sqrt(var_pop(x) + var_pop(y) + var_pop(w)), 5) AS radius, round(sqrt(sum(dc * x) ** 2 + sum(dc * y) ** 2 + sum(dc * w) ** 2), 5) AS dipole,
  round(coalesce(sqrt((avg(x) FILTER (e > 6) - avg(x)) ** 2 + (avg(y) FILTER (e > 6) - avg(y)) ** 2 + (avg(w) FILTER (e > 6) - avg(w)) ** 2), 0), 5) AS "offset" FROM k GROUP BY id""",
     "q59_edge_table": f"WITH {M}, {_BONDS} SELECT id, i, j FROM b UNION ALL SELECT id, j, i FROM b",
-    "q61_frequency_features": f"WITH {M}, k AS (SELECT id, {_DUP} AS freqs FROM m) SELECT id, round(list_min(freqs), 4) AS freq_lowest, round(list_max(freqs), 4) AS freq_highest, round(list_avg(freqs), 4) AS freq_mean, len(list_filter(freqs, lambda x: x > 2800)) AS n_modes_above_2800, len(list_filter(freqs, lambda x: x < 500)) AS n_modes_below_500 FROM k WHERE len(freqs) > 0",
+    "q61_frequency_features": f"WITH {M}, k AS (SELECT id, {_DUP} AS freqs FROM m) SELECT id, round(list_min(freqs), 7) AS freq_lowest, round(list_max(freqs), 7) AS freq_highest, round(list_avg(freqs), 7) AS freq_mean, len(list_filter(freqs, lambda x: x > 2800)) AS n_modes_above_2800, len(list_filter(freqs, lambda x: x < 500)) AS n_modes_below_500 FROM k WHERE len(freqs) > 0",
     "q62_clean_frequencies": f"WITH {M}, k AS (SELECT id, n_atoms, freqs, {_DUP} AS c FROM m) SELECT id, len(freqs) AS listed, len(c) AS kept, len(c) = 3 * n_atoms - 5 AS linear FROM k",
     "q63_moments": f"WITH {M} SELECT id, " + ", ".join(f"round(CASE WHEN {k} > 0 THEN 505.379009 / {k} ELSE 0 END, 5) AS i_{k}" for k in "abc") + " FROM m",
     "q64_summaries": f"""WITH {M}, {_ATOMS}, c AS (SELECT id, sqrt(avg(x) ** 2 + avg(y) ** 2 + avg(w) ** 2) AS o FROM p GROUP BY id)
