@@ -26,7 +26,7 @@ def points(flat: Column) -> Column:
     n = F.floor(F.size(flat) / 3).cast("int")
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     pick = lambda i, k: F.get(flat, i * 3 + k)
-    return F.transform(at, lambda i: F.struct(pick(i, 0).alias("x"), pick(i, 1).alias("y"), pick(i, 2).alias("z")))
+    return F.when(flat.isNotNull(), F.transform(at, lambda i: F.struct(pick(i, 0).alias("x"), pick(i, 1).alias("y"), pick(i, 2).alias("z"))))
 
 
 def lookup(table: dict[int, float], z: Column) -> Column:
@@ -74,7 +74,7 @@ def radius_of_gyration(flat: Column) -> Column:
     for k in "xyz":
         v = F.transform(p, _axis(k))
         squares.append(mean(F.transform(v, lambda a: a * a)) - mean(v) * mean(v))
-    return F.sqrt(F.greatest(squares[0] + squares[1] + squares[2], F.lit(0.0)))
+    return F.when(flat.isNotNull(), F.sqrt(F.greatest(squares[0] + squares[1] + squares[2], F.lit(0.0))))
 
 
 def point_charge_dipole(q: Column, flat: Column) -> Column:

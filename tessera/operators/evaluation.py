@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.linear import fit_ridge, linear, tune_jobs
 from tessera.operators.provenance import config_hash
+from tessera.operators.scaling import clip_predictions
 from tessera.operators.splits import kfold
 from tessera.operators.statistics import scores
 
@@ -25,7 +26,7 @@ def mean_fitter(train: DataFrame, features: list[str], y: str) -> Callable[[Data
 def ridge_fitter(alpha: float = 1.0) -> Fitter:
     def fit(train: DataFrame, features: list[str], y: str):
         w, b = fit_ridge(train, features, y, alpha)
-        return lambda rows: rows.select("id", F.greatest(linear(features, w, b), F.lit(0.0)).alias("pred"))
+        return lambda rows: rows.select("id", clip_predictions(linear(features, w, b)).alias("pred"))
 
     return fit
 
@@ -43,7 +44,7 @@ def tree_fitter(kind: str = "forest", trees: int = 20, depth: int = 5, seed: int
         else:
             learner = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="pred", maxIter=trees, maxDepth=depth, seed=seed)
         model = learner.fit(assemble.transform(train))
-        return lambda rows: model.transform(assemble.transform(rows)).select("id", F.greatest("pred", F.lit(0.0)).alias("pred"))
+        return lambda rows: model.transform(assemble.transform(rows)).select("id", clip_predictions(F.col("pred")).alias("pred"))
 
     return fit
 

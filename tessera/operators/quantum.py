@@ -294,7 +294,7 @@ def depolarizing_mitigation(k: Column, survival: Column, qubits: int) -> Column:
     """An overlap with a global depolarizing channel undone, from the survival probability of the row's own state."""
     floor = 2.0**-qubits
     kept = F.least(F.greatest((survival - floor) / (1 - floor), F.lit(1e-3)), F.lit(1.0))
-    return F.least(F.greatest((k - (1 - kept) * floor) / kept, F.lit(0.0)), F.lit(1.0))
+    return F.when(k.isNotNull() & survival.isNotNull(), F.least(F.greatest((k - (1 - kept) * floor) / kept, F.lit(0.0)), F.lit(1.0)))
 
 
 def bit_expectation(df: DataFrame, keys: list[str], bit: str) -> DataFrame:

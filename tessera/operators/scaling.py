@@ -35,7 +35,7 @@ class Scaling:
         if "lambda" in p:
             v = yeo_johnson(v, p["lambda"])
         scaled = (v - F.lit(p["centre"])) / F.lit(p["scale"])
-        return F.greatest(F.least(scaled, F.lit(CLIP)), F.lit(-CLIP))
+        return F.when(scaled.isNotNull(), F.greatest(F.least(scaled, F.lit(CLIP)), F.lit(-CLIP)))
 
 
 def fit_scaling(train: DataFrame, columns: list[str], name: str, skew_above: float = 1.0) -> Scaling:
@@ -165,4 +165,5 @@ def fit_target(train: DataFrame, y: str, name: str) -> tuple[float, float]:
 
 
 def clip_predictions(column: Column) -> Column:
-    return F.greatest(column, F.lit(0.0))
+    """Negative values become 0; null and NaN stay."""
+    return F.when(column.isNotNull(), F.greatest(column, F.lit(0.0)))

@@ -257,7 +257,7 @@ QUERIES = {name: f for name, f in globals().items() if name.startswith("q") and
 
 
 def _scaled(columns: dict[str, str], source: str, keys: str) -> str:
-    cells = ", ".join(f"round(greatest(least({e}, 10), -10), 6) + 0.0 AS {c}" for c, e in columns.items())
+    cells = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN round(greatest(least({e}, 10), -10), 6) + 0.0 END AS {c}" for c, e in columns.items())
     return f"SELECT {keys}, {cells} FROM {source}"
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.scaling import clip_predictions
+
 
 def read_records(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 10) -> DataFrame:
     """Parquet files as they arrive."""
@@ -18,7 +20,7 @@ def deliveries_once(stream: DataFrame, keys: list[str], time: str, late: str = "
 
 def score(stream: DataFrame, prediction: Column) -> DataFrame:
     """Records with a fitted model's prediction: a stateless projection."""
-    return stream.withColumn("pred", F.greatest(prediction, F.lit(0.0)))
+    return stream.withColumn("pred", clip_predictions(prediction))
 
 
 def error_windows(scored: DataFrame, y: str, time: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
