@@ -129,8 +129,8 @@ def outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def average_rank(df: DataFrame, column: str, out: str = "rank", buckets: int = 64) -> DataFrame:
-    """df with the tie-averaged rank of a column (1 .. n); null values get null.
+def rank_table(df: DataFrame, column: str, out: str = "rank", buckets: int = 64) -> DataFrame:
+    """(_v, out): the tie-averaged rank of each distinct value that is not null.
 
     No window over the whole table: values are counted, cut into ranges at approximate quantiles, ranked within each range
     and shifted by the counts of the ranges before (one row per range).
@@ -144,8 +144,12 @@ def average_rank(df: DataFrame, column: str, out: str = "rank", buckets: int = 6
     within = F.coalesce(F.sum("_c").over(Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # at most `buckets` rows
     ranks = bucketed.withColumn("_within", within).join(F.broadcast(before.select("_b", "_before")), "_b")
-    ranks = ranks.select("_v", (F.col("_before") + F.col("_within") + (F.col("_c") + 1) / 2).alias(out))
-    return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
+    return ranks.select("_v", (F.col("_before") + F.col("_within") + (F.col("_c") + 1) / 2).alias(out))
+
+
+def average_rank(df: DataFrame, column: str, out: str = "rank", buckets: int = 64) -> DataFrame:
+    """df with the tie-averaged rank of a column (1 .. n); null values get null."""
+    return df.join(rank_table(df, column, out, buckets), F.col(column) == F.col("_v"), "left").drop("_v")
 
 
 def moments_matrix(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -175,8 +179,11 @@ def correlation_pairs(df: DataFrame, columns: list[str], method: str = "pearson"
     """(a, b, rho) for the pairs a before b of columns, over rows in which no column is null."""
     rows = df.select(*columns).dropna()
     if method == "spearman":
+        # every rank table comes from the rows themselves, so that the plan grows with the columns, not with their powers
+        base = rows
         for c in columns:
-            rows = average_rank(rows, c, f"_{c}").drop(c).withColumnRenamed(f"_{c}", c)
+            ranks = rank_table(base, c, "_rank")
+            rows = rows.join(ranks, F.col(c) == F.col("_v")).drop("_v", c).withColumnRenamed("_rank", c)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     wide = rows.agg(*[F.corr(a, b).alias(f"{k}") for k, (a, b) in enumerate(pairs)])
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{k}`").alias("rho")) for k, (a, b) in enumerate(pairs)])
