@@ -183,6 +183,15 @@ def q72_current_table(spark: S, d: D) -> DataFrame:
     return spark.range(1).select(F.lit("molecules").alias("name"), F.lit(current).alias("current"))
 
 
+def q73_feature_sets(spark: S, d: D) -> DataFrame:
+    """Named lists of kept features, in the order of their place in the vector, then by name."""
+    from tessera.sources.results import feature_sets
+
+    catalog = table(spark, d, "feature_catalog").withColumn("ord", F.coalesce(F.col("x_pos"), F.lit(1000)))
+    found = feature_sets(catalog)
+    return found.select("name", F.size("features").alias("n"), F.array_join("features", ",").alias("features"))
+
+
 QUERIES = {name: f for name, f in globals().items() if name.startswith("q") and callable(f)}
 
 _ATOMS = "atoms AS (SELECT id, z, unnest(range(len(z))) AS i, r, q FROM m), p AS (SELECT id, i, z[i + 1]::INT AS e, r[3 * i + 1] AS x, r[3 * i + 2] AS y, r[3 * i + 3] AS w, q[i + 1] AS q FROM atoms)"
@@ -239,5 +248,9 @@ SQL = {
  SELECT m.id, round(o, 4) AS centroid_offset, round(list_sum(q), 4) + 0.0 AS q_sum, round(list_max(list_transform(q, lambda x: abs(x))), 4) AS q_max_abs, len(freqs) AS n_freqs, 3 * n_atoms - 6 AS n_expected, round(list_min(freqs), 4) AS freq_min, round(list_max(freqs), 4) AS freq_max FROM m LEFT JOIN c USING (id)""",
     "q65_coulomb_matrix": f"""WITH {M}, {_ATOMS}, c AS (SELECT a.id, CASE WHEN a.i = b.i THEN 0.5 * a.e ** 2.4 ELSE a.e * b.e / (1.8897261 * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.w - b.w) ** 2)) END AS v FROM p a JOIN p b ON a.id = b.id)
  SELECT id, round(max(v), 3) AS largest, count(*) AS cells FROM c GROUP BY id""",
+    "q73_feature_sets": " UNION ALL ".join(
+        f"SELECT '{name}' AS name, count(*) AS n, coalesce(string_agg(feature, ',' ORDER BY coalesce(x_pos, 1000), feature), '') AS features FROM feature_catalog WHERE kept AND {rule}"
+        for name, rule in (("legal", "legal"), ("all", "true"), ("molecule", "legal AND level = 'molecule'"), ("atom", "legal AND level = 'atom'"), ("exploration", "NOT legal"))
+    ),
     "q72_current_table": "SELECT 'molecules' AS name, true AS current",
 }
