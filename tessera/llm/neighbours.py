@@ -144,6 +144,11 @@ def most_similar(vectors: DataFrame, width: int, k: int, radius: float, rows: in
     firsts = cut(ranked)
     near = cut(near)
     way = near.select(F.col("a").alias("u"), F.col("b").alias("h"), "d").unionByName(near.select(F.col("b").alias("u"), F.col("a").alias("h"), "d"))
+    return _rows_near(way, firsts, members, k)
+
+
+def _rows_near(way: DataFrame, firsts: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(row, neighbour, d) of members (h, row) from the names' distances (u, h, d) and the first rows (h, row, n) of each name."""
     others = way.join(firsts.where(F.col("n") <= k), "h").select("u", "d", F.col("row").alias("neighbour"))
     own = firsts.select(F.col("h").alias("u"), F.lit(0.0).alias("d"), F.col("row").alias("neighbour"))
     best = F.row_number().over(Window.partitionBy("u").orderBy("d", "neighbour"))
@@ -153,6 +158,88 @@ def most_similar(vectors: DataFrame, width: int, k: int, radius: float, rows: in
     return members.select(F.col("h").alias("u"), "row").join(lists, "u").select("row", F.explode(rest).alias("e")).select("row", "e.neighbour", "e.d")
 
 
+#: Vectors of a broadcast piece of the collection (about 50 MB), and rows and columns of one block of distances.
+PIECE, BLOCK_ROWS, BLOCK_COLUMNS = 500_000, 256, 20_000
+
+
+def _nearest_names(piece, width: int, k: int):
+    """Tasks that give (u, h, d): of each query vector the k nearest other vectors of the piece, and all as near as the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, flat = piece.value
+        v = flat.reshape(-1, width)
+        for batch in batches:
+            every = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)
+            for start in range(0, len(every), BLOCK_ROWS):
+                own, q = batch.column(0).to_numpy()[start : start + BLOCK_ROWS], every[start : start + BLOCK_ROWS]
+                i, j, d = _nearest_block(own, q, names, v, k)
+                yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(names[j]), pa.array(d)], ["u", "h", "d"])
+
+    return run
+
+
+def _nearest_block(own: np.ndarray, q: np.ndarray, names: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    kind = np.float32 if max(np.abs(q).max(initial=0), np.abs(v).max(initial=0)) < 1e15 else np.float64
+    q_, best = q.astype(kind), np.full(len(q), np.inf)
+    q2 = (q_ * q_).sum(1)
+    i, j, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for at in range(0, len(v), BLOCK_COLUMNS):
+        part = v[at : at + BLOCK_COLUMNS].astype(kind)
+        v2 = (part * part).sum(1)
+        square = q_ @ part.T
+        square *= -2
+        square += v2
+        # rounding may only add candidates; the distances themselves are taken again in double precision
+        slack = 32 * np.finfo(kind).eps * (q2.astype(float) + float(v2.max()))
+        if at == 0 and len(part) > k + 1:
+            best = np.partition(square, k, 1)[:, k].astype(float) + q2 + 2 * slack
+        a, b = np.nonzero(square <= (best - q2 + slack).astype(kind)[:, None])
+        different = own[a] != names[at + b]
+        a, b = a[different], b[different] + at
+        off = q[a].astype(np.float64) - v[b]
+        i, j, d = np.r_[i, a], np.r_[j, b], np.r_[d, np.sqrt((off * off).sum(1))]
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        begin = np.searchsorted(i, np.arange(len(q)))
+        n = np.diff(np.r_[begin, len(i)])
+        last = np.full(len(q), np.inf)
+        last[n >= k] = d[begin[n >= k] + k - 1]
+        keep = d <= last[i]
+        i, j, d = i[keep], j[keep], d[keep]
+        best = np.minimum(best, last * last)
+    return i, j, d
+
+
+def k_nearest(vectors: DataFrame, width: int, k: int, radius: float, rows: int) -> DataFrame:
+    """(row, neighbour, d): of each row the k nearest others at any distance, equal distances in order of row.
+
+    vectors as in most_similar, whose lists are taken where it finds k within the radius. Every other row is held against
+    the whole collection, in pieces of PIECE vectors: features whose nearest neighbours are almost as far as any others
+    leave nothing that wider cells could skip. The work of this step is rows without k near ones times vectors.
+    """
+    spark = vectors.sparkSession
+    near = cut(most_similar(vectors, width, k, radius, rows))
+    clean = vectors.where(F.col("row").isNotNull() & (F.size("x") == width)).where("not exists(x, v -> v is null or isnan(v) or abs(v) = double('infinity'))")
+    members = cut(clean.select(F.xxhash64("x").alias("h"), "row", "x").groupBy("h", "row").agg(F.first("x").alias("x")))
+    full = near.groupBy("row").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("row")
+    missing = cut(members.select("h", "row").join(full, "row", "left_anti"))
+    vector = cut(members.groupBy("h").agg(F.min_by("x", "row").alias("x")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 20_000))
+    asked = cut(vector.join(missing.select("h").distinct(), "h", "left_semi").repartition(tasks, "h"))
+    pieces = max(1, -(-vector.count() // PIECE))
+    way = None
+    for piece in range(pieces):
+        held = vector.where(F.pmod(F.xxhash64("h"), F.lit(pieces)) == piece).toArrow()
+        flat = held.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        sent = spark.sparkContext.broadcast((held.column("h").to_numpy(), flat))
+        found = cut(asked.mapInArrow(_nearest_names(sent, width, k), "u bigint, h bigint, d double"))
+        sent.destroy()
+        way = found if way is None else way.unionByName(found)
+    ranked = members.select("h", "row").withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("row")))
+    far = _rows_near(way, cut(ranked.where(F.col("n") <= k + 1)), missing, k)
+    return near.join(full, "row", "left_semi").select("row", "neighbour", "d").unionByName(far)
+
+
 # The features of an atom, the neighbours wanted, and the largest distance of a similar pair.
 WIDTH, K, RADIUS = 24, 5, 0.5
 
@@ -167,12 +254,13 @@ def atom_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row, neighbour, d): of each atom the five most similar atoms at distance 0.5 or less."""
+    """(row, neighbour, d): of each atom the five most similar other atoms."""
     vectors, rows = atom_vectors(spark, sf_dir)
-    return most_similar(vectors, WIDTH, K, RADIUS, rows)
+    return k_nearest(vectors, WIDTH, K, RADIUS, rows)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_a, row_b), row_a < row_b: pairs of which one is among the other's five nearest, at distance 0.5 or less."""
-    found = p5_neighbours(spark, sf_dir)
+    vectors, rows = atom_vectors(spark, sf_dir)
+    found = most_similar(vectors, WIDTH, K, RADIUS, rows)
     return found.select(F.least("row", "neighbour").alias("row_a"), F.greatest("row", "neighbour").alias("row_b")).distinct()

@@ -148,6 +148,23 @@ def test_neighbours_match_brute_force(spark):
     assert set(got) <= set(range(len(every)))
 
 
+def test_every_row_has_its_nearest(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PIECE", 150)
+    monkeypatch.setattr(neighbours, "BLOCK_COLUMNS", 40)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 24)).astype(np.float32)
+    every = np.concatenate([x, x[:20] + np.float32(0.01), np.repeat(x[50:51], 2, 0), np.repeat(x[60:61], 9, 0), np.full((1, 24), 1e4, np.float32)])
+    rows = [(i, v.tolist()) for i, v in enumerate(every)]
+    df = spark.createDataFrame(rows + rows[:9] + [(9000, None), (9001, [float("nan")] * 24), (None, x[0].tolist())], "row bigint, x array<float>")
+    got = {}
+    for r in neighbours.k_nearest(df, 24, 5, 0.5, len(rows)).collect():
+        got.setdefault(r.row, []).append((r.d, r.neighbour))
+    d = np.sqrt(((every[:, None].astype(float) - every[None]) ** 2).sum(-1))
+    assert set(got) == set(range(len(every)))
+    for i in range(len(every)):
+        assert [j for _, j in sorted(got[i])] == [j for _, j in sorted((d[i, j], j) for j in range(len(every)) if j != i)[:5]]
+
+
 # tokens
 
 
