@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -271,6 +272,38 @@ def variance_inflation(cov: np.ndarray) -> np.ndarray:
     return np.where(diagonal < 0, np.inf, diagonal)
 
 
+def _neighbour_radius(x: np.ndarray, y: np.ndarray, k: int, leaf: int = 64) -> np.ndarray:
+    """Chebyshev distance of each point of the plane to its k-th neighbour, exact.
+
+    Points are halved along the longer side of their box down to leaves. A leaf's own points bound its radii; then only
+    leaves whose boxes come nearer than the largest bound are looked at.
+    """
+    parts, leaves = [np.arange(len(x))], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= max(leaf, 2 * k + 2):
+            leaves.append(part)
+            continue
+        side = x[part] if np.ptp(x[part]) >= np.ptp(y[part]) else y[part]
+        order = np.argpartition(side, len(part) // 2)
+        parts += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
+    box = np.array([(x[p].min(), x[p].max(), y[p].min(), y[p].max()) for p in leaves])
+    radius = np.empty(len(x))
+    away = lambda p, q: np.maximum(np.abs(x[p, None] - x[None, q]), np.abs(y[p, None] - y[None, q]))
+    for p, (x0, x1, y0, y1) in zip(leaves, box):
+        best = np.partition(away(p, p), k, axis=1)[:, : k + 1]
+        reach = best[:, k].max()
+        gap = np.maximum(np.maximum(box[:, 0] - x1, x0 - box[:, 1]), np.maximum(box[:, 2] - y1, y0 - box[:, 3]))
+        near = np.flatnonzero(gap < reach)
+        near = near[np.argsort(gap[near], kind="stable")]
+        for start in range(0, len(near), 256):
+            open_ = [leaves[m] for m in near[start : start + 256] if gap[m] < best[:, k].max() and leaves[m] is not p]
+            if open_:
+                best = np.partition(np.concatenate([best, away(p, np.concatenate(open_))], 1), k, axis=1)[:, : k + 1]
+        radius[p] = best[:, k]
+    return radius
+
+
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     """Nearest-neighbour estimate of mutual information (nats) of two continuous columns; never negative.
 
@@ -281,11 +314,7 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     if n <= k or np.ptp(x) == 0 or np.ptp(y) == 0:
         return 0.0
     x, y = (x - x.mean()) / x.std(), (y - y.mean()) / y.std()
-    radius = np.empty(n)
-    for start in range(0, n, 512):
-        block = slice(start, start + 512)
-        away = np.maximum(np.abs(x[block, None] - x[None]), np.abs(y[block, None] - y[None]))
-        radius[block] = np.partition(away, k, axis=1)[:, k]
+    radius = _neighbour_radius(x, y, k)
     radius = np.nextafter(radius, 0)
 
     def near(v: np.ndarray) -> np.ndarray:
@@ -307,19 +336,25 @@ def digamma(v: np.ndarray) -> np.ndarray:
     return out + np.log(v) - 0.5 / v - i2 * (1 / 12 - i2 * (1 / 120 - i2 / 252))
 
 
-def rank_features(df: DataFrame, features: list[str], y: str, sample: int = 2000, seed: int = 0) -> DataFrame:
+def rank_features(df: DataFrame, features: list[str], y: str) -> DataFrame:
     """(feature, mi, spearman, mi_rank): constant columns left out, ties in the order given.
 
-    Mutual information is estimated on a bounded sample of `sample` rows, those with the smallest hashes; ranks and
-    Spearman correlations use all rows.
+    Everything uses all rows. Mutual information is the nearest-neighbour estimate, one task a feature, which holds that
+    column and y.
     """
     spark = df.sparkSession
     constant = {r.column for r in zero_variance(df, features).collect()}
     live = [f for f in features if f not in constant]
     rows = df.select(*live, y).dropna()
-    picked = rows.orderBy(F.xxhash64(F.lit(seed), *live, y)).limit(sample).toPandas()
-    mi = {f: mutual_information(picked[f].to_numpy(float), picked[y].to_numpy(float)) for f in live}
-    rho = {r.a: r.rho for r in correlation_pairs(rows, [*live, y], "spearman").where(F.col("b") == y).collect()}
+
+    def estimate(part: pa.Table) -> pa.Table:
+        k, a, b = (part.column(c).to_numpy() for c in ("k", "a", "b"))
+        order = np.lexsort((b, a))  # sums don't depend on how rows arrive
+        return pa.table({"k": k[:1], "mi": [mutual_information(a[order], b[order])]})
+
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f).cast("double").alias("a"), F.col(y).cast("double").alias("b")) for k, f in enumerate(live)])).alias("e")).select("e.*") if live else None
+    mi = {f: 0.0 for f in live} | ({live[r.k]: r.mi for r in long.groupBy("k").applyInArrow(estimate, "k int, mi double").collect()} if live else {})
+    rho = {r.a: r.rho for r in correlation_pairs(rows, [*live, y], "spearman").where(F.col("b") == y).collect()} if live else {}
     order = sorted(live, key=lambda f: -mi[f])
     return spark.createDataFrame([(f, mi[f], rho.get(f), k + 1) for k, f in enumerate(order)], "feature string, mi double, spearman double, mi_rank int")
 

@@ -173,7 +173,7 @@ def q57_permutation_importance(spark: S, d: D) -> DataFrame:
 def q57_rank_features(spark: S, d: D) -> DataFrame:
     from tessera.operators.statistics import rank_features
 
-    return rank_features(_frame(spark, d), FEATURES, "mu", sample=1000)
+    return rank_features(_frame(spark, d), FEATURES, "mu")
 
 
 def q57_spectrum(spark: S, d: D) -> DataFrame:

@@ -63,6 +63,26 @@ def test_small_matrices():
     assert st.mutual_information(x, x + 0.1 * rng.standard_normal(400)) > 1 > 0.1 > st.mutual_information(x, rng.standard_normal(400))
 
 
+def test_rank_features_uses_every_row(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 3)).round(3)
+    x[:400] = x[400:800]
+    x[800:1000] = x[800]
+    y = 0.8 * x[:, 0] + 0.6 * x[:, 1]
+    few = np.floor(3 * x[:, 1]) // 2
+    for v in (x[:, 0], x[:, 2], few):
+        brute = np.concatenate([np.partition(np.maximum(np.abs(v[s, None] - v), np.abs(y[s, None] - y)), 3, axis=1)[:, 3] for s in np.split(np.arange(3000), 6)])
+        assert (st._neighbour_radius(v, y, 3) == brute).all()
+    rows = [(*map(float, r), float(f), 1.0, float(v)) for r, f, v in zip(x, few, y)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, few double, one double, y double")
+    got = {r.feature: r for r in st.rank_features(df, ["a", "b", "c", "few", "one"], "y").collect()}
+    # rows in one order, since rounding decides whether a rounded value lies on the edge of a radius
+    want = {n: st.mutual_information(v[o], y[o]) for n, v in (("a", x[:, 0]), ("b", x[:, 1]), ("c", x[:, 2]), ("few", few)) for o in [np.lexsort((y, v))]}
+    assert {n: r.mi for n, r in got.items()} == pytest.approx(want, abs=1e-9)
+    assert [r.feature for r in sorted(got.values(), key=lambda r: r.mi_rank)] == sorted(want, key=lambda n: -want[n])
+    assert st.rank_features(df.where("false"), ["a"], "y").count() == 0
+
+
 def test_exclusions_and_duplicates(spark):
     table = spark.createDataFrame([(i,) for i in range(5)], "id bigint")
     rules = spark.createDataFrame([(1, "a", 0), (1, "a", 9), (2, "b", 0), (2, "b", 1)], "ord int, rule string, id bigint")
