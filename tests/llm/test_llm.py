@@ -118,6 +118,22 @@ def test_alike_groups_match_brute_force(spark):
     assert got == {x: root(x) for x in list(parent)}
 
 
+def test_alike_at_bin_edges_and_with_one_common_token(spark):
+    rng = np.random.default_rng(8)
+    grid = 1.4 * np.array([(a, b, c) for a in range(3) for b in range(2) for c in range(2)], float)
+    kinds = rng.choice([6, 7, 8], 12)
+    mols = [(kinds, grid * (1 + 0.003 * side)) for side in (-1, 1)]
+    e, p = np.r_[rng.choice([6, 7, 8], 9), np.ones(9, int)], rng.uniform(-3, 3, (18, 3))
+    changed = e.copy()
+    changed[:4] = 9
+    mols += [(e, p), (changed, p)]
+    for a, b in ((0, 1), (2, 3)):
+        assert structures.alike(mols[a][0], structures._distances(mols[a][1]), mols[b][0], structures._distances(mols[b][1]))
+    rows = [(i, 100 * i + k, int(a), *map(float, x)) for i, (e, p) in enumerate(mols) for k, (a, x) in enumerate(zip(e, p))]
+    atoms = spark.createDataFrame(rows, "id bigint, atom bigint, e tinyint, px float, py float, pz float")
+    assert {r.node: r.component for r in alike.alike_groups(atoms).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
 def test_many_copies_of_a_structure_are_one_group(spark):
     e, p = _molecules(np.random.default_rng(2), 22)[0]
     rows = [(i, 100 * i + k, int(a), *map(float, x)) for i in range(300) for k, (a, x) in enumerate(zip(e, p))]
