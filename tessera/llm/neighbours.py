@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from tessera.llm.tables import read
 from tessera.plans.lineage import cut
 
-#: Tables, projections whose collisions are counted, and how many of those must collide.
+#: Tables at least, projections whose collisions are counted, and how many of those must collide.
 TABLES, COUNTED, COLLISIONS = 5, 8, 8
 #: In units of the radius: cell width, half a window, and the step in which counted projections are kept.
 CELL, WINDOW, STEP = 2.5, 0.7, 0.125
 #: Vectors of one cell that the number of cell projections aims at, for features of the given spread.
 CELL_ROWS, SPREAD = 300, 1.0
+#: Share of the pairs at the radius itself that the tables together are expected to find, at any number of rows.
+RECALL = 0.985
 
 
 def directions(width: int, table: int, columns: int, seed: int = 17) -> np.ndarray:
@@ -39,6 +41,18 @@ def cell_projections(rows: int, width: int, radius: float, spread: float = SPREA
     return int(min(max(1, round(math.log(max(rows, 2) / CELL_ROWS) / -math.log(same))), max(1, width - COUNTED - 1)))
 
 
+def table_chance(n_cells: int, width: int) -> float:
+    """The chance that one table finds a pair at the radius; differences along a direction are about normal, 1 / width their variance."""
+    sd = 1 / math.sqrt(width)
+    counted = min(COUNTED, width - n_cells - 1) if width > n_cells + 1 else 0
+    return (1 - math.sqrt(2 / math.pi) * sd / CELL) ** n_cells * math.erf(WINDOW / sd / math.sqrt(2)) ** (1 + counted)
+
+
+def tables_needed(n_cells: int, width: int) -> int:
+    """Tables that find RECALL of the pairs at the radius; TABLES at least."""
+    return max(TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - table_chance(n_cells, width))))
+
+
 def _hash_rows(radius: float, width: int, n_cells: int, tables: int):
     counted = min(COUNTED, width - n_cells - 1) if width > n_cells + 1 else 0
 
@@ -104,12 +118,13 @@ def _window_pairs(radius_window: float, counted: int):
     return run
 
 
-def candidate_pairs(vectors: DataFrame, width: int, radius: float, rows: int, tables: int = TABLES) -> DataFrame:
+def candidate_pairs(vectors: DataFrame, width: int, radius: float, rows: int, tables: int | None = None) -> DataFrame:
     """(a, b): pairs of different vectors, named by their hashes, with enough collisions.
 
     vectors: (h, x). Each vector is shuffled once per table, as its cell, two numbers and its name (28 bytes), never whole.
     """
     n_cells = cell_projections(rows, width, radius)
+    tables = tables or tables_needed(n_cells, width)
     counted = min(COUNTED, width - n_cells - 1) if width > n_cells + 1 else 0
     hashed = vectors.select("h", "x").mapInArrow(_hash_rows(radius, width, n_cells, tables), "key bigint, at float, sketch bigint, name bigint")
     # tasks of about a million rows, which a Python worker sorts in memory; a stated number is not coalesced
@@ -121,7 +136,7 @@ def candidate_pairs(vectors: DataFrame, width: int, radius: float, rows: int, ta
 BROADCAST_NAMES = 2_000_000
 
 
-def most_similar(vectors: DataFrame, width: int, k: int, radius: float, rows: int, tables: int = TABLES) -> DataFrame:
+def most_similar(vectors: DataFrame, width: int, k: int, radius: float, rows: int, tables: int | None = None) -> DataFrame:
     """(row, neighbour, d): of each row the k nearest others within the radius, equal distances in order of row.
 
     vectors: (row BIGINT, x ARRAY<FLOAT>), a row once or several times with the same vector. Vectors of another width, or

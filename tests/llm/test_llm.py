@@ -181,6 +181,13 @@ def test_every_row_has_its_nearest(spark, monkeypatch):
         assert [j for _, j in sorted(got[i])] == [j for _, j in sorted((d[i, j], j) for j in range(len(every)) if j != i)[:5]]
 
 
+def test_tables_keep_recall_at_every_size():
+    for rows in (10, 10**4, 10**6, 10**7, 10**8, 10**9):
+        n = neighbours.cell_projections(rows, 24, 0.5)
+        assert 1 - (1 - neighbours.table_chance(n, 24)) ** neighbours.tables_needed(n, 24) >= neighbours.RECALL
+    assert neighbours.tables_needed(neighbours.cell_projections(10**8, 24, 0.5), 24) > neighbours.TABLES
+
+
 # tokens
 
 
