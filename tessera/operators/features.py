@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import molecule_kernels as k
+from tessera.operators.surroundings import CHUNK, surroundings
 
 #: Largest change that counts as none.
 TOLERANCE = 1e-8
@@ -57,30 +58,49 @@ def feature_frame(table: DataFrame, name: str) -> DataFrame:
 ENVIRONMENT = "element array<tinyint>, features array<array<double>>, qeq_charges array<double>, groups array<double>, qeq array<double>, rdf array<double>, edges array<struct<i:int,j:int,ux:double,uy:double,uz:double>>"
 
 
+def _ragged(values: pa.Array, offsets: np.ndarray, missing: np.ndarray) -> pa.Array:
+    """Lists of lengths told by offsets; null where missing."""
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values, mask=pa.array(missing))
+
+
+def _matrix(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
 def environments(table: DataFrame) -> DataFrame:
-    """(id, ENVIRONMENT...): everything derived from one molecule; edges list each bond in both directions with its unit vector."""
+    """(id, ENVIRONMENT...): everything derived from one molecule; edges list each bond in both directions with its unit vector.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns: list[list] = [[] for _ in range(7)]
-        for m in _molecules(batch):
-            if m is None:
-                for c in columns:
-                    c.append(None)
-                continue
-            s = k.surroundings(*m)
-            i, j = np.nonzero(s.bonds)
-            unit = m[1][j] - m[1][i]
-            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True) if len(i) else unit
-            edges = [{"i": a, "j": b, "ux": u[0], "uy": u[1], "uz": u[2]} for a, b, u in zip(i.tolist(), j.tolist(), unit.tolist())]
-            for c, v in zip(columns, (s.element.tolist(), s.features.tolist(), s.qeq_charges.tolist(), s.groups.tolist(), s.qeq.tolist(), s.rdf.tolist(), edges)):
-                c.append(v)
-        edge = pa.struct([("i", pa.int32()), ("j", pa.int32()), ("ux", pa.float64()), ("uy", pa.float64()), ("uz", pa.float64())])
-        numbers = pa.list_(pa.float64())
-        kinds = [pa.list_(pa.int8()), pa.list_(numbers), numbers, numbers, numbers, numbers, pa.list_(edge)]
-        names = ["element", "features", "qeq_charges", "groups", "qeq", "rdf", "edges"]
-        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["id", *names])
-
-    return table.select("id", "z", "r").mapInArrow(_batches(run), f"id bigint, {ENVIRONMENT}")
+    Molecules are described CHUNK at a time from one table of their atom pairs; results leave as flat Arrow arrays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK):
+                yield _environments(batch.slice(start, CHUNK))
+
+    return table.select("id", "z", "r").mapInArrow(run, f"id bigint, {ENVIRONMENT}")
+
+
+def _environments(batch: pa.RecordBatch) -> pa.RecordBatch:
+    found = list(_molecules(batch))
+    missing = np.array([m is None for m in found])
+    sizes = np.array([0 if m is None else len(m[0]) for m in found])
+    first = np.r_[0, np.cumsum(sizes)]
+    known = [m for m in found if m is not None]
+    z = np.concatenate([m[0] for m in known]) if known else np.zeros(0, int)
+    r = np.concatenate([m[1] for m in known]) if known else np.zeros((0, 3))
+    s = surroundings(z, r, first)
+    owner = np.repeat(np.arange(len(found)), sizes)
+    edges = np.r_[0, np.cumsum(np.bincount(owner[s.bond.i], minlength=len(found)))] if len(owner) else np.zeros(len(found) + 1, int)
+    begin = first[owner[s.bond.i]] if len(owner) else np.zeros(0, int)
+    edge = pa.StructArray.from_arrays(
+        [pa.array((s.bond.i - begin).astype(np.int32)), pa.array((s.bond.j - begin).astype(np.int32)), *[pa.array(np.ascontiguousarray(s.bond.unit[:, a])) for a in range(3)]],
+        ["i", "j", "ux", "uy", "uz"],
+    )
+    whole = np.arange(len(found) + 1)
+    blocks = [_ragged(pa.array(b.ravel()), whole * b.shape[1], missing) for b in (s.groups, s.qeq, s.rdf)]
+    columns = [_ragged(pa.array(s.element.astype(np.int8)), first, missing), _ragged(_matrix(s.x), first, missing), _ragged(pa.array(s.q), first, missing), *blocks, _ragged(edge, edges, missing)]
+    return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "element", "features", "qeq_charges", "groups", "qeq", "rdf", "edges"])
 
 
 def atom_table(described: DataFrame, table: DataFrame) -> DataFrame:

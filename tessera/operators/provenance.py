@@ -44,18 +44,22 @@ def stable_repr(value: object) -> str:
 
 
 def git_hash(folder: str | Path = ".", ignore: tuple[str, ...] = ("results", "figures", "splits")) -> str:
-    """HEAD, with -dirty if files outside the ignored folders changed; nocommit without commits, nogit without a repository."""
-    run = lambda *a: subprocess.run(["git", "-C", str(folder), *a], capture_output=True, text=True)
+    """HEAD, with -dirty if files outside the ignored folders changed; nocommit without commits, nogit without a repository.
+
+    Read from one porcelain report: its header names the commit, every other line is a change.
+    """
+    where = ["--", ".", *(f":(exclude){name}" for name in ignore)]
     try:
-        if run("rev-parse", "--git-dir").returncode:
-            return "nogit"
+        report = subprocess.run(["git", "-C", str(folder), "status", "--porcelain=v2", "--branch", *where], capture_output=True, text=True)
     except FileNotFoundError:
         return "nogit"
-    head = run("rev-parse", "HEAD")
-    if head.returncode:
+    if report.returncode:
+        return "nogit"
+    lines = report.stdout.splitlines()
+    commit = next((line.split()[-1] for line in lines if line.startswith("# branch.oid")), "(initial)")
+    if commit == "(initial)":
         return "nocommit"
-    changed = run("status", "--porcelain", "--", ".", *[f":(exclude){p}" for p in ignore]).stdout.strip()
-    return head.stdout.strip() + ("-dirty" if changed else "")
+    return commit + "-dirty" * any(not line.startswith("#") for line in lines)
 
 
 def package_versions(names: list[str]) -> dict[str, str | None]:
@@ -85,18 +89,23 @@ def check_environment(pins: dict[str, str]) -> list[str]:
     return [f"{n} is {found[n]}, pinned {v}" for n, v in pins.items() if found[n] != v]
 
 
-def output_group(name: str, routes: list[tuple[str, str]]) -> str:
-    """Folder of the first pattern that a result name matches, "" for none."""
-    return next((folder for pattern, folder in routes if re.match(pattern, name)), "")
-
-
-def output_group_column(name: Column, routes: list[tuple[str, str]]) -> Column:
+def output_groups(names: Column, routes: list[tuple[str, str]]) -> Column:
+    """Folder of the first (pattern, folder) whose pattern a result name begins with, "" for none."""
     case = F.when(F.lit(False), F.lit(""))
     for pattern, folder in routes:
-        case = case.when(name.rlike(f"^(?:{pattern})"), F.lit(folder))
+        case = case.when(names.rlike(f"^(?:{pattern})"), F.lit(folder))
     return case.otherwise(F.lit(""))
 
 
+def routed_path(root: str | Path, name: str, routes: list[tuple[str, str]]) -> Path:
+    """Where the result or figure `name` belongs under root; its folder is made if it is not there."""
+    whole = re.compile("|".join(f"(?P<g{k}>{pattern})" for k, (pattern, _) in enumerate(routes)) or "(?!)")
+    hit = whole.match(name)
+    path = Path(root, routes[int(hit.lastgroup[1:])][1] if hit else "", name)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    return path
+
+
 @contextmanager
 def timed(label: str, log=print):
     began = time.time()

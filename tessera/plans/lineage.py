@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where nothing is set (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Only a session whose executors are threads of this process (tests,
+    local work) gets a temporary one where nothing is set; a cluster without a shared folder is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     wanted = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not wanted and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -156,11 +156,35 @@ def test_ring_sizes():
 
 
 def test_equilibrated_charges_are_neutral():
-    z, r = METHANE
-    q = mk.equilibrate(mk.places(z), mk.distances(r))
+    from tessera.operators.surroundings import one
+
+    q = one(*METHANE).q
     assert q.sum() == pytest.approx(0, abs=1e-12) and q[0] < 0 and np.ptp(q[1:]) < 1e-9
 
 
+def test_surroundings_by_hand_and_one_by_one(spark):
+    from tessera.operators import features as ft
+    from tessera.operators.surroundings import one, surroundings
+
+    x = one(*METHANE).x
+    at = {n: k for k, n in enumerate(mk.ATOM_FEATURES)}
+    assert x[0, at["degree"]] == 4 and x[0, at["bonded_H"]] == 4 and (x[1:, at["shell2_H"]] == 3).all()
+    assert x[0, at["angle_cos_mean"]] == pytest.approx(-1 / 3) and x[0, at["bond_vector_asymmetry"]] == pytest.approx(0, abs=1e-12)
+    assert x[0, at["radial_H_1.44"]] == pytest.approx(4 * (math.cos(math.pi * 1.09 / 5) + 1) / 2 * math.exp(-((1.09 - mk.RADIAL_CENTRES[1]) ** 2) / 0.32))
+    assert x[0, at["nuclear_potential"]] == pytest.approx(4 / 1.09)
+    water = (np.array([8, 1, 1]), np.array([[0, 0, 0], [0.96, 0, 0], [-0.24, 0.93, 0]]))
+    alone = (np.array([6]), np.zeros((1, 3)))
+    mols = [METHANE, alone, water, METHANE]
+    whole = surroundings(np.concatenate([m[0] for m in mols]), np.concatenate([m[1] for m in mols]), np.r_[0, np.cumsum([len(m[0]) for m in mols])])
+    each = [one(*m) for m in mols]
+    assert np.allclose(whole.x, np.concatenate([s.x for s in each])) and np.allclose(whole.rdf, np.concatenate([s.rdf for s in each]))
+    assert (whole.groups == np.concatenate([s.groups for s in each])).all() and whole.qeq[1].tolist() == [0, 0, 0]
+    rows = [(k, m[0].tolist(), m[1].ravel().tolist()) for k, m in enumerate(mols)] + [(9, None, None), (10, [6], [0.0]), (11, [2], [0.0] * 3)]
+    got = {r.id: r for r in ft.environments(spark.createDataFrame(rows, "id bigint, z array<int>, r array<double>")).collect()}
+    assert len(got[0].edges) == 8 and len(got[1].features) == 1 and got[9].features is None and got[10].edges is None and got[11].groups is None
+    assert np.allclose(got[2].features, each[2].x) and [e.i for e in got[2].edges] == [0, 0, 1, 2]
+
+
 def test_closed_form_equals_simulation():
     x = np.random.default_rng(0).uniform(-1, 1, (5, 4))
     z = qu.pauli_expectations(qu.statevectors(qu.encoding_circuit(4, 4), 4, x), 4)[:, 2]
@@ -219,25 +243,65 @@ def test_ridge_and_pls(spark):
     assert abs(scores[:, 0] @ scores[:, 1]) < 1e-8
 
 
-def test_latent_charge_gradients():
+def _charge_rows(rng, sizes=(3, 4)):
+    edges = np.array([(0, 1, 1.0, 0.0, 0.0), (1, 0, -1.0, 0.0, 0.0), (1, 2, 0.0, 0.6, 0.8), (2, 1, 0.0, -0.6, -0.8)])
+    return [(rng.standard_normal((n, 3)), (p := rng.standard_normal((n, 3))) - p.mean(0), rng.integers(0, 5, n), edges) for n in sizes]
+
+
+@pytest.mark.parametrize("loss", ["mse", "mae", "huber"])
+def test_latent_charge_gradients(loss):
     from tessera.operators.latent_charge import LatentCharge, Molecules
 
     rng = np.random.default_rng(1)
-    rows = [(rng.standard_normal((n, 3)), rng.standard_normal((n, 3)), [(0, 1, 1.0, 0.0, 0.0), (1, 0, -1.0, 0.0, 0.0)]) for n in (3, 4)]
-    model, g, y = LatentCharge(hidden=(4, 3), rounds=1, loss="mse"), Molecules.of(rows), np.array([1.0, 2.0])
-    p = model.start(3)
-    pred, keep = model.forward(p, g)
-    grads = model.backward(p, g, keep, model.loss_slope(pred, y)[1])
-    for name, d in grads.items():
-        flat = p[name].reshape(-1)
+    model, g, y = LatentCharge(hidden=(4, 3), rounds=2, loss=loss), Molecules.of(_charge_rows(rng)), np.array([0.01, 0.2])
+    weights = {k: v + 0.1 * rng.standard_normal(v.shape) for k, v in model.start(3).items()}
+    _, found = model.gradient(weights, g, y)
+    assert set(found) == set(weights)
+    for name, slope in found.items():
+        flat = weights[name].reshape(-1)
         for k in range(0, flat.size, 3):
             old = flat[k]
-            flat[k] = old + 1e-6
-            up = model.loss_slope(model.forward(p, g)[0], y)[0]
-            flat[k] = old - 1e-6
-            down = model.loss_slope(model.forward(p, g)[0], y)[0]
+            sides = []
+            for step in (1e-6, -1e-6):
+                flat[k] = old + step
+                sides.append(model.gradient(weights, g, y)[0])
             flat[k] = old
-            assert (up - down) / 2e-6 == pytest.approx(d.reshape(-1)[k], rel=1e-4, abs=1e-6)
+            assert (sides[0] - sides[1]) / 2e-6 == pytest.approx(slope.reshape(-1)[k], rel=1e-4, abs=1e-6)
+
+
+def test_latent_charge_symmetry_and_learning():
+    from tessera.operators.latent_charge import ChargeEnsemble, LatentCharge
+
+    rng = np.random.default_rng(2)
+    rows = _charge_rows(rng, [4] * 60)
+    true = np.array([0.7, -0.3, 0.2])
+    y = np.array([np.linalg.norm((x @ true) @ pos) * 4.8032 for x, pos, _, _ in rows])
+    model = LatentCharge(hidden=(), dipoles=False, least_steps=600, epochs=5, patience=500, rate_patience=500, rate=0.02).fit(rows, y)
+    assert np.abs(model.predict(rows) - y).mean() < 0.2 * y.mean()
+    turn = mk.rotation(rng)
+    moved = [(x, pos @ turn.T, e, np.c_[edge[:, :2], edge[:, 2:] @ turn.T]) for x, pos, e, edge in rows]
+    both = LatentCharge(hidden=(5,), rounds=1, least_steps=10, epochs=1, patience=1).fit(rows, y)
+    assert np.abs(both.predict(moved) - both.predict(rows)).max() < 1e-9
+    assert np.abs(both.dipole_vectors(moved) - both.dipole_vectors(rows) @ turn.T).max() < 1e-9
+    assert max(abs(q.sum()) for q in both.charges(rows)) < 1e-9
+    pair = ChargeEnsemble(LatentCharge(hidden=(), least_steps=10, epochs=1), 2).fit(rows, y)
+    assert np.allclose(pair.predict(rows), (pair.members[0].predict(rows) + pair.members[1].predict(rows)) / 2)
+    assert model.predict([]).shape == (0,) and model.charges([]) == []
+
+
+def test_degrees_of_freedom_equal_the_trace():
+    from tessera.operators.complexity import smoother_df
+    from tessera.operators.linear import rbf
+
+    x = np.random.default_rng(0).standard_normal((30, 4))
+    x[:, 3] = x[:, 0] + x[:, 1]
+    mean = np.full((30, 30), 1 / 30)
+    k = rbf(x, x, 0.3)
+    smooth = k @ np.linalg.inv(k + 0.1 * np.eye(30)) @ (np.eye(30) - mean) + mean
+    assert smoother_df("rbf", x, 0.1, gamma=0.3) == pytest.approx(np.trace(smooth))
+    c = x - x.mean(0)
+    assert smoother_df("ridge", x, 2.0) == pytest.approx(1 + np.trace(c @ np.linalg.inv(c.T @ c + 2 * np.eye(4)) @ c.T))
+    assert smoother_df("linear", x) == pytest.approx(4) and smoother_df("mean", x) == 1 and smoother_df("forest", x) is None
 
 
 def test_catalog_is_consistent():

@@ -8,7 +8,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.provenance import config_hash, output_group, pinned_versions, stable_repr
+from tessera.operators.provenance import config_hash, pinned_versions, routed_path, stable_repr
 from tessera.sources import records, results
 from tessera.streaming import scorer
 
@@ -61,7 +61,8 @@ def test_id_list_and_runs(spark, tmp_path):
 def test_provenance():
     assert config_hash({"b": 1, "a": (2,)}) == config_hash({"a": [2], "b": 1})
     assert stable_repr(object()) == "<object object>"
-    assert output_group("q_x", [("p", "one"), ("q_", "two")]) == "two" and output_group("z", []) == ""
+    assert routed_path(tmp_path, "q_x", [("p", "one"), ("q_", "two"), ("q", "three")]) == tmp_path / "two" / "q_x" and (tmp_path / "two").is_dir()
+    assert routed_path(tmp_path, "z", []) == tmp_path / "z"
     assert pinned_versions("a==1.0\n# c\nb>=2\n") == {"a": "1.0"}
 
 
