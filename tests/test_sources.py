@@ -58,7 +58,7 @@ def test_id_list_and_runs(spark, tmp_path):
     assert results.next_run_number(spark.createDataFrame([(3,)], "run int")) == 4
 
 
-def test_provenance():
+def test_provenance(tmp_path):
     assert config_hash({"b": 1, "a": (2,)}) == config_hash({"a": [2], "b": 1})
     assert stable_repr(object()) == "<object object>"
     assert routed_path(tmp_path, "q_x", [("p", "one"), ("q_", "two"), ("q", "three")]) == tmp_path / "two" / "q_x" and (tmp_path / "two").is_dir()
