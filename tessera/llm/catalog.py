@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import alike, neighbours, packing, proportions, quality, stable, together, tokens
+from tessera.llm import alike, neighbours, oracles, packing, proportions, quality, stable, together, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_sample": stable.p2_sample,
         "p3_found": together.p3_found,
         "p3_assign": together.p3_assign,
+        "p3_report": together.p3_report,
         "p4_found": alike.p4_found,
         "p4_groups": alike.p4_groups,
         "p5_found": neighbours.p5_found,
@@ -33,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -9,36 +9,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.feistel import feistel, under_rate
+from tessera.llm.feistel import feistel, under_rate
 from tessera.llm.tables import builds, fill_orders
 
 
-def stable_sample(rows: DataFrame, ident: str, rate: Column | float, *key: Column | int | str) -> DataFrame:
-    """The rows whose identifier is chosen at this rate under this key; columns as given.
+def stable_sample(rows: DataFrame, ident: str, rate: Column | float, *key: Column | int | str, keep: Column | None = None) -> DataFrame:
+    """The rows whose identifier is chosen at this rate under this key, and those that `keep` names; columns as given.
 
-    The choice looks at one identifier only: no state, no shuffle, the same under any partitioning, nested in the rate,
-    and never undone by other rows. Rows whose identifier is null, negative or beyond the domain are never chosen;
-    a repeated identifier is chosen with all its rows or none; a null rate chooses nothing.
+    The choice looks at one row only: no state, no shuffle, the same under any partitioning, nested in the rate, and never
+    undone by other rows. Rows whose identifier is null, negative or beyond the domain are never chosen by the permutation;
+    a repeated identifier is chosen with all its rows or none; a null rate or a null `keep` chooses nothing.
     """
-    return rows.where(F.coalesce(under_rate(feistel(F.col(ident), *key), rate), F.lit(False)))
+    chosen = F.coalesce(under_rate(feistel(F.col(ident), *key), rate), F.lit(False))
+    return rows.where(chosen if keep is None else chosen | F.coalesce(keep, F.lit(False)))
 
 
-def dropped_records(orders: DataFrame, group: list[str], revision: str, ident: str, rank: str, limits: str) -> DataFrame:
-    """(group, revision, limit, ident) of records chosen in revision - 1, still held by `revision`, but not chosen there.
+def continued_sample(orders: DataFrame, group: list[str], revision: str, ident: str, rank: str, limits: str) -> DataFrame:
+    """(group, revision, limit, ident, before, rank): what a stable sample of each revision holds, for every limit.
 
-    A record is chosen under a limit if its rank is smaller; `limits` is an array column. Records are matched on their
-    permuted identifiers, a one to one stand-in that spreads any pattern of identifiers (and any hot group) evenly over
-    the tasks; identifiers outside the domain stand for themselves. Null ranks choose nothing; revisions that are not
-    there are not compared; a record listed twice counts with its smallest rank.
+    orders: one row per place of a fill order (group, revision, ident, rank) with `limits`, an array of sample sizes; the
+    stored sample under a limit is the identifiers with a smaller rank. The sample of a revision keeps all that the stored
+    sample of revision - 1 held and the revision still has (`before`), and takes newcomers by the permutation at the rate
+    of the limit to the size of the group's first revision. rank is where the revision itself stores the identifier.
+    Null ranks choose nothing; a revision whose predecessor is not there keeps nothing; a record listed twice counts with
+    its smallest rank.
     """
-    place = F.coalesce(feistel(F.col(ident), *[F.col(g) for g in group]), F.col(ident)).alias("_place")
-    held = orders.select(*group, revision, place, ident, rank, limits)
-    held = held.groupBy(*group, "_place", ident, revision).agg(F.min(rank).alias("_rank"), F.first(limits).alias("_limits"))
-    before = Window.partitionBy(*group, "_place", ident).orderBy(revision)
-    pairs = held.withColumn("_was", F.lag("_rank").over(before)).withColumn("_at", F.lag(revision).over(before))
-    lost = pairs.where((F.col("_at") == F.col(revision) - 1) & (F.col("_was") < F.col("_rank")))
-    limit = F.explode(F.array_distinct(F.filter("_limits", lambda n: (n > F.col("_was")) & (n <= F.col("_rank")))))
-    return lost.select(*group, revision, limit.alias("_limit"), ident)
+    held = orders.select(*group, revision, ident, rank, limits)
+    held = held.groupBy(*group, ident, revision).agg(F.min(rank).alias("_rank"), F.first(limits).alias("_limits"))
+    sizes = held.groupBy(*group, revision).agg(F.count("*").alias("_held")).groupBy(*group).agg(F.min_by("_held", revision).alias("_held"))
+    earlier = Window.partitionBy(*group, ident).orderBy(revision)
+    follows = F.lag(revision).over(earlier) == F.col(revision) - 1
+    placed = held.withColumn("_was", F.when(follows, F.lag("_rank").over(earlier)))
+    sized = placed.select(*group, revision, ident, "_rank", "_was", F.explode(F.array_distinct("_limits")).alias("_limit")).join(sizes, group)
+    before = F.coalesce(F.col("_was") < F.col("_limit"), F.lit(False))
+    sample = stable_sample(sized, ident, F.col("_limit") / F.col("_held"), *[F.col(g) for g in group], keep=before)
+    return sample.select(*group, revision, "_limit", ident, before.alias("before"), "_rank")
+
+
+def dropped_records(orders: DataFrame, group: list[str], revision: str, ident: str, rank: str, limits: str) -> DataFrame:
+    """(group, revision, limit, ident): members that the stable sample keeps and the stored sample of the revision lacks."""
+    kept = continued_sample(orders, group, revision, ident, rank, limits)
+    return kept.where(F.col("before") & (F.col("_rank") >= F.col("_limit"))).select(*group, revision, "_limit", ident)
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,14 +65,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stable_training_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(build_id, revision, seed, n_train, id): training sets that keep their members when molecules are added.
 
-    The rate of a size is n_train over the number of molecules that the first revision of the build's order holds; it
-    stays as it is in later revisions, so a set loses only molecules that were withdrawn.
+    An anchor of an order is in every set from the revision that names it on. The other members are chosen at the rate that
+    fills n_train in the first revision; it stays as it is later, so a set loses only molecules that were withdrawn.
     """
     orders = _orders(spark, sf_dir)
-    first = orders.groupBy("build_id", "seed", "revision").agg(F.count("*").alias("held"))
-    first = first.groupBy("build_id", "seed").agg(F.min_by("held", "revision").alias("held"))
-    sized = orders.select("build_id", "seed", "revision", "id", F.explode(F.array_distinct("train_sizes")).alias("n_train")).join(first, ["build_id", "seed"])
-    chosen = stable_sample(sized, "id", F.col("n_train") / F.col("held"), F.col("build_id"), F.col("seed"))
+    since = Window.partitionBy("build_id", "seed", "id").orderBy("revision").rowsBetween(Window.unboundedPreceding, 0)
+    orders = orders.withColumn("anchor", F.max("is_anchor").over(since))
+    first = orders.groupBy("build_id", "seed", "revision").agg(F.count("*").alias("held"), F.count_if("anchor").alias("anchors"))
+    first = first.groupBy("build_id", "seed").agg(F.min_by("held", "revision").alias("held"), F.min_by("anchors", "revision").alias("anchors"))
+    sized = orders.select("build_id", "seed", "revision", "id", "anchor", F.explode(F.array_distinct("train_sizes")).alias("n_train")).join(first, ["build_id", "seed"])
+    rate = F.try_divide(F.greatest(F.col("n_train") - F.col("anchors"), F.lit(0)), F.col("held") - F.col("anchors"))
+    chosen = stable_sample(sized, "id", rate, F.col("build_id"), F.col("seed"), keep=F.col("anchor"))
     return chosen.select("build_id", "revision", "seed", "n_train", "id")
 
 
