@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_ids": tokens.p6_ids,
         "p7_found": packing.p7_found,
         "p7_pack": packing.p7_pack,
+        "p7_report": packing.p7_report,
         "p8_found": quality.p8_found,
         "p8_flags": quality.p8_flags,
         "p8_profile": quality.p8_profile,

@@ -17,7 +17,9 @@ from tessera.plans.lineage import cut
 
 CAPACITY = 2048
 #: Documents, and containers' worth of tokens, that one shard is meant to hold; shards are packed side by side.
-SHARD_ITEMS, SHARD_CONTAINERS = 20_000, 4_000
+SHARD_ITEMS, SHARD_CONTAINERS = 5_000, 1_000
+#: Equal rows, and containers of one long item, that are made from one row at once.
+STRETCH = 500
 
 
 def pack_in_order(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,17 +63,25 @@ def pack(items: DataFrame, ident: str, size: str, capacity: int = CAPACITY) -> D
     An item of at most `capacity` stays whole; a longer one is cut into full containers and one rest, parts counted from 0,
     `begin` being the part's first token and `place` its place in the container. Items of size 0 (or null, or negative)
     take no room and lie in the first container of their shard. Repeated identifiers are items of their own; null
-    identifiers are packed too. Items are spread over shards by hash, so that no task holds more than a bounded share; each
-    shard leaves at most a few containers that are not nearly full. The result depends on the items only.
+    identifiers are packed too. Equal rows are counted and numbered, and items are spread over shards by a hash of
+    identifier, size and number, so that no identifier or size, however often it comes, fills a shard. The parts of an item
+    longer than a shard's containers are spread as well. The result depends on the items only.
     """
     clean = items.select(F.col(ident), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("_size"))
-    n, total = clean.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    counted = cut(clean.groupBy(ident, "_size").agg(F.count("*").alias("_rows")))
+    n, total = counted.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.sum(F.col("_rows") * F.col("_size")), F.lit(0))).first()
     shards = max(1, -(-n // SHARD_ITEMS), -(-total // (capacity * SHARD_CONTAINERS)))
-    # hot identifiers and hot sizes must not fill one shard: rows with the same identifier and size are told apart by hash of both
-    sharded = clean.withColumn("_shard", F.pmod(F.xxhash64(ident, "_size"), F.lit(shards)))
+    tasks = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards)
+    # copies, then stretches of at most STRETCH containers, each first in runs and then one by one, so that no row grows far
+    runs = lambda count, step: F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(count, F.lit(1)) - 1, F.lit(step).cast("bigint")))
+    copies = counted.withColumn("_from", runs(F.col("_rows"), STRETCH)).repartition(tasks, ident, "_size", "_from")
+    copies = copies.withColumn("_copy", F.explode(F.sequence("_from", F.least(F.col("_from") + STRETCH, F.col("_rows")) - 1)))
+    pieces = copies.withColumn("_begin", runs(F.col("_size"), STRETCH * capacity))
+    shard = F.pmod(F.xxhash64(ident, "_size", "_copy", "_begin"), F.lit(shards))
+    sharded = pieces.select(shard.alias("_shard"), ident, "_begin", F.least(F.col("_size") - F.col("_begin"), F.lit(STRETCH * capacity)).alias("_size"), F.xxhash64(F.lit("order"), ident, "_begin").alias("_order"), "_copy")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_order", ident, "_size"], kind="stable")
+        pdf = pdf.sort_values(["_order", ident, "_begin", "_size", "_copy"], kind="stable")
         sizes = pdf["_size"].to_numpy()
         parts = np.maximum(1, -(-sizes // capacity))
         row = np.repeat(np.arange(len(pdf)), parts)
@@ -81,12 +91,13 @@ def pack(items: DataFrame, ident: str, size: str, capacity: int = CAPACITY) -> D
         place = np.zeros(len(row), np.int64)
         some = length > 0
         container[some], place[some] = pack_in_order(length[some], capacity)
+        begin = pdf["_begin"].to_numpy()[row] + part * capacity
         return pd.DataFrame(
             {
                 "container": (pdf["_shard"].to_numpy()[row] << 32) + container,
                 ident: pdf[ident].to_numpy()[row],
-                "part": part,
-                "begin": part * capacity,
+                "part": begin // capacity,
+                "begin": begin,
                 "tokens": length,
                 "place": place,
             }
@@ -94,7 +105,17 @@ def pack(items: DataFrame, ident: str, size: str, capacity: int = CAPACITY) -> D
 
     kind = items.schema[ident].dataType.simpleString()
     schema = f"container bigint, `{ident}` {kind}, part int, begin bigint, tokens bigint, place int"
-    return sharded.withColumn("_order", F.xxhash64(F.lit("order"), ident)).groupBy("_shard").applyInPandas(fill, schema)
+    # a stated number of tasks is not coalesced, so shards are packed side by side
+    return sharded.repartition(tasks, "_shard").groupBy("_shard").applyInPandas(fill, schema)
+
+
+def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(containers, tokens, least, unused, unused_share): how tight a packing is; least is the number of containers that
+    the tokens would fill without a gap."""
+    held = packed.where("tokens > 0").groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    every = held.agg(F.count("*").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    room = F.col("containers") * capacity
+    return every.select("containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("least"), (room - F.col("tokens")).alias("unused"), F.try_divide(room - F.col("tokens"), room).alias("unused_share"))
 
 
 def document_containers(spark: SparkSession, sf_dir: str, capacity: int = CAPACITY) -> DataFrame:
@@ -107,6 +128,11 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_containers(spark, sf_dir)
 
 
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers there are and how much room in them is unused."""
+    return fill_report(document_containers(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the packing had to split."""
     return document_containers(spark, sf_dir).where("part = 1").select("doc_id").distinct()

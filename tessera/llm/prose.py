@@ -1,64 +1,50 @@
-"""What share of a text stands in running sentences, whatever its layout.
+"""Segments of a text, whatever its layout: the pieces between stops, as numbers that a learned model can judge.
 
-A sentence is told by the words that join clauses or carry a verb (pronouns, auxiliaries, conjunctions, question words):
-lists of noun phrases have articles and prepositions too, but hardly ever those. The lists below are fixed values; words
-that are an article or a preposition in one of the languages are left out of the others' lists.
+Nothing here knows a language. Layout (line marks, blank lines, stops) is told by general punctuation; what the words of a
+segment say is left to weights learned from the corpus (quality.py). Words are named by hash buckets, so that a model has a
+fixed size whatever the vocabulary.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
-# Words of clauses, by language.
-CLAUSE_WORDS = {
-    "en": """am is are was were be been being isn't aren't wasn't weren't has have had hasn't haven't hadn't do does did don't
-        doesn't didn't will would won't wouldn't shall should shouldn't can could can't cannot couldn't may might must mustn't
-        you he she it we they him us them i'm you're he's she's it's we're they're i've you've we've they've i'd you'd he'd
-        she'd we'd they'd i'll you'll he'll she'll we'll they'll that's there's what's who's let's this that these those
-        there here who whom whose which what why when where whoever whatever whether how if because since although though
-        unless until while once after before but so then nobody somebody anybody everybody nothing something anything said
-        says say asked told found went came took made makes make got get gets gave""",
-    "fr": """ce c'est est sont était étaient été être ont avait avaient avoir fait il elle ils elles nous vous je tu ne n'est
-        n'a n'ont n'était n'y qu'il qu'elle qu'on qu'à que qui quoi quand si lorsque lorsqu'il parce car mais où donc dès
-        puis pas jamais rien personne eux devient deviennent reste restent perd tombe sera seront faut faudra peut peuvent doit s'est s'il""",
-    "es": """es era eran fue fueron ser estar está están estaba había han hay habrá lo que quien cuando si porque pero donde
-        aunque mientras hasta nadie nada él ella ellos ellas yo tú nosotros muy parece pareció dice
-        sigue siguen siendo""",
-    "de": """ist sind war waren sein wird werden wurde wurden hat haben hatte hatten nicht kein keine ich du er sie es wir ihr
-        niemand nichts dass daß wenn weil obwohl ob aber denn sondern wie was wer wo dann noch schon muss müssen kann können
-        soll wollte bleibt liegt liegen""",
-    "it": "è sono erano era stato essere ha hanno aveva non che chi quando perché ma dove lui lei loro noi voi io anche",
-    "pt": "é são foi eram ser está não que quem quando porque mas onde ele ela eles elas nós eu",
-    "nl": "is zijn waren werd worden heeft hebben had niet dat wie wanneer omdat maar waar hij zij wij ik jij het",
-    "sv": "är var vara blev har hade inte som när eftersom han hon vi jag",
-    "pl": "jest są był była było nie że kto kiedy jeśli ale gdzie ona oni my ja się",
-    "ru": "это был была было были не что кто когда если но где он она они мы я ты вы как так уже ещё бы",
-}
-# Articles, prepositions and the like, which stand in lists as well as in sentences.
-PLAIN_WORDS = """the a an of in on at by per for from to with without and or no not every more than as
-    le la les un une des du de d' l' au aux en et ou par pour avec sans sur dans se me te
-    el los las una y o del al con sin por para un
-    der die das den dem des ein eine einen einem und oder von zu mit ohne im am auf für bei nach
-    il lo gli uno di da e o per con os as um uma do dos na no nas em"""
-
-CLAUSE = frozenset(w for words in CLAUSE_WORDS.values() for w in words.split())
-COMMON = CLAUSE | frozenset(PLAIN_WORDS.split())
-
-#: A sentence has at least so many words, so large a share of clause words, and so large a share of letters.
-MIN_WORDS, MIN_CLAUSE, MIN_LETTERS = 4, 0.03, 0.45
-#: In a language none of whose words are known, so many words and a final stop make a sentence.
-MIN_UNKNOWN = 6
-
-LINES = re.compile("\r\n|[\n\r\x0b\x0c  ]")
+#: Hash buckets of words, and the three buckets of what is no word: numbers, runs of letters and digits, pieces with neither.
+BUCKETS = 1 << 18
+NUMBER, MIXED, MARK = 0, 1, 2
+#: A segment that surely is a sentence has so many words, so large a share of letters, and a stop.
+SURE_WORDS, SURE_LETTERS = 6, 0.6
+#: Bits of a segment's kind: its first occurrence in the text, surely a sentence, surely without a stop.
+FIRST, SURE, OPEN = 1, 2, 4
+
+LINES = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
 # marks that a layout puts before a line: quotes, comments, headings, bullets, numbers, speakers
 MARKS = re.compile(r"(?:(?:>+|//+|#+|=+|[-*+•–—·▪◦]|\(?\[?\d{1,3}[\])]+\.?|\d{1,3}\.(?=\s)|[^\W\d_]{1,2}:(?=\s)|;;|--|%+|\|)[ \t]*)+")
 ITEM = re.compile(r"(?:[-*+•]|\(?\[?\d{1,3}[\])]|\d{1,3}\.|[^\W\d_]:)\s")
 STOPS = re.compile(r"([.!?…][\"'»”’)\]]*\s+|[。！？])")
-WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+RUN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 FINAL = re.compile(r"[.!?…。！？।؟][\"'»”’)\]]*$")
 WIDE = re.compile("[฀-๿぀-ヿ㐀-鿿가-힯]")
-#: Of random letters and digits, one blank-separated piece holds several runs of letters; of a sentence, about one.
-MAX_RUNS = 1.6
+
+STATISTICS = ["chars", "words", "mean_word_length", "symbol_ratio", "digit_ratio", "line_end_ratio", "repeated_line_ratio"]
+
+
+class Buckets(dict):
+    """Run of letters and digits to its bucket, kept for runs seen before."""
+
+    def __missing__(self, run: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        if any(map(str.isdigit, run)):
+            found = NUMBER if not any(map(str.isalpha, run)) else MIXED
+        else:
+            found = 3 + zlib.crc32(run.encode("utf-8", "surrogatepass")) % (BUCKETS - 3)
+        self[run] = found
+        return found
+
+
+_BUCKETS = Buckets()
 
 
 def paragraphs(text: str) -> tuple[list[str], list[str]]:
@@ -81,29 +67,28 @@ def paragraphs(text: str) -> tuple[list[str], list[str]]:
     return found, lines
 
 
-def is_sentence(segment: str, words: list[str], pieces: int) -> bool:
-    """words: the segment's words in lower case; pieces: how many parts blanks separate it into."""
-    n = len(words)
-    if n >= MIN_WORDS and n <= MAX_RUNS * pieces:
-        clause = sum(map(CLAUSE.__contains__, words))
-        if clause and clause >= MIN_CLAUSE * n:
-            return sum(map(len, words)) >= MIN_LETTERS * (len(segment) - pieces + 1)
-        if clause or n < MIN_UNKNOWN:
-            return False
-        if any(map(COMMON.__contains__, words)) or not FINAL.search(segment):
-            return False
-        return sum(not w[0].isupper() for w in WORD.findall(segment)) >= 0.6 * n and sum(map(len, words)) >= 0.6 * len(segment.replace(" ", ""))
-    # scripts without spaces
-    return len(WIDE.findall(segment)) >= 8 and bool(FINAL.search(segment))
-
-
-def statistics(text: str) -> tuple[float, ...]:
-    """The values of STATISTICS for a text that is not blank."""
+def runs_of(segment: str) -> list[str]:
+    """Runs of letters and digits in lower case; of scripts without blanks, pairs of neighbouring characters."""
+    runs = RUN.findall(segment.lower().replace("’", "'"))
+    if segment.isascii() or not WIDE.search(segment):
+        return runs
+    out = []
+    for run in runs:
+        out += [run[k : k + 2] for k in range(max(1, len(run) - 1))] if WIDE.search(run) else [run]
+    return out
+
+
+def describe(text: str) -> tuple[tuple[float, ...], list[int], list[int], list[int], list[int]]:
+    """(STATISTICS, word buckets of all segments, words, characters and kind of each segment) of a text that is not blank."""
     stripped = text.strip()
     total = len(stripped)
     parts, lines = paragraphs(text)
     seen: set[str] = set()
-    sentence_chars = word_chars = n_words = common = 0
+    buckets: list[int] = []
+    counts: list[int] = []
+    chars: list[int] = []
+    kinds: list[int] = []
+    word_chars = n_words = 0
     for part in parts:
         cuts = STOPS.split(part)
         cuts.append("")
@@ -112,30 +97,36 @@ def statistics(text: str) -> tuple[float, ...]:
             if not pieces:
                 continue
             segment = " ".join(pieces)
-            words = WORD.findall(segment.lower().replace("’", "'"))
-            n_words += len(words)
-            word_chars += sum(map(len, words))
-            common += sum(map(COMMON.__contains__, words))
-            if is_sentence(segment, words, len(pieces)):
-                key = segment.rstrip(".!?…").lower()
-                if key not in seen:
-                    seen.add(key)
-                    sentence_chars += len(segment) + 1
+            runs = runs_of(segment)
+            at = list(map(_BUCKETS.__getitem__, runs))
+            words = [run for run, bucket in zip(runs, at) if bucket > MARK]
+            n, letters = len(words), sum(map(len, words))
+            n_words += n
+            word_chars += letters
+            at += [MARK] * (len(pieces) - len(runs))
+            buckets += at
+            key = segment.rstrip(".!?…").lower()
+            kind = 0
+            if key not in seen:
+                seen.add(key)
+                kind = FIRST
+            if not FINAL.search(segment):
+                kind |= OPEN
+            elif n >= SURE_WORDS and letters >= SURE_LETTERS * (len(segment) - len(pieces) + 1):
+                kind |= SURE
+            counts.append(len(at))
+            chars.append(len(segment) + 1)
+            kinds.append(kind)
     filled = [line for line in map(str.strip, lines) if line]
     digits = sum(map(stripped.count, "0123456789"))
-    spaces = total - len("".join(stripped.split()))
-    solid = max(1, total - spaces)
-    return (
+    solid = max(1, len("".join(stripped.split())))
+    values = (
         float(total),
         float(n_words),
         word_chars / n_words if n_words else 0.0,
         max(0, solid - word_chars - digits) / solid,
         digits / solid,
         sum(1 for line in filled if FINAL.search(line)) / max(1, len(filled)),
-        common / n_words if n_words else 0.0,
         1 - len(set(filled)) / max(1, len(filled)),
-        min(1.0, sentence_chars / total),
     )
-
-
-STATISTICS = ["chars", "words", "mean_word_length", "symbol_ratio", "digit_ratio", "line_end_ratio", "common_ratio", "repeated_line_ratio", "prose_ratio"]
+    return values, buckets, counts, chars, kinds

@@ -158,6 +158,20 @@ def anneal(searches: list[Search], runs: int = RUNS, sweeps: int = SWEEPS) -> li
     return [start[chosen[k], b : b + n] for k, (b, n) in enumerate(zip(base, size))]
 
 
+def _part(left: np.ndarray, mass: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Goals (places, labels) of a block that holds `mass` of each label: sizes in proportion to what is left of each place,
+    labels as the block has them, as near to what is left of both as these sums allow (iterative proportional fitting)."""
+    size = np.maximum(left.sum(1), 0)
+    if not mass.sum() or not size.sum():
+        return np.zeros(left.shape)
+    size = size * mass.sum() / size.sum()
+    goal = np.maximum(left, 0) + 1e-6 * size[:, None]
+    for _ in range(rounds):
+        goal *= np.divide(mass, goal.sum(0), out=np.zeros(len(mass)), where=goal.sum(0) > 0)
+        goal *= np.divide(size, goal.sum(1), out=np.zeros(len(size)), where=goal.sum(1) > 0)[:, None]
+    return goal
+
+
 SEARCHED = "task bigint, component bigint, place int, label int, n double"
 
 
@@ -193,7 +207,8 @@ def _search(n_places: int, pins: list[int], seed: int):
             only[unit] = pin[rows[own]]
             allowed = np.where(only[:, None] >= 0, np.arange(n_places) == only[:, None], free)
             if block[rows[0]] >= 0:  # a block's part of what the large components left
-                goal = goal * np.divide(counts.sum(0), goal.sum(0), out=np.zeros(len(labels)), where=goal.sum(0) > 0)
+                goal = _part(goal, counts[only < 0].sum(0))
+            np.add.at(goal, only[only >= 0], counts[only >= 0])
             key = int(mixed(mixed(np.array([task[rows[0]] ^ seed], np.int64).view(np.uint64)) + np.array([block[rows[0]] + 2], np.int64).view(np.uint64))[0])
             found.append((rows[0], Search(key, names, counts, allowed, goal), labels))
         some = sorted((k for k in range(len(found)) if len(found[k][1].names)), key=lambda k: len(found[k][1].names))
@@ -203,13 +218,13 @@ def _search(n_places: int, pins: list[int], seed: int):
             places |= dict(zip(part, anneal([found[k][1] for k in part])))
         out: list[tuple] = []
         for k, (row, s, labels) in enumerate(found):
-            held = np.zeros(s.goal.shape)
+            left = s.goal.copy()
             if k in places:
-                np.add.at(held, places[k], s.counts)
+                np.add.at(left, places[k], -s.counts)
                 yield _rows(task[row], s.names, places[k])
             if block[row] < 0:
-                p, l = np.nonzero(s.goal > held)
-                out += [(int(task[row]), int(a), int(labels[b]), float(s.goal[a, b] - held[a, b])) for a, b in zip(p, l)]
+                p, l = np.nonzero(left)
+                out += [(int(task[row]), int(a), int(labels[b]), float(left[a, b])) for a, b in zip(p, l)]
         if out:
             t, p, l, left = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.nulls(len(t), pa.int64()), pa.array(p, pa.int32()), pa.array(l, pa.int32()), pa.array(left, pa.float64())], ["task", "component", "place", "label", "n"])
@@ -269,9 +284,9 @@ def assign_places(records: DataFrame, shares: DataFrame, places: list[str], free
     blocks = split.groupBy("task").agg(F.ceil(F.count_if(~F.col("large")) / BLOCK).cast("int").alias("blocks"))
     number = F.when(F.col("large"), -1).otherwise(F.pmod(F.xxhash64(F.lit(seed), "task", "component"), F.greatest("blocks", F.lit(1))).cast("int"))
     long = _by_task(split, blocks, "component").select("task", number.alias("block"), "component", "pin", F.explode("labels").alias("e")).select("task", "block", "component", "pin", F.lit(None).cast("int").alias("place"), "e.label", "e.n")
-    # the component's own pin, not that of one of its labels, says where its records belong
-    pinned = counted.drop("pin").join(whole.select("task", "component", "pin"), ["task", "component"])
-    goals = _goals(pinned, shares, places, free)
+    # records of pinned components are goals of their place, which the search adds by itself
+    loose = split.where("pin is null").select("task", F.explode("labels").alias("e")).select("task", F.col("e.label").alias("label"), F.lit(None).cast("string").alias("pin"), F.col("e.n").alias("n"))
+    goals = _goals(loose, shares, places, free)
     as_goal = lambda df, block: df.select("task", block.alias("block"), F.lit(None).cast("bigint").alias("component"), F.lit(None).cast("int").alias("pin"), "place", "label", F.col("n").cast("double").alias("n"))
     run = _search(len(places), [places.index(p) for p in free], seed)
     tasks = _tasks(counted)

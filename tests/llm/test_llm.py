@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import alike, neighbours, packing, proportions, quality, stable, structures, together, tokens
-from tessera.llm.prose import statistics
+from tessera.llm.components import connected_components
+from tessera.llm.feistel import feistel
 
 PROSE = "We looked at the table again, because the residual was larger than we had expected."
 
@@ -53,28 +54,77 @@ def test_stable_sample_keeps_what_it_chose(spark):
     assert stable.stable_sample(odd, "id", 1.0, "key").count() == 0
 
 
+def test_stable_sample_keeps_what_it_is_told(spark):
+    rows = spark.range(3000).withColumn("anchor", F.when(F.col("id") % 7 == 0, F.col("id") % 14 == 0))
+    plain = {r.id for r in stable.stable_sample(rows, "id", 0.1, 5).collect()}
+    kept = {r.id for r in stable.stable_sample(rows, "id", 0.1, 5, keep=F.col("anchor")).collect()}
+    assert kept == plain | set(range(0, 3000, 14))
+
+
 def test_dropped_records(spark):
-    rows = [(1, 0, 1, 10, 0), (1, 0, 1, 11, 1), (1, 0, 1, 12, 2), (1, 0, 2, 10, 2), (1, 0, 2, 12, 0), (1, 0, 4, 12, 5), (1, 0, 1, 10, 0)]
+    rows = [(1, 0, 1, 10, 0), (1, 0, 1, 11, 1), (1, 0, 1, 12, 2), (1, 0, 2, 10, 2), (1, 0, 2, 12, 0), (1, 0, 4, 12, 5), (1, 0, 1, 10, 0), (1, 0, 2, -4, 9), (1, 0, 1, -4, 1)]
     df = spark.createDataFrame(rows, "b bigint, s bigint, rev int, id bigint, pos int").withColumn("n", F.array(F.lit(1), F.lit(2)))
     got = {tuple(r) for r in stable.dropped_records(df, ["b", "s"], "rev", "id", "pos", "n").collect()}
-    assert got == {(1, 0, 2, 1, 10), (1, 0, 2, 2, 10)}
+    assert got == {(1, 0, 2, 1, 10), (1, 0, 2, 2, 10), (1, 0, 2, 2, -4)}
+    held = stable.continued_sample(df, ["b", "s"], "rev", "id", "pos", "n")
+    assert {(r.rev, r._limit) for r in held.where("before and id = 10").collect()} == {(2, 1), (2, 2)}
+    assert stable.dropped_records(df.where("false"), ["b", "s"], "rev", "id", "pos", "n").count() == 0
+
+
+def test_feistel_is_a_permutation(spark):
+    rows = spark.range(256).select(feistel(F.col("id"), 7, bits=8).alias("p"), feistel(F.col("id"), 8, bits=8).alias("q")).collect()
+    assert sorted(r.p for r in rows) == list(range(256)) and [r.p for r in rows] != [r.q for r in rows]
+    assert spark.range(1).select(feistel(F.lit(-1)), feistel(F.lit(1 << 50)), feistel(F.lit(None).cast("bigint"))).first() == (None, None, None)
 
 
 # splits
 
 
-def test_places_keep_components_and_shares(spark):
-    rows = [(t, c, c % 3, "held" if c == 5 else None) for t in (1, 2) for c in range(200) for _ in range(1 + (c % 4) + (150 if c == 7 else 0))]
-    records = spark.createDataFrame(rows, "task bigint, component bigint, label int, pin string")
+def _split_records(spark, tasks):
+    rows = [(t, c, c % 3, "held" if c == 5 else None) for t in tasks for c in range(200) for _ in range(1 + (c % 4) + (150 if c == 7 else 0))]
+    rows += [(None, 1, 1, None), *[(t, c, 1, None) for t in tasks for c in (None, 5)]]
+    return rows, spark.createDataFrame(rows, "task bigint, component bigint, label int, pin string").withColumn("place", F.lit("clash"))
+
+
+def test_places_keep_components_and_shares(spark, monkeypatch):
     shares = spark.createDataFrame([(1, 8.0, 1.0, 1.0)], "task bigint, share_0 double, share_1 double, share_2 double")
-    got = {(r.task, r.component): r.place for r in together.assign_places(records, shares, ["train", "dev", "test"]).collect()}
-    assert len(got) == 400 and got[1, 5] == "held"
-    sizes = {}
-    for t, c, _, _ in rows:
-        sizes[t, got[t, c]] = sizes.get((t, got[t, c]), 0) + 1
-    free = sum(v for (t, p), v in sizes.items() if t == 1 and p != "held")
-    assert sizes[1, "train"] / free == pytest.approx(0.8, abs=0.03) and sizes[1, "dev"] / free == pytest.approx(0.1, abs=0.03)
-    assert together.assign_places(records.where("false"), shares, ["train", "dev", "test"]).count() == 0
+    places, free = ["train", "dev", "test", "held"], ["train", "dev", "test"]
+    rows, records = _split_records(spark, [1, 2])
+    got = {(r.task, r.component): r.place for r in together.assign_places(records, shares, places, free).collect()}
+    assert len(got) == 400 and got[1, 5] == got[2, 5] == "held" and {k for k, p in got.items() if p == "held"} == {(1, 5), (2, 5)}
+    alone = {(r.task, r.component): r.place for r in together.assign_places(_split_records(spark, [2])[1].repartition(3), shares, places, free).collect()}
+    assert alone == {k: v for k, v in got.items() if k[0] == 2}  # a task's places do not depend on the tasks beside it
+    found = spark.createDataFrame([(*k, p) for k, p in got.items()], "task bigint, component bigint, place string")
+    report = together.place_report(records, found, shares, places, free).collect()
+    whole = {(r.task, r.place): r for r in report if r.label is None}
+    assert whole[1, "train"].wanted == pytest.approx(0.8 * (sum(r[0] == 1 and r[1] is not None for r in rows) - whole[1, "held"].got))
+    assert max(abs(r.deviation) for r in whole.values()) <= 2
+    assert together.assign_places(records.where("false"), shares, places, free).count() == 0
+    with pytest.raises(Exception, match="no such place"):
+        together.assign_places(records.withColumn("pin", F.lit("nowhere")), shares, places, free).count()
+    monkeypatch.setattr(together, "BLOCK", 20)  # many blocks a task
+    small = together.assign_places(records, shares, places, free)
+    report = together.place_report(records, small, shares, places, free).where("label is null").collect()
+    assert small.count() == 400 and max(abs(r.deviation) for r in report) <= 20
+
+
+def test_components_match_union_find(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5), (7, None)]
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if b is not None:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    assert got == {x: root(x) for x in list(parent)}
+    assert connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
 
 
 # alike structures
@@ -228,26 +278,76 @@ def test_packing_is_whole_and_tight(spark):
     for ident, n in sizes:
         got = sorted(parts[ident])
         assert sum(t for _, t in got) == (n or 0) and (len(got) == 1 or (n or 0) > 2048)
+    again = packing.pack(spark.createDataFrame(sizes[::-1], "doc_id bigint, n int").repartition(7), "doc_id", "n").collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
     total = sum(n or 0 for _, n in sizes)
+    report = packing.fill_report(packing.pack(spark.createDataFrame(sizes, "doc_id bigint, n int"), "doc_id", "n")).first()
+    assert report.tokens == total and report.unused == report.containers * 2048 - total and report.unused_share < 0.03
     assert sum(any(n for _, n in s) for s in fill.values()) <= -(-total // 2048) * 1.03 + 2
 
 
+def test_hot_and_null_identifiers_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 100)
+    monkeypatch.setattr(packing, "STRETCH", 7)
+    df = spark.createDataFrame([(None, 500)] * 900 + [(7, 500)] * 100 + [(8, 100 * 2048 + 5)] * 2, "doc_id bigint, n int")
+    rows = packing.pack(df, "doc_id", "n").collect()
+    shards = {}
+    for r in rows:
+        shards[r.container >> 32] = shards.get(r.container >> 32, 0) + (r.doc_id is None)
+    assert sum(shards.values()) == 900 and max(shards.values()) < 300 and sum(r.doc_id == 7 for r in rows) == 100
+    assert sorted((r.part, r.begin, r.tokens) for r in rows if r.doc_id == 8) == sorted([(k, k * 2048, 2048 if k < 100 else 5) for k in range(101)] * 2)
+    assert packing.pack(df.where("false"), "doc_id", "n").count() == 0
+
+
 # quality
 
 
-def test_prose_and_junk():
-    prose = [PROSE, "> " + PROSE[:40] + "\n> " + PROSE[40:], PROSE.upper(), "- " + PROSE + "\n- They said the table was not ready.", "Nous avons relu la table parce que personne ne savait qui l'avait écrite.", "我们昨天重新检查了整个表格，因为误差比预期的大。"]
-    junk = ["the readout of the exclusion rule in a calibration\n- no readout, no holdout and no cutoff", "a,b,c\n1,2,3\n4,5,6", "scaler " * 200, (PROSE + "\n") * 20, "aa233c48 dd7b2934a946ee08 07ce f68d9831826fb1a1", "Fixed hardness matrix.\nRaw tail bin.\nGeometry."]
-    assert all(statistics(t)[-1] > 0.5 for t in prose)
-    assert all(statistics(t)[-1] < 0.5 for t in junk)
+JUNK = ["the readout of the exclusion rule in a calibration\n- no readout, no holdout and no cutoff", "a,b,c\n1,2,3\n4,5,6", "scaler " * 200, "aa233c48 dd7b2934a946ee08 07ce f68d9831826fb1a1", "Fixed hardness matrix.\nRaw tail bin.\nGeometry."]
+SENTENCES = [
+    "The harbour was closed because the storm had not passed, and nobody knew when it would open.",
+    "She asked whether we had seen the letter that he wrote before he left the town.",
+    "When the engine stopped, they walked to the nearest village and waited until it was dark.",
+    "It is not clear why the lamp fell, but the window was open and the wind had been strong.",
+    "Nous avons relu la lettre parce que personne ne savait qui l'avait écrite dans le village.",
+    "Comme il pleuvait, elle est restée chez elle et nous avons attendu la fin de la tempête.",
+]
+
+
+def _corpus():
+    rng = random.Random(4)
+    nouns = "harbour letter lamp engine window village storm town lettre tempête fin".split()
+    prose = [" ".join(rng.sample(SENTENCES[:4] if k % 3 else SENTENCES[4:], 2)) for k in range(150)]
+    lists = ["\n".join(f"- {rng.choice(nouns)} of the {rng.choice(nouns)} {rng.randint(1, 99)}" for _ in range(8)) for _ in range(60)]
+    return prose, lists
+
+
+def test_prose_is_told_by_what_the_corpus_says(spark):
+    prose, lists = _corpus()
+    odd = {
+        1000: SENTENCES[0].upper(), 1001: "> " + SENTENCES[1][:40] + "\n> " + SENTENCES[1][40:], 1002: "- " + SENTENCES[2] + "\n- " + SENTENCES[3],
+        1003: SENTENCES[0].lower().rstrip("."), 1004: (SENTENCES[0] + "\n") * 9, 1005: SENTENCES[4] + "\n\n" + "\n".join("lamp of the town" for _ in range(3)),
+        1006: "a,b,c\n1,2,3\n4,5,6", 1007: "aa233c48 dd7b2934a946ee08 07ce f68d9831826fb1a1", 1008: "qjx zrtk. " * 40,
+    }
+    rows = [(k, t, "en") for k, t in enumerate(prose + lists)] + [(k, t, None) for k, t in odd.items()]
+    stats = quality.text_statistics(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang")
+    got = {r.doc_id: r.prose_ratio for r in stats.collect()}
+    assert min(got[k] for k in range(150)) > 0.9 and max(got[k] for k in range(150, 210)) < 0.1
+    assert all(got[k] > 0.9 for k in (1000, 1001, 1002, 1003)) and all(got[k] < 0.5 for k in (1004, 1006, 1007, 1008)) and 0.5 < got[1005] < 0.9
 
 
 def test_flags_survive_odd_input(spark):
-    rows = [(i, PROSE + f" It was number {i}.", "en") for i in range(60)] + [(100, None, "en"), (101, "", None), (102, " \n", "xx"), (103, "1 2 3\n4 5 6", "en"), (104, "1 2 3 " * 30000, " EN ")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    flags = {r.doc_id: r for r in quality.flag_tails(quality.text_statistics(docs, "doc_id", "text", "lang"), "doc_id").collect()}
-    assert len(flags) == 65 and flags[100].prose_ratio is None and flags[102].prose_ratio is None
-    assert flags[103].prose_ratio < flags[103].prose_floor and flags[104].lang == "en" and flags[0].prose_ratio > 0.8
-    assert quality.flag_tails(quality.text_statistics(docs.where("false"), "doc_id", "text", "lang"), "doc_id").count() == 0
-    names = {(r.lang, r.statistic) for r in quality.profile_table(quality.text_statistics(docs, "doc_id", "text", "lang")).collect()}
+    prose, lists = _corpus()
+    rows = [(k, t, "en") for k, t in enumerate(prose)] + [(200 + k, t, "fr") for k, t in enumerate(lists[:3])]
+    rows += [(300, None, "en"), (301, "", None), (302, " \n", "xx"), (303, "1 2 3\n4 5 6", "en"), (304, "1 2 3 " * 30000, " EN "), (None, prose[0], "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("words", F.lit("x")).withColumn("score", F.lit(1))
+    stats = quality.text_statistics(docs, "doc_id", "text", "lang")
+    flags = {r.doc_id: r for r in quality.flag_tails(stats, "doc_id").collect()}
+    assert len(flags) == len(rows) and flags[300].prose_ratio is None and flags[302].tails == 0
+    assert flags[303].tail_prose_ratio == "low" and flags[304].lang == "en" and flags[304].tail_chars == "high" and flags[0].tail_prose_ratio is None
+    assert flags[200].prose_ratio < 0.5 and flags[200].tail_prose_ratio == "low"  # three texts of a language do not make its norm
+    none = quality.text_statistics(docs.where("false"), "doc_id", "text", "lang")
+    assert quality.flag_tails(none, "doc_id").count() == 0 and quality.profile_table(none).count() == 0
+    blank = quality.text_statistics(docs.where("doc_id in (300, 301, 302)"), "doc_id", "text", "lang")
+    assert [r.prose_ratio for r in blank.collect()] == [None] * 3
+    names = {(r.lang, r.statistic) for r in quality.profile_table(stats).collect()}
     assert ("*", "prose_ratio") in names and ("en", "words") in names
