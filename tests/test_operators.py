@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays as ar
 from tessera.functions.composition import key_of_formula, key_of_numbers
-from tessera.functions.feistel import feistel
 from tessera.operators import molecule_kernels as mk
 from tessera.operators import quantum as qu
 from tessera.operators import relational as rel
 from tessera.operators import splits as sp
 from tessera.operators import statistics as st
-from tessera.plans.components import connected_components
 
 A = 1.09 / math.sqrt(3)
 METHANE = (np.array([6, 1, 1, 1, 1]), np.array([[0, 0, 0], [A, A, A], [-A, -A, A], [-A, A, -A], [A, -A, -A]]))
@@ -102,31 +100,6 @@ def test_formula_spellings(spark, text, counts):
     assert r.a == r.b and (r.a is None) == (counts is None)
 
 
-def test_feistel_is_a_permutation(spark):
-    rows = spark.range(256).select(feistel(F.col("id"), 7, bits=8).alias("p"), feistel(F.col("id"), 8, bits=8).alias("q")).collect()
-    assert sorted(r.p for r in rows) == list(range(256)) and [r.p for r in rows] != [r.q for r in rows]
-    assert spark.range(1).select(feistel(F.lit(-1)), feistel(F.lit(1 << 50)), feistel(F.lit(None).cast("bigint"))).first() == (None, None, None)
-
-
-def test_components_match_union_find(spark):
-    rng = random.Random(3)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5), (7, None)]
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        if b is not None:
-            a, b = sorted((root(a), root(b)))
-            parent[b] = a
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
-    assert got == {x: root(x) for x in list(parent)}
-    assert connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
-
-
 def test_descriptors_are_invariant_and_the_control_is_not():
     rng = np.random.default_rng(0)
     for name, (function, names) in mk.DESCRIPTORS.items():
