@@ -146,7 +146,11 @@ def _molecules(rng, n=40):
     return out
 
 
-def test_alike_groups_match_brute_force(spark):
+@pytest.mark.parametrize("holders", [None, 2])
+def test_alike_groups_match_brute_force(spark, monkeypatch, holders):
+    if holders:  # nearly every shared token is too frequent, finer ones must find the pairs
+        monkeypatch.setattr(alike, "HOLDERS", 1)
+        monkeypatch.setattr(alike, "LOCAL", holders)
     rng = np.random.default_rng(5)
     mols = _molecules(rng) + [(np.array([0]), np.zeros((1, 3))), (np.array([0]), np.ones((1, 3))), (np.array([0, 1]), np.array([[0, 0, 0], [1.1, 0, 0]])), (np.array([0, 1]), np.array([[0, 0, 0], [0, 1.22, 0]]))]
     dist = [(e, structures._distances(p.astype(np.float32).astype(float))) for e, p in mols]
@@ -184,6 +188,13 @@ def test_alike_at_bin_edges_and_with_one_common_token(spark):
     assert {r.node: r.component for r in alike.alike_groups(atoms).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
+def test_pairs_of_a_large_group_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(alike, "BUCKET", 4)
+    groups = spark.createDataFrame([(k, 0) for k in range(23)] + [(50, 50), (51, 50)], "id bigint, component bigint")
+    got = sorted(map(tuple, alike.member_pairs(groups).collect()))
+    assert got == sorted([(a, b) for a in range(23) for b in range(a + 1, 23)] + [(50, 51)])
+
+
 def test_many_copies_of_a_structure_are_one_group(spark):
     e, p = _molecules(np.random.default_rng(2), 22)[0]
     rows = [(i, 100 * i + k, int(a), *map(float, x)) for i in range(300) for k, (a, x) in enumerate(zip(e, p))]
