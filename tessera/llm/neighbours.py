@@ -3,7 +3,9 @@
 Method: collision-counting hashing. In each of several tables every vector is projected on random orthonormal directions.
 Coarse cells of some projections (virtual rehashing: the cell width follows the radius, the number of projections the size
 of the collection) cut the sorted array of one further projection into runs; a window centred on each vector slides over
-its run, collisions with it are counted on the remaining projections, and only vectors with enough collisions are verified.
+its run, collisions with it are counted on the remaining projections, and vectors with enough collisions are verified.
+Rows that have too few verified neighbours within the radius go on with windows and cells of twice the width, on the same
+projections; where windows would hold most of the collection, the rest is held against all of it in blocks.
 """
 
 from __future__ import annotations
@@ -20,13 +22,22 @@ from tessera.llm.tables import read
 from tessera.plans.lineage import cut
 
 #: Tables at least, projections whose collisions are counted, and how many of those must collide.
-TABLES, COUNTED, COLLISIONS = 5, 8, 8
+TABLES, COUNTED, COLLISIONS = 5, 8, 7
 #: In units of the radius: cell width, half a window, and the step in which counted projections are kept.
-CELL, WINDOW, STEP = 2.5, 0.7, 0.125
+CELL, WINDOW, STEP = 2.5, 0.6, 0.125
 #: Vectors of one cell that the number of cell projections aims at, for features of the given spread.
 CELL_ROWS, SPREAD = 300, 1.0
 #: Share of the pairs at the radius itself that the tables together are expected to find, at any number of rows.
 RECALL = 0.985
+#: Windows that one stretch of a sorted array is long; a full cell is cut into stretches, their edges belong to both.
+STRETCH = 8
+#: Records of one task (24 bytes each), which a Python worker sorts in memory.
+TASK_RECORDS = 400_000
+#: Words of 64 bits of the filter that keeps vectors without a candidate from being shuffled: at most so many rows are
+#: broadcast, whatever the data; beyond some ten million candidates it lets more through, and nothing is lost.
+FILTER_WORDS = 1 << 20
+
+RECORD = np.dtype([("key", "<u4"), ("at", "<f4"), ("sketch", "<i8"), ("name", "<i8")])
 
 
 def directions(width: int, table: int, columns: int, seed: int = 17) -> np.ndarray:
@@ -41,11 +52,17 @@ def cell_projections(rows: int, width: int, radius: float, spread: float = SPREA
     return int(min(max(1, round(math.log(max(rows, 2) / CELL_ROWS) / -math.log(same))), max(1, width - COUNTED - 1)))
 
 
+def counted_projections(n_cells: int, width: int) -> int:
+    return max(0, min(COUNTED, width - n_cells - 1))
+
+
 def table_chance(n_cells: int, width: int) -> float:
     """The chance that one table finds a pair at the radius; differences along a direction are about normal, 1 / width their variance."""
     sd = 1 / math.sqrt(width)
-    counted = min(COUNTED, width - n_cells - 1) if width > n_cells + 1 else 0
-    return (1 - math.sqrt(2 / math.pi) * sd / CELL) ** n_cells * math.erf(WINDOW / sd / math.sqrt(2)) ** (1 + counted)
+    counted = counted_projections(n_cells, width)
+    hit = math.erf(WINDOW / sd / math.sqrt(2))
+    enough = sum(math.comb(counted, k) * hit**k * (1 - hit) ** (counted - k) for k in range(max(0, counted - COUNTED + COLLISIONS), counted + 1))
+    return (1 - math.sqrt(2 / math.pi) * sd / CELL) ** n_cells * hit * enough
 
 
 def tables_needed(n_cells: int, width: int) -> int:
@@ -53,8 +70,35 @@ def tables_needed(n_cells: int, width: int) -> int:
     return max(TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - table_chance(n_cells, width))))
 
 
-def _hash_rows(radius: float, width: int, n_cells: int, tables: int):
-    counted = min(COUNTED, width - n_cells - 1) if width > n_cells + 1 else 0
+def _records(x: np.ndarray, name: np.ndarray, radius: float, n_cells: int, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of cell and stretch, records) of vectors in one table; a vector at the edge of a stretch is in both."""
+    width = x.shape[1]
+    counted = counted_projections(n_cells, width)
+    p = x @ directions(width, table, min(width, n_cells + 1 + counted)) / radius
+    shift = np.random.default_rng([23, table]).random(n_cells) * CELL
+    cells = np.floor((p[:, :n_cells] + shift) / CELL).astype(np.int64).view(np.uint64)
+    key = np.full(len(x), table + 1, np.uint64)
+    for k in range(n_cells):
+        key = (key ^ cells[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    at = p[:, n_cells % p.shape[1]].astype(np.float32)
+    sketch = np.zeros((len(x), 8), np.int8)
+    # kept modulo 256 steps: far values may look near, never the other way round
+    sketch[:, :counted] = np.floor(p[:, n_cells + 1 :] / STEP).astype(np.int64).astype(np.int8)
+    long = STRETCH * WINDOW
+    stretch = np.floor(at / long)
+    edge = at - stretch * long <= WINDOW
+    row = np.r_[np.arange(len(x)), np.flatnonzero(edge)]
+    where = np.r_[stretch, stretch[edge] - 1].astype(np.int64).view(np.uint64)
+    key = (key[row] ^ where) * np.uint64(0xD1B54A32D192ED03)
+    key ^= key >> np.uint64(31)
+    out = np.empty(len(row), RECORD)
+    out["key"], out["at"], out["sketch"], out["name"] = (key >> np.uint64(32)).astype(np.uint32), at[row], sketch.view(np.int64).ravel()[row], name[row]
+    return key, out
+
+
+def _hash_rows(radius: float, width: int, n_cells: int, tables: int, tasks: int):
+    """Rows (h, x) to chunks (part, records) of all tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,19 +106,15 @@ def _hash_rows(radius: float, width: int, n_cells: int, tables: int):
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)[first]
             good = np.isfinite(x).all(1)
             name, x = name[good], x[good]
-            for t in range(tables):
-                p = x @ directions(width, t, min(width, n_cells + 1 + counted)) / radius
-                shift = np.random.default_rng([23, t]).random(n_cells) * CELL
-                cells = np.floor((p[:, :n_cells] + shift) / CELL).astype(np.int64).view(np.uint64)
-                key = np.full(len(x), t + 1, np.uint64)
-                for k in range(n_cells):
-                    key = (key ^ cells[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(29)
-                at = p[:, n_cells % p.shape[1]].astype(np.float32)
-                sketch = np.zeros((len(x), 8), np.int8)
-                # kept modulo 256 steps: far values may look near, never the other way round
-                sketch[:, :counted] = np.floor(p[:, n_cells + 1 :] / STEP).astype(np.int64).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(at), pa.array(sketch.view(np.int64).ravel()), pa.array(name)], ["key", "at", "sketch", "name"])
+            if not len(x):
+                continue
+            both = [_records(x, name, radius, n_cells, t) for t in range(tables)]
+            part = np.concatenate([k % np.uint64(tasks) for k, _ in both]).astype(np.int64)
+            records = np.concatenate([r for _, r in both])
+            order = np.argsort(part, kind="stable")
+            part, records = part[order], records[order]
+            cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), pa.array([records[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["part", "records"])
 
     return run
 
@@ -84,11 +124,11 @@ def _window_pairs(radius_window: float, counted: int):
     least = counted - (COUNTED - COLLISIONS) if counted > 1 else counted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
+        parts = [np.frombuffer(x, RECORD) for batch in batches for x in batch.column(1).to_pylist()]
         if not parts:
             return
-        table = pa.Table.from_batches(parts)
-        key, at, sketch, name = (table.column(k).to_numpy() for k in range(4))
+        records = np.concatenate(parts)
+        key, at, sketch, name = (np.ascontiguousarray(records[c]) for c in RECORD.names)
         order = np.lexsort((name, at, key))
         # copies of a vector lie side by side; one of them stands for all before any pair is formed
         order = order[np.r_[True, (name[order][1:] != name[order][:-1]) | (key[order][1:] != key[order][:-1])]]
@@ -121,19 +161,23 @@ def _window_pairs(radius_window: float, counted: int):
 def candidate_pairs(vectors: DataFrame, width: int, radius: float, rows: int, tables: int | None = None) -> DataFrame:
     """(a, b): pairs of different vectors, named by their hashes, with enough collisions.
 
-    vectors: (h, x). Each vector is shuffled once per table, as its cell, two numbers and its name (28 bytes), never whole.
+    vectors: (h, x). Each vector is shuffled once per table, as its cell, two numbers and its name (24 bytes), never whole.
     """
     n_cells = cell_projections(rows, width, radius)
     tables = tables or tables_needed(n_cells, width)
-    counted = min(COUNTED, width - n_cells - 1) if width > n_cells + 1 else 0
-    hashed = vectors.select("h", "x").mapInArrow(_hash_rows(radius, width, n_cells, tables), "key bigint, at float, sketch bigint, name bigint")
-    # tasks of about a million rows, which a Python worker sorts in memory; a stated number is not coalesced
-    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * tables // 1_000_000))
-    return hashed.repartition(tasks, "key").mapInArrow(_window_pairs(WINDOW, counted), "a bigint, b bigint").where("a <> b").distinct()
+    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * tables * (1 + 1 / STRETCH) / TASK_RECORDS))
+    chunks = vectors.select("h", "x").mapInArrow(_hash_rows(radius, width, n_cells, tables, tasks), "part int, records binary")
+    found = chunks.repartitionById(tasks, "part").mapInArrow(_window_pairs(WINDOW, counted_projections(n_cells, width)), "a bigint, b bigint")
+    return found.where("a <> b").distinct()
 
 
-#: Names that a broadcast may hold (16 MB of numbers); more are joined by a shuffle.
-BROADCAST_NAMES = 2_000_000
+def _only_named(vectors: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of vectors (h, ...) whose h is among names (h); a fixed-size filter goes before the join."""
+    word = lambda h: h.bitwiseAND(FILTER_WORDS - 1)
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 20).bitwiseAND(63).cast("int"))
+    words = names.groupBy(word(F.col("h")).alias("_word")).agg(F.bit_or(bit(F.col("h"))).alias("_bits"))
+    likely = vectors.withColumn("_word", word(F.col("h"))).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit(F.col("h"))) != 0)
+    return likely.drop("_word", "_bits").join(names, "h", "left_semi")
 
 
 def most_similar(vectors: DataFrame, width: int, k: int, radius: float, rows: int, tables: int | None = None) -> DataFrame:
@@ -148,8 +192,7 @@ def most_similar(vectors: DataFrame, width: int, k: int, radius: float, rows: in
     pairs = cut(candidate_pairs(clean, width, radius, rows, tables))
     copies = clean.groupBy("h").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("h")
     asked = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(copies).distinct())
-    few = asked.count() <= BROADCAST_NAMES
-    held = clean.join(F.broadcast(asked) if few else asked, "h", "left_semi").where("not exists(x, v -> v is null or isnan(v) or abs(v) = double('infinity'))")
+    held = _only_named(clean, asked).where("not exists(x, v -> v is null or isnan(v) or abs(v) = double('infinity'))")
     members = cut(held.groupBy("h", "row").agg(F.first("x").alias("x")))
     vector = members.groupBy("h").agg(F.min_by("x", "row").alias("x"))
     both = pairs.join(vector.toDF("a", "x_a"), "a").join(vector.toDF("b", "x_b"), "b")
@@ -225,19 +268,24 @@ def _nearest_block(own: np.ndarray, q: np.ndarray, names: np.ndarray, v: np.ndar
     return i, j, d
 
 
-def k_nearest(vectors: DataFrame, width: int, k: int, radius: float, rows: int) -> DataFrame:
+def k_nearest(vectors: DataFrame, width: int, k: int, radius: float, rows: int, rounds: int = 2) -> DataFrame:
     """(row, neighbour, d): of each row the k nearest others at any distance, equal distances in order of row.
 
-    vectors as in most_similar, whose lists are taken where it finds k within the radius. Every other row is held against
-    the whole collection, in pieces of PIECE vectors: features whose nearest neighbours are almost as far as any others
-    leave nothing that wider cells could skip. The work of this step is rows without k near ones times vectors.
+    vectors as in most_similar. Each round takes the rows that have k verified neighbours within its radius; the others go on
+    with twice the radius. After the last round the rows that are left are held against the whole collection, in pieces of
+    PIECE vectors: features whose nearest neighbours are almost as far as any others leave nothing that wider windows could
+    skip. The work of this step is rows without k near ones times vectors.
     """
     spark = vectors.sparkSession
-    near = cut(most_similar(vectors, width, k, radius, rows))
     clean = vectors.where(F.col("row").isNotNull() & (F.size("x") == width)).where("not exists(x, v -> v is null or isnan(v) or abs(v) = double('infinity'))")
     members = cut(clean.select(F.xxhash64("x").alias("h"), "row", "x").groupBy("h", "row").agg(F.first("x").alias("x")))
-    full = near.groupBy("row").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("row")
-    missing = cut(members.select("h", "row").join(full, "row", "left_anti"))
+    missing, done = members, None
+    for turn in range(rounds):
+        near = cut(most_similar(members.select("row", "x"), width, k, radius * 2**turn, rows))
+        full = near.groupBy("row").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("row")
+        ready = near.join(full, "row", "left_semi").join(missing.select("row"), "row", "left_semi").select("row", "neighbour", "d")
+        done = ready if done is None else done.unionByName(ready)
+        missing = cut(missing.join(full, "row", "left_anti"))
     vector = cut(members.groupBy("h").agg(F.min_by("x", "row").alias("x")))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 20_000))
     asked = cut(vector.join(missing.select("h").distinct(), "h", "left_semi").repartition(tasks, "h"))
@@ -251,8 +299,8 @@ def k_nearest(vectors: DataFrame, width: int, k: int, radius: float, rows: int)
         sent.destroy()
         way = found if way is None else way.unionByName(found)
     ranked = members.select("h", "row").withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("row")))
-    far = _rows_near(way, cut(ranked.where(F.col("n") <= k + 1)), missing, k)
-    return near.join(full, "row", "left_semi").select("row", "neighbour", "d").unionByName(far)
+    far = _rows_near(way, cut(ranked.where(F.col("n") <= k + 1)), missing.select("h", "row"), k)
+    return done.unionByName(far)
 
 
 # The features of an atom, the neighbours wanted, and the largest distance of a similar pair.
@@ -260,12 +308,13 @@ WIDTH, K, RADIUS = 24, 5, 0.5
 
 
 def atom_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """((row, x) of the atoms of both tables, about how many there are)."""
+    """((row, x) of the atoms of both tables, how many there are with repeated deliveries)."""
     atoms = read(spark, sf_dir, "atomdata").select(F.col("atom_row").alias("row"), F.col("x").cast("array<float>").alias("x"))
     environment = read(spark, sf_dir, "atom_environment")
     inner = environment.select("id", F.posexplode("features").alias("k", "x"))
     more = inner.select((F.col("id") * 32 + F.col("k")).alias("row"), F.col("x").cast("array<float>").alias("x"))
-    return atoms.unionByName(more), atoms.count() + 16 * environment.count()
+    inside = environment.agg(F.coalesce(F.sum(F.greatest(F.size("features"), F.lit(0))), F.lit(0))).first()[0]
+    return atoms.unionByName(more), atoms.count() + inside
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
