@@ -22,9 +22,9 @@ from tessera.llm.tables import read
 from tessera.plans.lineage import cut
 
 #: Tables at least, projections whose collisions are counted, and how many of those must collide.
-TABLES, COUNTED, COLLISIONS = 5, 8, 7
-#: In units of the radius: cell width, half a window, and the step in which counted projections are kept.
-CELL, WINDOW, STEP = 2.5, 0.6, 0.125
+TABLES, COUNTED, COLLISIONS = 5, 12, 11
+#: In units of the radius: cell width, half a window, and the step in which counted projections are kept, in so many bits.
+CELL, WINDOW, STEP, BITS = 2.5, 0.6, 0.2, 5
 #: Vectors of one cell that the number of cell projections aims at, for features of the given spread.
 CELL_ROWS, SPREAD = 300, 1.0
 #: Share of the pairs at the radius itself that the tables together are expected to find, at any number of rows.
@@ -82,9 +82,9 @@ def _records(x: np.ndarray, name: np.ndarray, radius: float, n_cells: int, table
         key = (key ^ cells[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
     at = p[:, n_cells % p.shape[1]].astype(np.float32)
-    sketch = np.zeros((len(x), 8), np.int8)
-    # kept modulo 256 steps: far values may look near, never the other way round
-    sketch[:, :counted] = np.floor(p[:, n_cells + 1 :] / STEP).astype(np.int64).astype(np.int8)
+    # kept modulo 2^BITS steps: far values may look near, never the other way round
+    steps = np.floor(p[:, n_cells + 1 :] / STEP).astype(np.int64) & ((1 << BITS) - 1)
+    sketch = (steps << (BITS * np.arange(counted))).sum(1)
     long = STRETCH * WINDOW
     stretch = np.floor(at / long)
     edge = at - stretch * long <= WINDOW
@@ -93,7 +93,7 @@ def _records(x: np.ndarray, name: np.ndarray, radius: float, n_cells: int, table
     key = (key[row] ^ where) * np.uint64(0xD1B54A32D192ED03)
     key ^= key >> np.uint64(31)
     out = np.empty(len(row), RECORD)
-    out["key"], out["at"], out["sketch"], out["name"] = (key >> np.uint64(32)).astype(np.uint32), at[row], sketch.view(np.int64).ravel()[row], name[row]
+    out["key"], out["at"], out["sketch"], out["name"] = (key >> np.uint64(32)).astype(np.uint32), at[row], sketch[row], name[row]
     return key, out
 
 
@@ -120,8 +120,8 @@ def _hash_rows(radius: float, width: int, n_cells: int, tables: int, tasks: int)
 
 
 def _window_pairs(radius_window: float, counted: int):
-    limit = math.ceil(radius_window / STEP)
-    least = counted - (COUNTED - COLLISIONS) if counted > 1 else counted
+    limit, mask = math.ceil(round(radius_window / STEP, 9)), np.uint8((1 << BITS) - 1)
+    least = max(0, counted - COUNTED + COLLISIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.frombuffer(x, RECORD) for batch in batches for x in batch.column(1).to_pylist()]
@@ -133,7 +133,7 @@ def _window_pairs(radius_window: float, counted: int):
         # copies of a vector lie side by side; one of them stands for all before any pair is formed
         order = order[np.r_[True, (name[order][1:] != name[order][:-1]) | (key[order][1:] != key[order][:-1])]]
         key, at, name = key[order], at[order], name[order]
-        marks = np.ascontiguousarray(sketch[order]).view(np.int8).reshape(-1, 8)[:, : max(counted, 1)]
+        marks = ((sketch[order][:, None] >> (BITS * np.arange(counted))) & mask).astype(np.uint8)
         halves = np.ascontiguousarray(marks[:, : (counted + 1) // 2]), np.ascontiguousarray(marks[:, (counted + 1) // 2 :])
         active = np.arange(len(key) - 1)
         step = 1
@@ -146,9 +146,9 @@ def _window_pairs(radius_window: float, counted: int):
             missing = np.zeros(len(a), np.int64)
             for half in halves:
                 if half.shape[1] and len(a):
-                    # int8 differences wrap, as the sketch does
-                    off = half[a] - half[b]
-                    missing = missing + ((off > limit) | (off < -limit)).sum(1)
+                    # differences wrap, as the sketch does
+                    off = (half[a] - half[b]) & mask
+                    missing = missing + ((off > limit) & (off <= mask - limit)).sum(1)
                     fits = missing <= counted - least
                     a, b, missing = a[fits], b[fits], missing[fits]
             if len(a):
@@ -177,7 +177,8 @@ def _only_named(vectors: DataFrame, names: DataFrame) -> DataFrame:
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, 20).bitwiseAND(63).cast("int"))
     words = names.groupBy(word(F.col("h")).alias("_word")).agg(F.bit_or(bit(F.col("h"))).alias("_bits"))
     likely = vectors.withColumn("_word", word(F.col("h"))).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit(F.col("h"))) != 0)
-    return likely.drop("_word", "_bits").join(names, "h", "left_semi")
+    # written, since the optimizer would push the second join below the filter and shuffle every vector
+    return cut(likely.drop("_word", "_bits")).join(names, "h", "left_semi")
 
 
 def most_similar(vectors: DataFrame, width: int, k: int, radius: float, rows: int, tables: int | None = None) -> DataFrame:
