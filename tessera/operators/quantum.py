@@ -54,7 +54,9 @@ def gamma_grid(d: int) -> list[float]:
     return (2 / math.sqrt(d) * np.logspace(-1.5, 1, 11)).tolist()
 
 
-#: One gate: name, qubits, and its angle as (feature indices) with a form: "linear" (x_i), "pair" ((pi - x_i)(pi - x_j)), or a number.
+#: One gate: name, qubits, and its angle: None, a number, ("linear", i, factor) for factor x_i, ("pair", i, j, factor) for
+#: factor (pi - x_i)(pi - x_j), or ("poly", constant, {i: factor}, {(i, j): factor}) for any polynomial of degree two; a tuple
+#: of three angles for u. A feature None counts as 0.
 Gate = tuple[str, tuple[int, ...], object]
 
 
@@ -74,12 +76,12 @@ def encoding_circuit(features: int, qubits: int, encoding: str = "zz", reps: int
         at = step % layers
         if encoding == "zz":
             gates += [("h", (q,), None) for q in range(qubits)]
-            gates += [("p", (q,), ("linear", slot.get((at, q, 0)))) for q in range(qubits)]
+            gates += [("p", (q,), ("linear", slot.get((at, q, 0)), 2.0)) for q in range(qubits)]
             for q in range(qubits - 1):
-                gates += [("cx", (q, q + 1), None), ("p", (q + 1,), ("pair", slot.get((at, q, 0)), slot.get((at, q + 1, 0)))), ("cx", (q, q + 1), None)]
+                gates += [("cx", (q, q + 1), None), ("p", (q + 1,), ("pair", slot.get((at, q, 0)), slot.get((at, q + 1, 0)), 2.0)), ("cx", (q, q + 1), None)]
             continue
         for q in range(qubits):
-            gates += [(f"r{axis}", (q,), ("linear", slot.get((at, q, k)))) for k, axis in enumerate(axes)]
+            gates += [(f"r{axis}", (q,), ("linear", slot.get((at, q, k)), 1.0)) for k, axis in enumerate(axes)]
             gates.append(("rx", (q,), MIXING))
         if step + 1 < steps:
             gates += [("cz", (q, q + 1), None) for parity in (0, 1) for q in range(parity, qubits - 1, 2)]
@@ -103,44 +105,87 @@ def gate_counts(gates: list[Gate]) -> dict[str, int]:
 
 
 def _angle(form: object, x: np.ndarray) -> np.ndarray:
-    if isinstance(form, float):
-        return np.full(len(x), form)
+    if isinstance(form, (int, float)):
+        return np.full(len(x), float(form))
     value = lambda i: np.zeros(len(x)) if i is None else x[:, i]
-    if form[0] == "linear":
-        # a phase of the encoder turns by twice its input
-        return value(form[1])
-    return (math.pi - value(form[1])) * (math.pi - value(form[2]))
+    kind, *rest = form
+    if kind == "linear":
+        return rest[1] * value(rest[0])
+    if kind == "pair":
+        return rest[2] * (math.pi - value(rest[0])) * (math.pi - value(rest[1]))
+    constant, single, double = rest
+    return constant + sum((f * value(i) for i, f in single.items()), np.zeros(len(x))) + sum((f * value(i) * value(j) for (i, j), f in double.items()), np.zeros(len(x)))
+
+
+def angle_polynomial(function, features: int) -> tuple:
+    """("poly", ...) of a function of one row of features that is a polynomial of degree two; ValueError for others.
+
+    The factors follow from the function's values at 0, at unit vectors and at their sums; other points check them.
+    """
+    unit = np.eye(features)
+    at = lambda v: float(function(v))
+    zero = at(np.zeros(features))
+    plus, minus = np.array([at(u) for u in unit]), np.array([at(-u) for u in unit])
+    single, square = (plus - minus) / 2, (plus + minus) / 2 - zero
+    double = {(i, i): square[i] for i in range(features)}
+    double |= {(i, j): at(unit[i] + unit[j]) - plus[i] - plus[j] + zero for i in range(features) for j in range(i + 1, features)}
+    found = ("poly", zero, {i: v for i, v in enumerate(single) if abs(v) > 1e-12}, {k: v for k, v in double.items() if abs(v) > 1e-12})
+    points = np.random.default_rng(3).uniform(-2, 2, (8, features))
+    wanted = np.array([at(v) for v in points])
+    if np.abs(_angle(found, points) - wanted).max() > 1e-9 * (1 + np.abs(wanted).max()):
+        raise ValueError("the angle is no polynomial of degree two")
+    return found
+
+
+# Gates that multiply the amplitude of a set bit by a phase, and gates without an angle as matrices.
+PHASES = {"z": math.pi, "s": math.pi / 2, "sdg": -math.pi / 2, "t": math.pi / 4, "tdg": -math.pi / 4}
+CONSTANT = {
+    "id": np.eye(2), "h": np.array([[1, 1], [1, -1]]) / math.sqrt(2), "x": np.array([[0, 1], [1, 0]]),
+    "y": np.array([[0, -1j], [1j, 0]]), "sx": np.array([[1 + 1j, 1 - 1j], [1 - 1j, 1 + 1j]]) / 2,
+}
+#: Gates that are there: of one qubit with no, one or three angles, and of two qubits.
+GATES = [*CONSTANT, *PHASES, "p", "rx", "ry", "rz", "u", "cx", "cz", "cp", "swap", "rzz"]
+
+
+def _turn(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """(rows, 2, 2): rotations u(x, y, z) = phases z, then a turn x about the second axis, then phases y."""
+    c, s = np.cos(x / 2), np.sin(x / 2)
+    return np.stack([np.stack([c + 0j, -np.exp(1j * z) * s], -1), np.stack([np.exp(1j * y) * s, np.exp(1j * (y + z)) * c], -1)], -2)
 
 
 def statevectors(gates: list[Gate], qubits: int, x: np.ndarray) -> np.ndarray:
-    """(rows, 2^qubits) amplitudes; qubit 0 is the lowest bit."""
+    """(rows, 2^qubits) amplitudes; qubit 0 is the lowest bit. KeyError for a gate that is not in GATES."""
     rows = len(x)
     psi = np.zeros((rows, 1 << qubits), complex)
     psi[:, 0] = 1
     index = np.arange(1 << qubits)
+    bit = lambda q: index >> q & 1
     for name, q, form in gates:
+        angle = None if form is None or name == "u" else _angle(form, x)[:, None]
         if name == "cx":
-            psi = psi[:, np.where(index >> q[0] & 1, index ^ 1 << q[1], index)]
-            continue
-        if name == "cz":
-            psi = psi * np.where((index >> q[0] & 1) & (index >> q[1] & 1), -1, 1)
-            continue
-        if name == "h":
-            u = np.broadcast_to(np.array([[1, 1], [1, -1]]) / math.sqrt(2), (rows, 2, 2))
+            psi = psi[:, index ^ bit(q[0]) << q[1]]
+        elif name == "swap":
+            differ = bit(q[0]) ^ bit(q[1])
+            psi = psi[:, index ^ (differ << q[0] | differ << q[1])]
+        elif name in ("cz", "cp"):
+            psi = psi * np.exp(1j * (math.pi if name == "cz" else angle) * (bit(q[0]) & bit(q[1])))
+        elif name == "rzz":
+            psi = psi * np.exp(-0.5j * angle * (1 - 2 * (bit(q[0]) ^ bit(q[1]))))
+        elif name in PHASES or name == "p":
+            psi = psi * np.exp(1j * (PHASES[name] if name in PHASES else angle) * bit(q[0]))
+        elif name == "rz":
+            psi = psi * np.exp(1j * angle * (bit(q[0]) - 0.5))
         else:
-            t = _angle(form, x)
-            c, s = np.cos(t / 2), np.sin(t / 2)
-            if name == "p":
-                psi = psi * np.where(index >> q[0] & 1, np.exp(2j * t)[:, None], 1)
-                continue
-            if name == "rz":
-                psi = psi * np.where(index >> q[0] & 1, np.exp(0.5j * t)[:, None], np.exp(-0.5j * t)[:, None])
-                continue
-            u = np.empty((rows, 2, 2), complex)
-            u[:, 0, 0] = u[:, 1, 1] = c
-            u[:, 0, 1], u[:, 1, 0] = (-s, s) if name == "ry" else (-1j * s, -1j * s)
-        high, low = 1 << qubits - 1 - q[0], 1 << q[0]
-        psi = np.einsum("rab,rhbl->rhal", u, psi.reshape(rows, high, 2, low)).reshape(rows, -1)
+            if name in CONSTANT:
+                u = np.broadcast_to(CONSTANT[name], (rows, 2, 2))
+            elif name == "u":
+                u = _turn(*[_angle(f, x) for f in form])
+            elif name in ("rx", "ry"):
+                side = math.pi / 2 if name == "rx" else 0.0
+                u = _turn(angle[:, 0], np.full(rows, -side), np.full(rows, side))
+            else:
+                raise KeyError(name)
+            psi = np.einsum("rab,rhbl->rhal", u, psi.reshape(rows, 1 << qubits - 1 - q[0], 2, 1 << q[0])).reshape(rows, -1)
     return psi
 
 
@@ -267,22 +312,33 @@ def shot_estimates(df: DataFrame, ident: list[str], value: str, shots: int, seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds, values = batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
-            out = []
-            for s, v in zip(seeds, values):
-                if v is None:
-                    out.append(None)
-                    continue
-                p = min(max(v if kernel else (1 + v) / 2, 0.0), 1.0)
-                got = np.random.default_rng(s & (1 << 63) - 1).binomial(shots, p) / shots
-                out.append(float(got if kernel else 2 * got - 1))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(batch.num_columns - 1)], pa.array(out, pa.float64())], [*batch.schema.names[:-1], "estimate"])
+            last = batch.num_columns
+            keys = batch.column(last - 1).to_numpy().view(np.uint64)
+            values = batch.column(last - 2).to_numpy(zero_copy_only=False).astype(float)
+            p = np.clip(values if kernel else (1 + values) / 2, 0, 1)
+            share = hashed_binomial(keys, shots, np.nan_to_num(p)) / shots
+            found = np.where(np.isnan(values), np.nan, share if kernel else 2 * share - 1)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(last - 1)], pa.array(found, pa.float64(), from_pandas=True)], [*batch.schema.names[:-1], "estimate"])
 
     rows = df.select(*ident, F.col(value).cast("double").alias(value), key.alias("_k"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{schema}, estimate double")
 
 
+def hashed_binomial(keys: np.ndarray, n: int, p: np.ndarray, block: int = 2_000_000) -> np.ndarray:
+    """Binomial counts that depend on each row's key only: n uniform hashes of (key, trial) a row, counted below p."""
+    out = np.zeros(len(keys), np.int64)
+    step = max(1, block // max(1, len(keys)))
+    limit = (p * float(1 << 53)).astype(np.uint64)
+    for start in range(0, n, step):
+        trial = np.arange(start, min(n, start + step), dtype=np.uint64)
+        h = (keys[:, None] + trial * np.uint64(0x9E3779B97F4A7C15))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out += ((h ^ (h >> np.uint64(31))) >> np.uint64(11) < limit[:, None]).sum(1)
+    return out
+
+
 def shot_z_scores(df: DataFrame, exact: str, estimate: str, shots: int) -> DataFrame:
     """(n, mean, std, largest) of (estimate - exact) / sqrt(k (1 - k) / shots) for overlaps strictly between 0 and 1."""
     k = F.col(exact)
