@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.linear import fit_ridge, linear, tune_jobs
+from tessera.operators.linear import fit_ridge, linear
 from tessera.operators.provenance import config_hash
 from tessera.operators.scaling import clip_predictions
-from tessera.operators.splits import kfold
 from tessera.operators.statistics import scores
 
 #: fit(train, features, y) gives predict(rows), a DataFrame (id, pred).
@@ -66,7 +66,7 @@ def dev_curve(table: DataFrame, train_sets: DataFrame, eval_sets: dict[str, Data
             if path and _exists(spark, path):
                 part = spark.read.parquet(path)
             else:
-                train = train if train is not None else table.join(ids, "id", "left_semi").cache()
+                train = train if train is not None else table.join(ids, "id", "left_semi")
                 predict = fit(train, features, y)
                 part = None
                 for set_name, members in eval_sets.items():
@@ -76,6 +76,7 @@ def dev_curve(table: DataFrame, train_sets: DataFrame, eval_sets: dict[str, Data
                     part = one if part is None else part.unionByName(one)
                 if path:
                     part.write.mode("overwrite").parquet(path)
+                    part = spark.read.parquet(path)
             out = part if out is None else out.unionByName(part)
     return out
 
@@ -85,31 +86,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def learning_curve(table: DataFrame, train_sets: DataFrame, features: list[str], y: str, candidates: dict[str, list[dict]], folds: int = 5) -> DataFrame:
-    """(seed, n_train, model, mae, rmse, fold_sd, candidate, n_candidates): the best candidate by pooled out-of-fold error per
-    seed, size and model; equal errors go to the earlier candidate. All models of a training set share its folds."""
-    from tessera.operators.relational import argmin_rows
+def write_result(df: DataFrame, folder: str | Path, name: str, meta: dict, routes: list[tuple[str, str]] | None = None) -> Path:
+    """A small result table as one CSV folder, with its provenance as JSON beside it, under the folder its name is routed to."""
+    from tessera.operators.provenance import git_hash, package_versions, plain, routed_path
 
-    out = None
-    for seed, n in sorted((r.seed, r.n_train) for r in train_sets.select("seed", "n_train").distinct().collect()):
-        ids = train_sets.where((F.col("seed") == seed) & (F.col("n_train") == n)).select("id")
-        rows = kfold(table.join(ids, "id", "left_semi").select("id", y, *features), "id", folds, f"cv:{seed}:{n}")
-        jobs = [{"job": name, "model": "rbf" if "gamma" in grid[0] else "ridge", "candidates": grid} for name, grid in candidates.items()]
-        best = argmin_rows(tune_jobs(rows, jobs, features, y, folds), ["job"], "mae", "candidate")
-        sizes = {name: len(grid) for name, grid in candidates.items()}
-        count = F.create_map(*[F.lit(v) for pair in sizes.items() for v in pair])
-        part = best.select(F.lit(seed).alias("seed"), F.lit(n).alias("n_train"), F.col("job").alias("model"), "mae", "rmse", "fold_sd", "candidate", count[F.col("job")].alias("n_candidates"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def write_result(df: DataFrame, folder: str | Path, name: str, meta: dict) -> None:
-    """A small result table as one CSV folder, with its provenance as JSON beside it."""
-    import json
+    path = routed_path(folder, name, routes or [])
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(str(path))
+    stamp = {"git_hash": git_hash(), "versions": package_versions(["pyspark", "numpy", "pandas", "pyarrow"]), **plain(meta)}
+    path.with_name(f"{name}.meta.json").write_text(json.dumps(stamp, indent=2, sort_keys=True))
+    return path
 
-    from tessera.operators.provenance import git_hash, package_versions, plain
 
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
-    stamp = {"git_hash": git_hash(), "versions": package_versions(["pyspark", "numpy", "pandas", "pyarrow"]), **plain(meta)}
-    Path(folder, f"{name}.meta.json").write_text(json.dumps(stamp, indent=2, sort_keys=True))
+def read_results(spark: SparkSession, pattern: str) -> DataFrame:
+    """Every result under a pattern with its file's name and, where there is one, the commit of its sidecar."""
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
+    rows = spark.read.option("header", True).csv(pattern).select("*", name.alias("result"))
+    sides = spark.read.option("wholetext", True).text(f"{pattern}.meta.json").select(F.regexp_extract("_metadata.file_name", r"^(.*)\.meta\.json$", 1).alias("result"), F.get_json_object("value", "$.git_hash").alias("git_hash"))
+    return rows.join(sides, "result", "left")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,53 +137,6 @@ RIDGE_ALPHAS = [float(a) for a in np.logspace(-4, 3, 15)]
 KRR_ALPHAS = [float(a) for a in np.logspace(-6, 1, 8)]
 
 
-def tune_jobs(rows: DataFrame, jobs: list[dict], features: list[str], y: str, folds: int = 5) -> DataFrame:
-    """(job, model, candidate, mae, rmse, fold_sd): pooled out-of-fold errors of every candidate, predictions clipped at 0.
-
-    rows: id, fold, y and features. jobs: {job, model ("ridge" or "rbf"), candidates [{alpha, gamma}]} in order of
-    preference. One grouped task per (job, fold); feature work that candidates share (centring, eigendecompositions) is
-    done once per task. The pooled error is one aggregate.
-    """
-    spark = rows.sparkSession
-    plan = pd.DataFrame([{"job": j["job"], "model": j["model"], "hold": f} for j in jobs for f in range(folds)])
-    by_name = {j["job"]: j for j in jobs}
-    # a job table has jobs x folds rows, whatever the data
-    crossed = rows.crossJoin(F.broadcast(spark.createDataFrame(plan)))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        job, hold = by_name[pdf["job"].iloc[0]], pdf["hold"].iloc[0]
-        held = (pdf["fold"] == hold).to_numpy()
-        x, t = pdf[features].to_numpy(float), pdf[y].to_numpy(float)
-        ident = pdf["id"].to_numpy()
-        order = np.argsort(ident, kind="stable")
-        x, t, held, ident = x[order], t[order], held[order], ident[order]
-        centre, scale = x[~held].mean(0), x[~held].std(0)
-        x = (x - centre) / np.where(scale > 0, scale, 1)
-        m = t[~held].mean()
-        out = []
-        kernels: dict[float, tuple] = {}
-        for c, candidate in enumerate(job["candidates"]):
-            if job["model"] == "ridge":
-                a, b = x[~held], x[held]
-                if 0.0 not in kernels:
-                    kernels[0.0] = np.linalg.eigh(a.T @ a), a.T @ (t[~held] - m)
-                (l, v), xy = kernels[0.0]
-                pred = m + b @ (v @ ((v.T @ xy) / (l + candidate["alpha"])))
-            else:
-                g = candidate["gamma"]
-                if g not in kernels:
-                    kernels[g] = np.linalg.eigh(rbf(x[~held], x[~held], g)), rbf(x[held], x[~held], g)
-                (l, v), cross = kernels[g]
-                pred = m + cross @ (v @ ((v.T @ (t[~held] - m)) / (l + candidate["alpha"])))
-            e = np.maximum(pred, 0) - t[held]
-            out.append((job["job"], job["model"], c, int(hold), len(e), np.abs(e).sum(), (e * e).sum()))
-        return pd.DataFrame(out, columns=["job", "model", "candidate", "hold", "n", "a", "s"])
-
-    fitted = crossed.groupBy("job", "hold").applyInPandas(fit, "job string, model string, candidate int, hold int, n bigint, a double, s double")
-    pooled = fitted.groupBy("job", "model", "candidate")
-    return pooled.agg((F.sum("a") / F.sum("n")).alias("mae"), F.sqrt(F.sum("s") / F.sum("n")).alias("rmse"), F.stddev_samp(F.col("a") / F.col("n")).alias("fold_sd"))
-
-
 def one_standard_error(curve: DataFrame, k: str, mean: str, se: str) -> DataFrame:
     """The row with the smallest k whose mean is at most the smallest mean plus its standard error."""
     best = curve.where(F.col(mean).isNotNull()).orderBy(mean, k).limit(1).select((F.col(mean) + F.col(se)).alias("_bar"))

@@ -15,7 +15,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import boosting
@@ -355,6 +355,15 @@ class CVResult:
         return self.oof.join(self.best().select("recipe", "candidate"), ["recipe", "candidate"]).select("recipe", "id", "fold", "pred")
 
 
+def _pooled(oof: DataFrame) -> DataFrame:
+    """Errors of every candidate over all its out-of-fold predictions, each row predicted once."""
+    e = F.col("pred") - F.col("y")
+    by_fold = oof.groupBy("recipe", "candidate", "fold").agg(F.count("*").alias("n"), F.sum(F.abs(e)).alias("a"), F.sum(e * e).alias("s"))
+    return by_fold.groupBy("recipe", "candidate").agg(
+        (F.sum("a") / F.sum("n")).alias("mae"), F.sqrt(F.sum("s") / F.sum("n")).alias("rmse"), F.stddev_samp(F.col("a") / F.col("n")).alias("fold_sd"), F.sum("n").alias("n_eval")
+    )
+
+
 def tune(rows: DataFrame, recipes: dict[str, tuple[Recipe, list[dict]]], features: list[str], y: str) -> CVResult:
     """Cross-validation of every candidate of every recipe on the same folds.
 
@@ -376,12 +385,57 @@ def tune(rows: DataFrame, recipes: dict[str, tuple[Recipe, list[dict]]], feature
             yield from zip([name] * held.sum(), [c] * held.sum(), ids[held].tolist(), [job["fold"]] * held.sum(), pred[:, c].tolist(), t[held].tolist())
 
     oof = run_jobs(rows.sparkSession, jobs, work, (ids, x, t, fold), "recipe string, candidate int, id bigint, fold int, pred double, y double")
-    e = F.col("pred") - F.col("y")
-    by_fold = oof.groupBy("recipe", "candidate", "fold").agg(F.count("*").alias("n"), F.sum(F.abs(e)).alias("a"), F.sum(e * e).alias("s"))
-    pooled = by_fold.groupBy("recipe", "candidate").agg(
-        (F.sum("a") / F.sum("n")).alias("mae"), F.sqrt(F.sum("s") / F.sum("n")).alias("rmse"), F.stddev_samp(F.col("a") / F.col("n")).alias("fold_sd"), F.sum("n").alias("n_eval")
-    )
-    return CVResult(oof.select("recipe", "candidate", "id", "fold", "pred"), pooled, grids)
+    return CVResult(oof.select("recipe", "candidate", "id", "fold", "pred"), _pooled(oof), grids)
+
+
+SpecFactory = Callable[[int, str], dict[str, tuple[Recipe, list[dict]]]]
+
+
+def learning_curve(table: DataFrame, train_sets: DataFrame, feature_sets: dict[str, list[str]], y: str, make_specs: SpecFactory, folds: int = 5, by: str | None = None, eval_set: str = "cv") -> CVResult:
+    """Cross-validation over many training sets as one job table; the result's recipe is "seed:n_train:model:feature set".
+
+    train_sets: (seed, n_train, id). All models and feature sets of one training set share its folds: a hashed partition, or
+    whole groups of the column `by`. make_specs(seed, feature set) gives {model: (recipe, grid)}.
+    """
+    spark = table.sparkSession
+    features = list(dict.fromkeys(f for names in feature_sets.values() for f in names))
+    members = train_sets.select("seed", "n_train", "id").distinct()
+    rows = table.join(members.select("id").distinct(), "id", "left_semi")
+    ids, x, t = training_arrays(rows, features, y)
+    text = F.concat_ws(":", F.lit("cv"), "seed", "n_train")
+    if by:
+        found = members.join(table.select("id", F.col(by).alias("_by")), "id").withColumn("fold", F.pmod(F.xxhash64(text, "_by"), F.lit(folds)).cast("int"))
+    else:  # a set is at most MAX_ROWS rows
+        order = F.row_number().over(Window.partitionBy("seed", "n_train").orderBy(F.md5(F.concat_ws(":", text, "id")), "id"))
+        found = members.withColumn("fold", ((order - 1) % folds).cast("int"))
+    sets = found.select("seed", "n_train", "id", "fold").toArrow().to_pandas()
+    sets = sets[np.isin(sets["id"], ids)].sort_values(["seed", "n_train", "id"])
+    jobs, plans, grids, parts = [], {}, {}, {}
+    for (seed, n), part in sets.groupby(["seed", "n_train"]):
+        parts[f"{seed}:{n}"] = np.searchsorted(ids, part["id"].to_numpy()), part["fold"].to_numpy()
+        for fname in feature_sets:
+            for model, (recipe, grid) in make_specs(int(seed), fname).items():
+                name = f"{seed}:{n}:{model}:{fname}"
+                plans[name], grids[name] = recipe, grid or [{}]
+                jobs += [{"recipe": name, "set": f"{seed}:{n}", "features": fname, "fold": int(f)} for f in np.unique(part["fold"])]
+    columns = {name: [features.index(f) for f in names] for name, names in feature_sets.items()}
+
+    def work(job: dict, ids, x, t, parts) -> Iterator[tuple]:
+        at, fold = parts[job["set"]]
+        v, held, name = x[at][:, columns[job["features"]]], fold == job["fold"], job["recipe"]
+        pred = fit(plans[name], v[~held], t[at][~held], grids[name]).predict(v[held])
+        for c in range(len(grids[name])):
+            yield from zip([name] * held.sum(), [c] * held.sum(), ids[at][held].tolist(), [job["fold"]] * held.sum(), pred[:, c].tolist(), t[at][held].tolist())
+
+    oof = run_jobs(spark, jobs, work, (ids, x, t, parts), "recipe string, candidate int, id bigint, fold int, pred double, y double")
+    return CVResult(oof.select("recipe", "candidate", "id", "fold", "pred"), _pooled(oof).withColumn("eval_set", F.lit(eval_set)), grids)
+
+
+def curve_table(result: CVResult) -> DataFrame:
+    """(seed, n_train, model, features, mae, rmse, fold_sd, n_eval, n_candidates, hyperparams) of a learning curve."""
+    part = lambda k: F.split_part("recipe", F.lit(":"), F.lit(k))
+    best = result.best()
+    return best.select(part(1).cast("int").alias("seed"), part(2).cast("int").alias("n_train"), part(3).alias("model"), part(4).alias("features"), "eval_set", "mae", "rmse", "fold_sd", "n_eval", "n_candidates", "hyperparams")
 
 
 def pca_cv_curve(rows: DataFrame, features: list[str], y: str, ks: list[int], model: str = "ridge", **options) -> DataFrame:

@@ -49,14 +49,13 @@ def fit_scaling(train: DataFrame, columns: list[str], name: str, skew_above: flo
         raise ValueError(f"scaling must be one of {SCALINGS}")
     clean = train.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
     if name == "robust":
-        rows = clean.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
+        rows = _quantiles(clean, columns, [0.25, 0.5, 0.75])
         return Scaling(name, {c: {"centre": rows[c][1], "scale": _nonzero(rows[c][2] - rows[c][0])} for c in columns})
     if name == "quantile_normal":
         n = clean.count()
         q = min(QUANTILES, max(2, n))
-        at = F.array(*[F.lit(k / (q - 1)) for k in range(q)])
-        rows = clean.agg(*[F.percentile(c, at).alias(c) for c in columns]).first()
-        return Scaling(name, {c: {"grid": list(rows[c])} for c in columns})
+        rows = _quantiles(clean, columns, [k / (q - 1) for k in range(q)])
+        return Scaling(name, {c: {"grid": rows[c]} for c in columns})
     found: dict[str, dict] = {c: {} for c in columns}
     if name == "log_standard":
         skews = clean.agg(*[F.skewness(c).alias(c) for c in columns]).first()
@@ -80,6 +79,14 @@ def fit_scaling(train: DataFrame, columns: list[str], name: str, skew_above: flo
     return Scaling(name, found)
 
 
+def _quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float]]:
+    """Exact quantiles of every column, from counted and ranged values; a column without values has zeros."""
+    from tessera.operators.statistics import ordered_counts, quantiles_of, unpivot
+
+    found = quantiles_of(ordered_counts(unpivot(df, columns), ["column"], "value"), ["column"], "value", shares).collect()
+    return {c: [0.0] * len(shares) for c in columns} | {r.column: list(r.q) for r in found}
+
+
 def _nonzero(s: float | None) -> float:
     return s if s and s > 1e-300 and not math.isnan(s) else 1.0
 
@@ -92,8 +99,9 @@ def yeo_johnson(v: Column, power: float) -> Column:
     return F.when(v >= 0, up).otherwise(down)
 
 
-def fit_powers(df: DataFrame, columns: list[str], rounds: int = 4, points: int = 9) -> list[float]:
-    """Maximum-likelihood powers of all columns together: a grid that narrows round by round, one aggregate a round."""
+def fit_powers(df: DataFrame, columns: list[str], rounds: int = 7, points: int = 9) -> list[float]:
+    """Maximum-likelihood powers of all columns together: a grid that narrows round by round, one aggregate a round, and a
+    parabola through the last three values. Where the best value lies on an edge, the grid moves on instead of narrowing."""
     low, high = np.full(len(columns), -3.0), np.full(len(columns), 5.0)
     best = np.ones(len(columns))
     for _ in range(rounds):
@@ -108,7 +116,14 @@ def fit_powers(df: DataFrame, columns: list[str], rounds: int = 4, points: int =
             values = np.array([-np.inf if x is None or math.isnan(x) else x for x in rows[c]])
             at = int(values.argmax())
             step = grids[k][1] - grids[k][0]
-            best[k], low[k], high[k] = grids[k][at], grids[k][at] - step, grids[k][at] + step
+            best[k] = grids[k][at]
+            if 0 < at < points - 1:
+                low[k], high[k] = best[k] - step, best[k] + step
+                a, b, c_ = values[at - 1 : at + 2]
+                if np.isfinite([a, c_]).all() and a - 2 * b + c_ < 0:
+                    best[k] += step * (a - c_) / (2 * (a - 2 * b + c_))
+            else:
+                low[k], high[k] = best[k] - 4 * step, best[k] + 4 * step
     return best.tolist()
 
 
@@ -126,11 +141,26 @@ def _to_normal(v: Column, grid: list[float]) -> Column:
 
 
 def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution: a starting guess, refined by Newton steps on a series for the tail."""
-    t = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
+    """Inverse of the standard normal distribution: a rational guess, then two Newton steps on the distribution itself."""
+    low = F.least(p, 1 - p)
+    t = F.sqrt(-2 * F.ln(low))
     # fixed values: coefficients of a published rational approximation (absolute error under 4.5e-4)
-    guess = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    return F.when(p < 0.5, -guess).otherwise(guess)
+    x = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+    from tessera.functions.arrays import bind
+
+    for _ in range(2):
+        x = bind(x, lambda v: v + (_upper_tail(v) - low) * F.exp(v * v / 2) * math.sqrt(2 * math.pi))
+    return F.when(p == 0.5, 0.0).when(p < 0.5, -x).otherwise(x)
+
+
+def _upper_tail(v: Column) -> Column:
+    """Probability above v >= 0: the density's series near 0, its continued fraction beyond."""
+    square = v * v
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(v.alias("t"), v.alias("s")), lambda acc, k: F.struct((acc["t"] * square / (2 * k + 1)).alias("t"), (acc["s"] + acc["t"] * square / (2 * k + 1)).alias("s")), lambda acc: acc["s"])
+    near = 0.5 - F.exp(-square / 2) / math.sqrt(2 * math.pi) * series
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), v, lambda acc, k: v + k / acc)
+    far = F.exp(-square / 2) / math.sqrt(2 * math.pi) / fraction
+    return F.when(v < 3, near).otherwise(far)
 
 
 # target transforms: forward, inverse

@@ -6,7 +6,6 @@ empty tables give one row of nulls and zero counts for ungrouped aggregates, no
 
 from __future__ import annotations
 
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -86,27 +85,51 @@ def unpivot(df: DataFrame, columns: list[str], name: str = "column", value: str
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns])).alias("e")).select(f"e.{name}", f"e.{value}")
 
 
+def ordered_counts(long: DataFrame, keys: list[str], value: str, bins: int = 64) -> DataFrame:
+    """(keys, value, count, below): each distinct value of each group, how often it is there and how many values are smaller.
+
+    Values are counted, the counts cut into ranges at approximate quantiles of their group, ranked within each range and
+    shifted by the sizes of the ranges before, so that no task ranks a group and none keeps a group's values in memory.
+    Null values and null keys take no part.
+    """
+    counts = long.select(*keys, value).dropna().groupBy(*keys, value).agg(F.count("*").alias("count"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(k / bins) for k in range(1, bins)]), F.lit(8 * bins)).alias("_cuts"))
+    binned = counts.join(cuts, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sizes = binned.groupBy(*keys, "_bin").agg(F.sum("count").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_bin", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = binned.withColumn("_within", F.coalesce(F.sum("count").over(within), F.lit(0))).join(starts, [*keys, "_bin"])
+    return ranked.select(*keys, value, "count", (F.col("_start") + F.col("_within")).alias("below"))
+
+
+def quantiles_of(ordered: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, q ARRAY): exact quantiles, linear between neighbours, of the groups of ordered_counts."""
+    n = ordered.groupBy(*keys).agg(F.sum("count").alias("_n"))
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(shares)])).alias("e")
+    wanted = n.select(*keys, "_n", at).withColumn("_at", (F.col("_n") - 1) * F.col("e.p"))
+    marks = ordered.join(wanted, keys)
+    holds = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("count"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    ends = marks.where(holds(low) | holds(high)).groupBy(*keys, "e.k").agg(F.min(F.when(holds(low), F.col(value))).alias("lo"), F.max(F.when(holds(high), F.col(value))).alias("hi"), F.first("_at").alias("_at"))
+    found = ends.select(*keys, "k", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("_at") - F.floor("_at"))).alias("v"))
+    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("q"))
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """n, distinct, mean, std, min, p01, p50, p99, max, and bias-corrected skew and kurtosis of each column.
 
     Corrections: G1 = g1 sqrt(n (n-1)) / (n-2), G2 = (n-1) ((n+1) g2 + 6) / ((n-2)(n-3)); null below 3 and 4 rows.
     """
     v = F.col("value")
-    agg = unpivot(df, columns).where(v.isNotNull()).groupBy("column").agg(
-        F.count("*").alias("n"),
-        F.count_distinct(v).alias("n_distinct"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        F.percentile(v, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("p"),
-        F.max(v).alias("max"),
-        F.skewness(v).alias("g1"),
-        F.kurtosis(v).alias("g2"),
-    )
+    long = unpivot(df, columns).where(v.isNotNull())
+    ordered = ordered_counts(long, ["column"], "value")
+    agg = long.groupBy("column").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"))
+    agg = agg.join(ordered.groupBy("column").agg(F.count("*").alias("n_distinct")), "column").join(quantiles_of(ordered, ["column"], "value", [0.01, 0.5, 0.99]), "column")
     n = F.col("n").cast("double")
     return agg.select(
         "column", "n", "n_distinct", "mean", "std", "min",
-        *[F.col("p")[k].alias(name) for k, name in enumerate(["p01", "p50", "p99"])],
+        *[F.col("q")[k].alias(name) for k, name in enumerate(["p01", "p50", "p99"])],
         "max",
         F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
         F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)).alias("kurtosis"),
@@ -116,36 +139,20 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 def outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows beyond three standard deviations, and beyond 1.5 quartile ranges, of each column: counts and shares."""
     long = unpivot(df, columns).where("value is not null")
-    marks = long.groupBy("column").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    v, low, high = F.col("value"), F.col("q")[0], F.col("q")[1]
+    ordered = ordered_counts(long, ["column"], "value")
+    marks = long.groupBy("column").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).join(quantiles_of(ordered, ["column"], "value", [0.25, 0.75]), "column")
+    v, low, high, n = F.col("value"), F.col("q")[0], F.col("q")[1], F.col("count")
     far = F.abs(v - F.col("m")) > 3 * F.col("s")
     fence = (v < low - 1.5 * (high - low)) | (v > high + 1.5 * (high - low))
-    # one row per column name
-    return long.join(F.broadcast(marks), "column").groupBy("column").agg(
-        F.count("*").alias("n"),
-        F.count_if(far).alias("n_z3"),
-        F.count_if(fence).alias("n_tukey"),
-        F.avg(far.cast("int")).alias("share_z3"),
-        F.avg(fence.cast("int")).alias("share_tukey"),
-    )
+    # one row per column name; the counted values stand for the rows
+    sums = ordered.join(F.broadcast(marks), "column").groupBy("column").agg(F.sum(n).alias("n"), F.sum(F.when(far, n).otherwise(0)).alias("n_z3"), F.sum(F.when(fence, n).otherwise(0)).alias("n_tukey"))
+    return sums.select("column", "n", "n_z3", "n_tukey", (F.col("n_z3") / F.col("n")).alias("share_z3"), (F.col("n_tukey") / F.col("n")).alias("share_tukey"))
 
 
 def rank_table(df: DataFrame, column: str, out: str = "rank", buckets: int = 64) -> DataFrame:
-    """(_v, out): the tie-averaged rank of each distinct value that is not null.
-
-    No window over the whole table: values are counted, cut into ranges at approximate quantiles, ranked within each range
-    and shifted by the counts of the ranges before (one row per range).
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    splits = sorted(set(df.approxQuantile(column, [k / buckets for k in range(1, buckets)], 1.0 / (4 * buckets))))
-    bucket = reduce(lambda acc, s: acc + (F.col("_v") > F.lit(s)).cast("int"), splits, F.lit(0))
-    bucketed = counts.withColumn("_b", bucket)
-    sizes = bucketed.groupBy("_b").agg(F.sum("_c").alias("_s"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.coalesce(F.sum("_c").over(Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # at most `buckets` rows
-    ranks = bucketed.withColumn("_within", within).join(F.broadcast(before.select("_b", "_before")), "_b")
-    return ranks.select("_v", (F.col("_before") + F.col("_within") + (F.col("_c") + 1) / 2).alias(out))
+    """(_v, out): the tie-averaged rank of each distinct value that is not null."""
+    ordered = ordered_counts(df.select(F.lit(0).alias("_g"), F.col(column).alias("_v")), ["_g"], "_v", buckets)
+    return ordered.select("_v", (F.col("below") + (F.col("count") + 1) / 2).alias(out))
 
 
 def average_rank(df: DataFrame, column: str, out: str = "rank", buckets: int = 64) -> DataFrame:
@@ -198,13 +205,32 @@ def zero_variance(df: DataFrame, columns: list[str]) -> DataFrame:
     return spread.select(F.explode(flat).alias("e")).where("e.constant").select("e.column")
 
 
+def spearman_of_pairs(long: DataFrame, pair: str, a: str, b: str) -> DataFrame:
+    """(pair, n, distinct_a, distinct_b, rho) of rows (pair, a, b): the rank correlation within every pair, in one plan."""
+    rank = lambda side: ordered_counts(long, [pair], side).select(pair, side, (F.col("below") + (F.col("count") + 1) / 2).alias(f"_r{side}"))
+    ranked = long.join(rank(a), [pair, a]).join(rank(b), [pair, b])
+    return ranked.groupBy(pair).agg(F.count("*").alias("n"), F.min(f"_r{a}").alias("_la"), F.max(f"_r{a}").alias("_ha"), F.min(f"_r{b}").alias("_lb"), F.max(f"_r{b}").alias("_hb"), F.corr(f"_r{a}", f"_r{b}").alias("rho")).select(
+        pair, "n", (F.col("_la") == F.col("_ha")).alias("constant_a"), (F.col("_lb") == F.col("_hb")).alias("constant_b"), "rho"
+    )
+
+
 def redundant_columns(df: DataFrame, columns: list[str], threshold: float, active_only: bool = True, min_active: int = 30) -> list[dict]:
     """Greedy walk in the order given: a column is dropped if its |Spearman rho| with a kept one reaches the threshold,
     and, with active_only, also on the rows where either is non-zero (if there are at least min_active, and not all).
 
-    Correlations are aggregates of the cluster; the walk sees one number per pair of columns.
+    Two plans, however many columns: correlations of all pairs, and of the active rows of the pairs above the threshold. The
+    walk sees one number per pair of columns.
     """
     rho = {(r.a, r.b): r.rho for r in correlation_pairs(df, columns, "spearman").collect()}
+    near = [k for k, v in rho.items() if v is not None and abs(v) >= threshold]
+    active: dict[tuple[str, str], float | None] = {}
+    if active_only and near:
+        rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+        live = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("pair"), F.col(a).alias("a"), F.col(b).alias("b")) for k, (a, b) in enumerate(near)]), lambda e: (e["a"] != 0) | (e["b"] != 0))).alias("e")
+        every = rows.count()
+        for r in spearman_of_pairs(rows.select(live).select("e.*"), "pair", "a", "b").collect():
+            if min_active <= r.n < every:
+                active[near[r.pair]] = 1.0 if r.constant_a and r.constant_b else None if r.rho is None else abs(r.rho)
     kept: list[str] = []
     dropped = []
     for c in columns:
@@ -212,17 +238,9 @@ def redundant_columns(df: DataFrame, columns: list[str], threshold: float, activ
             overall = rho.get((k, c))
             if overall is None or not abs(overall) >= threshold:
                 continue
-            active = None
-            if active_only:
-                pair = df.select(k, c).dropna()
-                live = pair.where((F.col(k) != 0) | (F.col(c) != 0))
-                n, n_live, d_k, d_c = pair.count(), *live.agg(F.count("*"), F.count_distinct(k), F.count_distinct(c)).first()
-                if min_active <= n_live < n:
-                    found = 1.0 if d_k == d_c == 1 else correlation_pairs(live, [k, c], "spearman").first()["rho"]
-                    active = None if found is None else abs(found)
-                    if active is None or not active >= threshold:
-                        continue
-            dropped.append({"dropped": c, "kept": k, "rho": abs(overall), "rho_active": active})
+            if (k, c) in active and not (active[k, c] is not None and active[k, c] >= threshold):
+                continue
+            dropped.append({"dropped": c, "kept": k, "rho": abs(overall), "rho_active": active.get((k, c))})
             break
         else:
             kept.append(c)

@@ -49,6 +49,10 @@ def test_redundant_and_constant_columns(spark):
     df = spark.createDataFrame(rows, "a double, cubed double, b double, c double")
     assert [r.column for r in st.zero_variance(df, df.columns).collect()] == ["c"]
     assert [r["dropped"] for r in st.redundant_columns(df, ["a", "cubed", "b"], 0.99)] == ["cubed"]
+    # mostly zero columns agree overall; u and v do not where they are alive, twice u does
+    sparse = [(u := (k + 1.0) * (k < 40), (k * 17 % 41 + 1.0) * (k < 40), 2 * u) for k in range(2000)]
+    found = st.redundant_columns(spark.createDataFrame(sparse, "u double, v double, twice double"), ["u", "v", "twice"], 0.9)
+    assert [(r["dropped"], r["kept"], r["rho_active"]) for r in found] == [("twice", "u", pytest.approx(1))]
 
 
 def test_small_matrices():
@@ -201,6 +205,29 @@ def test_yeo_johnson_round(spark):
     assert abs(scaled.m) < 1e-9 and scaled.s == pytest.approx(1) and abs(scaled.k) < 0.3
 
 
+def test_exact_quantiles_and_normal_scores(spark):
+    from statistics import NormalDist
+
+    from tessera.operators.scaling import fit_powers, normal_quantile
+
+    rng = np.random.default_rng(3)
+    values = np.r_[rng.standard_normal(500), np.zeros(300), rng.standard_normal(40) * 1e6]
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0), ("b", None), (None, 2.0)], "g string, v double")
+    got = {r.g: r.q for r in st.quantiles_of(st.ordered_counts(df, ["g"], "v", bins=8), ["g"], "v", [0, 0.01, 0.25, 0.5, 0.999, 1]).collect()}
+    assert got["a"] == pytest.approx(np.quantile(values, [0, 0.01, 0.25, 0.5, 0.999, 1]).tolist()) and got["b"] == [1.0] * 6
+    p = [1e-7, 1e-4, 0.01, 0.3, 0.5, 0.77, 0.999, 1 - 1e-6]
+    z = [r.z for r in spark.createDataFrame([(x,) for x in p], "p double").select("p", normal_quantile(F.col("p")).alias("z")).orderBy("p").collect()]
+    assert z == pytest.approx([NormalDist().inv_cdf(x) for x in p], abs=1e-8)
+    sample = spark.createDataFrame([(float(v),) for v in rng.lognormal(size=400)], "x double")
+    power = fit_powers(sample, ["x"])[0]
+    x = np.array([r.x for r in sample.collect()])
+
+    def likelihood(q):
+        return -0.5 * np.log(np.var(((x + 1) ** q - 1) / q)) + (q - 1) * np.log1p(x).mean()
+
+    assert all(likelihood(power) >= likelihood(power + step) - 1e-9 for step in (-0.01, -1e-3, 1e-3, 0.01))
+
+
 def test_ridge_and_pls(spark):
     from tessera.operators.linear import fit_ridge, pls
 
