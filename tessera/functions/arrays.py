@@ -5,6 +5,8 @@ Coordinates are flat arrays (x1, y1, z1, x2, ...) in Angstrom. Null arrays give
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,6 +137,37 @@ def moment_of_constant(constant: Column) -> Column:
     return F.when(constant > 0, F.lit(ROTATIONAL) / constant).otherwise(0.0)
 
 
+def inertia_moments(z: Column, flat: Column) -> Column:
+    """ARRAY of the three principal moments of inertia (amu Angstrom^2), rising: the roots of the tensor's cubic, in closed form."""
+    atoms = F.zip_with(z, points(flat), lambda v, p: F.struct(lookup(ISOTOPE_MASS, v).alias("m"), p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z")))
+
+    def of(a: Column) -> Column:
+        def moment(*axes: str):
+            def term(e: Column) -> Column:
+                out = e["m"]
+                for axis in axes:
+                    out = out * e[axis]
+                return out
+
+            return total(F.transform(a, term))
+
+        m = moment()
+        first = {k: moment(k) for k in "xyz"}
+        second = {j + k: moment(j, k) - F.try_divide(first[j] * first[k], m) for j, k in ("xx", "yy", "zz", "xy", "xz", "yz")}
+        return F.struct(*[c.alias(n) for n, c in second.items()])
+
+    def roots(s: Column) -> Column:
+        a, b, c = s["yy"] + s["zz"], s["xx"] + s["zz"], s["xx"] + s["yy"]
+        q = (a + b + c) / 3
+        p = F.sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * (s["xy"] * s["xy"] + s["xz"] * s["xz"] + s["yz"] * s["yz"])) / 6)
+        u, v, w = a - q, b - q, c - q
+        det = u * (v * w - s["yz"] * s["yz"]) - s["xy"] * (s["xy"] * w + s["yz"] * s["xz"]) - s["xz"] * (s["xy"] * s["yz"] + v * s["xz"])
+        r = F.greatest(F.least(F.try_divide(det, 2 * p * p * p), F.lit(1.0)), F.lit(-1.0))
+        return F.when(p < 1e-12, F.array(q, q, q)).otherwise(bind(F.struct(q.alias("q"), p.alias("p"), (F.acos(r) / 3).alias("t")), lambda e: F.array_sort(F.transform(F.array(F.lit(0.0), F.lit(2 * math.pi / 3), F.lit(4 * math.pi / 3)), lambda turn: F.greatest(e["q"] + 2 * e["p"] * F.cos(e["t"] + turn), F.lit(0.0))))))
+
+    return F.when(z.isNotNull() & flat.isNotNull(), bind(bind(atoms, of), roots))
+
+
 def bonds(z: Column, flat: Column, scale: float = BOND_SCALE) -> Column:
     """ARRAY<STRUCT<i, j, d>> of pairs i < j (from 0) nearer than scale x (r_i + r_j); atoms without a radius never bond."""
     atoms = F.zip_with(z, points(flat), lambda v, p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"), lookup(COVALENT_RADIUS, v).alias("r")))

@@ -174,3 +174,61 @@ def invariance_table(table: DataFrame, seed: int = 0, descriptors: list[str] | N
     return changes.groupBy("descriptor", "transform").agg(
         F.count("*").alias("n_molecules"), F.avg("change").alias("mean_change"), F.max("change").alias("max_change"), (F.max("change") <= tolerance).alias("invariant")
     )
+
+
+def legal_features(table: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, columns): descriptor values of the named molecules from z and r, rounded through 32-bit floats as a feature store
+    keeps them; KeyError names columns that no descriptor has, MissingKeys ids that the table has not."""
+    from tessera.operators.relational import MissingKeys
+
+    every = {name: (descriptor, at) for descriptor in k.MODEL_DESCRIPTORS for at, name in enumerate(k.DESCRIPTORS[descriptor][1])}
+    if missing := [c for c in columns if c not in every]:
+        raise KeyError(f"features that no descriptor has: {missing[:5]}")
+    wanted = ids.select("id").distinct()
+    if lost := wanted.join(table, "id", "left_anti").limit(5).collect():
+        raise MissingKeys([r.id for r in lost])
+    needed = list(dict.fromkeys(every[c][0] for c in columns))
+    places = [(needed.index(every[c][0]), every[c][1]) for c in columns]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for m in _molecules(batch):
+            if m is None:
+                found.append(None)
+                continue
+            blocks = [k.DESCRIPTORS[name][0](*m) for name in needed]
+            found.append([float(np.float32(blocks[b][at])) for b, at in places])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["id", "features"])
+
+    rows = table.select("id", "z", "r").join(wanted, "id", "left_semi").mapInArrow(_batches(run), "id bigint, features array<double>")
+    return rows.select("id", *[F.get("features", F.lit(i)).alias(c) for i, c in enumerate(columns)])
+
+
+def evaluation_frame(stored: DataFrame, table: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """Stored features of the molecules that have them, and computed ones of all other ids."""
+    known = stored.select("id", *[F.col(c).cast("double").alias(c) for c in columns])
+    return known.unionByName(legal_features(table, ids.select("id").distinct().join(known, "id", "left_anti"), columns))
+
+
+def load_atoms(table: DataFrame, ids: DataFrame, kept: list[str]) -> DataFrame:
+    """ENVIRONMENT rows of the named molecules with only the kept atom features, in the order of ATOM_FEATURES."""
+    at = [n for n, name in enumerate(k.ATOM_FEATURES) if name in set(kept)]
+    rows = environments(table.join(ids.select("id").distinct(), "id", "left_semi"))
+    pick = F.transform("features", lambda row: F.array(*[F.get(row, F.lit(n)) for n in at]))
+    return rows.withColumn("features", F.when(F.col("features").isNotNull(), pick))
+
+
+def subset_atoms(described: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(atoms (row, id, atom_idx, element, x), edges (i, j, ux, uy, uz)) of wanted molecules (pos, id) one after another: row
+    numbers run on from molecule to molecule in order of pos, and edges point to them. Raises MissingKeys for unknown ids."""
+    from tessera.operators.relational import MissingKeys, running_total
+
+    if lost := wanted.join(described, "id", "left_anti").limit(5).collect():
+        raise MissingKeys([r.id for r in lost])
+    sized = wanted.join(described.select("id", F.size("element").alias("n"), "element", "features", "edges"), "id")
+    first = running_total(sized.select("pos", "id", "n"), "pos", "n", "first").select("pos", "first")
+    rows = sized.join(first, "pos")
+    atoms = rows.select("first", "id", F.posexplode("features").alias("atom_idx", "x"), "element")
+    atoms = atoms.select((F.col("first") + F.col("atom_idx")).alias("row"), "id", "atom_idx", F.get("element", F.col("atom_idx")).alias("element"), "x")
+    edges = rows.select("first", F.explode("edges").alias("e"))
+    return atoms, edges.select((F.col("first") + F.col("e.i")).alias("i"), (F.col("first") + F.col("e.j")).alias("j"), "e.ux", "e.uy", "e.uz")

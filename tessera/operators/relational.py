@@ -144,3 +144,109 @@ def same_members(a: DataFrame, b: DataFrame) -> bool:
 def disjoint(a: DataFrame, b: DataFrame) -> bool:
     """Leakage guard: no common value."""
     return a.toDF("k").join(b.toDF("k"), "k", "left_semi").isEmpty()
+
+
+def select_named(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns in the given order; ValueError lists those that are not there."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"no such columns: {missing}")
+    return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def quantile_band(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """The rows whose value lies within two exact quantiles of the column, both ends included."""
+    from tessera.operators.statistics import ordered_counts, quantiles_of
+
+    values = df.select(F.lit(0).alias("_g"), F.col(column).cast("double").alias("_v"))
+    ends = quantiles_of(ordered_counts(values, ["_g"], "_v"), ["_g"], "_v", [low, high]).select("q")  # one row
+    return df.join(F.broadcast(ends)).where(F.col(column).between(F.col("q")[0], F.col("q")[1])).drop("q")
+
+
+def with_group_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """df with the exact median of each row's group; groups are counted in ranges, never gathered. Null keys get null."""
+    from tessera.operators.statistics import ordered_counts, quantiles_of
+
+    medians = quantiles_of(ordered_counts(df, keys, value), keys, value, [0.5]).select(*keys, F.col("q")[0].alias(out))
+    return df.join(medians, keys, "left")
+
+
+def by_size(df: DataFrame, column: str, *ties: str) -> DataFrame:
+    """Rows by falling absolute value."""
+    return df.orderBy(F.abs(F.col(column)).desc(), *ties)
+
+
+def ordinal(column: Column, order: list) -> Column:
+    """Place of a value in a stated order, for sorting; values that are not in it come last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(v) for v in order]), column), F.lit(0).cast("bigint")), F.lit(len(order) + 1).cast("bigint"))
+
+
+def cross_section(df: DataFrame, level: str, value) -> DataFrame:
+    """The rows of one value of a key, without that key."""
+    return df.where(F.col(level) == value).drop(level)
+
+
+def concat_columns(frames: list[DataFrame], key: str) -> DataFrame:
+    """Tables side by side on a key: a row for every key that any of them has."""
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.join(df, key, "full")
+    return out
+
+
+def in_groups_of(df: DataFrame, key: str, least: int) -> DataFrame:
+    """The rows whose key has at least so many rows."""
+    return df.join(df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key), key, "left_semi")
+
+
+def plus_minus(mean: Column, spread: Column, digits: int = 3) -> Column:
+    """"mean ± spread" with fixed digits; the mean alone where there is no spread."""
+    m, s = (F.format_string(f"%.{digits}f", c.cast("double")) for c in (mean, spread))
+    return F.when(mean.isNotNull() & spread.isNotNull(), F.concat(m, F.lit(" ± "), s)).when(mean.isNotNull(), m)
+
+
+def number_after(column: Column, prefix: str) -> Column:
+    """The whole number after a prefix ("pls10" is 10); null without the prefix or without a number."""
+    return F.when(column.startswith(prefix), F.substr(column, F.lit(len(prefix) + 1)).try_cast("int"))
+
+
+def finite_check(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """(column, rows, nulls, not_finite, keys): what a feature table must show zero of, and how many different keys it has."""
+    bad = lambda c: F.count_if(F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")))
+    cells = df.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), *[F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("nulls"), bad(c).alias("not_finite")).alias(f"_{k}") for k, c in enumerate(columns)])
+    return cells.select("rows", "keys", F.explode(F.array(*[F.col(f"_{k}") for k in range(len(columns))])).alias("e")).select("e.column", "rows", "e.nulls", "e.not_finite", "keys")
+
+
+def sampled_rules(df: DataFrame, ident: list[str], rules: dict[str, Column], n: int, salt: str) -> DataFrame:
+    """(rule, checked, violations) over the n rows first in hashed order: a top-k, no total sort. Null conditions are violations."""
+    from tessera.operators.splits import draw
+
+    some = df.orderBy(draw(salt, *ident)).limit(n)
+    cells = some.agg(F.count("*").alias("checked"), *[F.count_if(~F.coalesce(ok, F.lit(False))).alias(f"_{k}") for k, ok in enumerate(rules.values())])
+    return cells.select("checked", F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_{k}").alias("violations")) for k, name in enumerate(rules)])).alias("e")).select("e.rule", "checked", "e.violations")
+
+
+def leaf_order(similarity) -> list[int]:
+    """Order of the leaves of an average-linkage tree over 1 - |similarity| of a small matrix (columns of a report)."""
+    import numpy as np
+
+    away = 1 - np.abs(np.asarray(similarity, float))
+    clusters = {k: [k] for k in range(len(away))}
+    while len(clusters) > 1:
+        pairs = ((away[np.ix_(a, b)].mean(), i, j) for i, a in clusters.items() for j, b in clusters.items() if i < j)
+        _, i, j = min(pairs)
+        clusters[i] = clusters[i] + clusters.pop(j)
+    return next(iter(clusters.values()), [])
+
+
+def running_total(df: DataFrame, order: str, value: str, out: str, width: int = 1 << 16) -> DataFrame:
+    """df with the sum of `value` over all rows of a smaller whole-number `order` (distinct, from 0), in two levels: stretches
+    of `width` are summed first, so no task runs over the whole table."""
+    from pyspark.sql import Window
+
+    parts = df.withColumn("_s", F.floor(F.col(order) / width))
+    sums = parts.groupBy("_s").agg(F.sum(value).alias("_t"))
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    starts = sums.select("_s", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_s").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("_i", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(starts, "_s").withColumn(out, F.col("_start") + F.col("_i")).drop("_s", "_i", "_start")

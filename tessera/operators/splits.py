@@ -20,7 +20,7 @@ def draw(salt: str, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(salt), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
 
 
-def hashed_rank(df: DataFrame, order: Column, out: str = "n", by: list[str] | None = None, digits: int = 2) -> DataFrame:
+def hashed_rank(df: DataFrame, order: Column, out: str = "n", by: list[str] | None = None, digits: int = 3) -> DataFrame:
     """df with the rank (1 ..) of each row in its group by a hexadecimal draw.
 
     Rows are counted by the draw's first digits; ranks within such a bin are shifted by the counts of the bins before, so a
@@ -90,6 +90,18 @@ def nested_sets(order: DataFrame, sizes: list[int]) -> DataFrame:
     return order.withColumn("n_train", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda n: F.col("pos") < n)))
 
 
+def development_ids(members: DataFrame) -> DataFrame:
+    """(id), in order: everything that exploring may read, that is the pool and both development sets; no test row."""
+    return members.where(F.col("set_name").isin("pool", "dev", "dev_unseen")).select("id").distinct().orderBy("id")
+
+
+def select_test_molecules(members: DataFrame, subsets: list[str], per: int, salt: str) -> DataFrame:
+    """(subset, id): `per` rows of each named set, the first in hashed order, in order of id within a set."""
+    some = members.where(F.col("set_name").isin(subsets)).select(F.col("set_name").alias("subset"), "id").distinct()
+    ranked = hashed_rank(some, draw(salt, "subset", "id"), "_n", ["subset"]).where(F.col("_n") <= per)
+    return ranked.select("subset", "id").orderBy("subset", "id")
+
+
 @dataclass
 class SplitConfig:
     split_seed: int = 7

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import tarfile
 import urllib.request
 from collections.abc import Iterator
@@ -69,25 +68,39 @@ def manifest(raws: list[RawFile], folder: str | Path) -> pd.DataFrame:
 
 
 def tar_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, text) of the files in tar archives, compressed or not; one archive is one split, members stream."""
+    """(archive, member, text) of the files in tar archives, compressed or not.
+
+    Only the archives' names are listed by the scan; each task opens its archive and reads it as a stream, member by member,
+    so an archive of any size passes through a worker whose memory holds a few hundred members.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                found = []
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
+            for name in pdf["path"]:
+                with _opened(name) as source, tarfile.open(fileobj=source, mode="r|*") as archive:
+                    found: list[tuple] = []
                     for member in archive:
                         if member.isfile():
                             found.append((name, member.name, archive.extractfile(member).read().decode("utf-8", "replace")))
-                        if len(found) >= 2000:
+                        if len(found) >= 500:
                             yield pd.DataFrame(found, columns=["archive", "member", "text"])
                             found = []
-                yield pd.DataFrame(found, columns=["archive", "member", "text"])
+                    yield pd.DataFrame(found, columns=["archive", "member", "text"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path")
     return files.mapInPandas(run, "archive string, member string, text string")
 
 
+def _opened(uri: str):
+    """A file of the local or of a shared file system as a stream of bytes."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return open(urllib.request.url2pathname(uri[5:].removeprefix("//")), "rb")
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_stream(path)
+
+
 def number(token: Column) -> Column:
     """A number that may be written with *^ for the exponent; null if it is none."""
     return F.replace(token, F.lit("*^"), F.lit("e")).try_cast("double")
@@ -173,3 +186,79 @@ def table_is_current(spark: SparkSession, path: str, columns: list[str] = COLUMN
         return set(spark.read.parquet(path).schema.fieldNames()) == set(columns)
     except Exception:
         return False
+
+
+def write_features(df: DataFrame, path: str, key: str = "id") -> None:
+    """A feature store: numbers as 32-bit floats, the key and other columns as they are, ordered by key."""
+    narrow = [F.col(f.name).cast("float").alias(f.name) if f.dataType.typeName() in ("double", "decimal") and f.name != key else F.col(f.name) for f in df.schema.fields]
+    df.select(*narrow).repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
+#: Numbers that a file for one reader may hold.
+NPZ_CELLS = 20_000_000
+
+
+def write_npz(df: DataFrame, path: str | Path, order: list[str]) -> None:
+    """Measured features of one run as arrays in one file, in a stated order; refused beyond NPZ_CELLS numbers."""
+    import numpy as np
+
+    width = df.agg(F.count("*"), *[F.max(F.size(f.name)) for f in df.schema.fields if f.dataType.typeName() == "array"]).first()
+    if width[0] * (len(df.columns) + sum(w or 0 for w in width[1:])) > NPZ_CELLS:
+        raise ValueError("too large for one file: write Parquet instead")
+    table = df.orderBy(*order).toArrow()
+    arrays = {}
+    for name in table.column_names:
+        values = table.column(name).to_pylist()
+        arrays[name] = np.array(values, dtype=float if values and isinstance(values[0], list) else None)
+    np.savez(path, **arrays)
+
+
+#: The parsed table's columns: what one value belongs to, its unit, what it is, and what it may be used for.
+DICTIONARY = [
+    ("id", "molecule", "", "number of the record", "key"),
+    ("formula", "molecule", "", "element counts as text", "structure"),
+    ("n_atoms", "molecule", "", "number of atoms", "structure"),
+    ("n_heavy", "molecule", "", "number of atoms other than hydrogen", "structure"),
+    ("z", "atom", "", "atomic number", "structure"),
+    ("r", "atom", "Angstrom", "position", "structure"),
+    ("q", "atom", "e", "partial charge", "computed"),
+    *[(c, "molecule", "GHz", f"rotational constant {c.upper()}", "structure") for c in "abc"],
+    ("mu", "molecule", "D", "size of the dipole moment", "target"),
+    ("alpha", "molecule", "bohr^3", "isotropic polarizability", "computed"),
+    ("homo", "molecule", "hartree", "highest occupied orbital energy", "computed"),
+    ("lumo", "molecule", "hartree", "lowest unoccupied orbital energy", "computed"),
+    ("gap", "molecule", "hartree", "difference of lumo and homo", "computed"),
+    ("r2", "molecule", "bohr^2", "electronic spatial extent", "computed"),
+    ("zpve", "molecule", "hartree", "zero point vibrational energy", "computed"),
+    ("u0", "molecule", "hartree", "internal energy at 0 K", "computed"),
+    ("u", "molecule", "hartree", "internal energy at 298.15 K", "computed"),
+    ("h", "molecule", "hartree", "enthalpy at 298.15 K", "computed"),
+    ("g", "molecule", "hartree", "free energy at 298.15 K", "computed"),
+    ("cv", "molecule", "cal/(mol K)", "heat capacity at 298.15 K", "computed"),
+    ("freqs", "mode", "1/cm", "harmonic frequency", "computed"),
+    ("smiles", "molecule", "", "line notation of the relaxed structure", "structure"),
+    ("smiles_gdb", "molecule", "", "line notation as it was proposed", "structure"),
+    ("inchi", "molecule", "", "identifier of the relaxed structure", "structure"),
+    ("inchi_gdb", "molecule", "", "identifier as it was proposed", "structure"),
+]
+#: Numbers that a record holds directly, one a molecule, but for the target.
+NATURAL = ["n_atoms", "n_heavy", "n_c", "n_h", "n_n", "n_o", "n_f", *[p for p in PROPERTIES if p != "mu"]]
+
+
+def data_dictionary(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DICTIONARY, "column string, per string, unit string, meaning string, role string")
+
+
+def natural_features(table: DataFrame) -> DataFrame:
+    """(id, NATURAL): counts read off the atom list and the computed properties; a null atom list has null counts."""
+    from tessera.functions.composition import ELEMENTS
+
+    is_ = lambda k: lambda v: v == k
+    counts = [F.when(F.col("z").isNotNull(), F.size(F.filter("z", is_(k)))).alias(f"n_{s.lower()}") for s, k in ELEMENTS]
+    return table.select("id", "n_atoms", "n_heavy", *counts, *[p for p in PROPERTIES if p != "mu"])
+
+
+def natural_role(feature: str) -> str:
+    """What a natural feature may be used for: counts and rotational constants follow from the structure."""
+    roles = {name: role for name, _, _, _, role in DICTIONARY}
+    return "structure" if feature.startswith("n_") else roles[feature]

@@ -55,12 +55,33 @@ def read_score_files(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.option("header", True).csv(pattern).select("*", F.col("_metadata.file_name").alias("file")).dropDuplicates()
 
 
+# The blocks of each named set of molecule features, in order; structure+dft holds computed properties.
+FEATURE_SETS = {
+    "composition": ["composition"],
+    "cm": ["cm"],
+    "structure": ["composition", "engineered"],
+    "structure+": ["composition", "engineered", "groups", "qeq"],
+    "all_legal": ["composition", "engineered", "groups", "qeq", "rdf", "cm"],
+    "structure+dft": ["composition", "engineered", "dft_property", "charge", "frequency"],
+}
+EXPLORATION_ONLY = ["structure+dft"]
+
+
 def feature_sets(catalog: DataFrame) -> DataFrame:
-    """(name, features): ordered lists of kept features by level, legal ones and all; order is a column `ord`."""
-    kept = catalog.where("kept")
-    named = [("legal", kept.where("legal")), ("all", kept), ("molecule", kept.where("legal and level = 'molecule'")), ("atom", kept.where("legal and level = 'atom'")), ("exploration", kept.where("not legal"))]
-    out = None
-    for name, df in named:
-        part = df.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "feature"))), lambda e: e["feature"]).alias("features")).select(F.lit(name).alias("name"), "features")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(name, features): ordered lists of the kept molecule features of FEATURE_SETS, block after block, within a block in the
+    order of the column `ord`; a set none of whose blocks has a feature is empty."""
+    blocks = [(name, at, block) for name, parts in FEATURE_SETS.items() for at, block in enumerate(parts)]
+    plan = catalog.sparkSession.createDataFrame(blocks, "name string, at int, block string")
+    kept = catalog.where("kept and coalesce(level, 'molecule') = 'molecule'").select("block", "ord", "feature")
+    # a fixed table of some twenty rows
+    joined = kept.join(F.broadcast(plan), "block", "right")
+    listed = F.array_sort(F.collect_list(F.when(F.col("feature").isNotNull(), F.struct("at", "ord", "feature"))))
+    return joined.groupBy("name").agg(F.transform(listed, lambda e: e["feature"]).alias("features"))
+
+
+def atom_feature_names(catalog: DataFrame) -> list[str]:
+    """The kept features of atoms, in the order of ATOM_FEATURES."""
+    from tessera.operators.molecule_kernels import ATOM_FEATURES
+
+    kept = {r.feature for r in catalog.where("kept and level = 'atom'").select("feature").collect()}
+    return [f for f in ATOM_FEATURES if f in kept]
