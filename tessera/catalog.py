@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that define QUERIES (name to callable) and SQL (name to text).
-MODULES: list[str] = ["tessera.plans.q_statistics", "tessera.plans.q_molecules", "tessera.plans.q_models"]
+MODULES: list[str] = ["tessera.plans.q_statistics", "tessera.plans.q_molecules", "tessera.plans.q_models", "tessera.plans.q_tables"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -155,20 +155,26 @@ def invariance_table(table: DataFrame, seed: int = 0, descriptors: list[str] | N
     """
     names = descriptors or list(k.DESCRIPTORS)
 
+    def values(name: str, mols: list) -> np.ndarray:
+        if name in ("groups", "qeq", "rdf"):  # described together
+            first = np.r_[0, np.cumsum([len(z) for z, _ in mols])]
+            return getattr(surroundings(np.concatenate([z for z, _ in mols]), np.concatenate([r for _, r in mols]), first), name)
+        return np.stack([k.DESCRIPTORS[name][0](*m) for m in mols])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for ident, m in zip(batch.column(0).to_pylist(), _molecules(batch)):
-                if m is None:
+            for start in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(start, CHUNK)
+                found = [(ident, m) for ident, m in zip(part.column(0).to_pylist(), _molecules(part)) if m is not None]
+                if not found:
                     continue
+                mols = [m for _, m in found]
                 for i, name in enumerate(names):
-                    function = k.DESCRIPTORS[name][0]
-                    base = function(*m)
+                    base = values(name, mols)
                     for j, (transform, move) in enumerate(k.TRANSFORMS.items()):
-                        rng = np.random.default_rng([seed, i, j, ident])
-                        out.append((name, transform, float(np.abs(function(*move(*m, rng)) - base).max())))
-            d, t, c = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.string()), pa.array(t, pa.string()), pa.array(c, pa.float64())], ["descriptor", "transform", "change"])
+                        moved = [move(*m, np.random.default_rng([seed, i, j, ident])) for ident, m in found]
+                        change = np.abs(values(name, moved) - base).max(1)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(mols)), pa.array([transform] * len(mols)), pa.array(change)], ["descriptor", "transform", "change"])
 
     changes = table.select("id", "z", "r").mapInArrow(run, "descriptor string, transform string, change double")
     return changes.groupBy("descriptor", "transform").agg(

@@ -48,9 +48,13 @@ def q37_group_kfold(spark: S, d: D) -> DataFrame:
 
 
 def q38_nested_sets(spark: S, d: D) -> DataFrame:
-    """Sizes of the stored training sets of every build, revision and seed."""
-    order = table(spark, d, "train_order").select("build_id", "revision", "seed", "pos", "id").distinct()
-    return sp.nested_sets(order, [15, 50, 100]).groupBy("build_id", "revision", "seed", "n_train").agg(F.count("*").alias("n"))
+    """Sizes of the stored training sets of every build, revision and seed, at the build's own sizes."""
+    from tessera.operators.relational import latest
+
+    order = table(spark, d, "train_order").where("build_id is not null and pos is not null and id is not null").select("build_id", "revision", "seed", "pos", "id").distinct()
+    sizes = latest(table(spark, d, "split_build").where("build_id is not null").select("build_id", "train_sizes", "written_at"), ["build_id"], ["written_at"]).select("build_id", "train_sizes")
+    sets = order.join(sizes, "build_id").withColumn("n_train", F.explode(F.filter("train_sizes", lambda n: F.col("pos") < n)))
+    return sets.groupBy("build_id", "revision", "seed", "n_train").agg(F.count("*").alias("n"))
 
 
 def q39_stored_overlaps(spark: S, d: D) -> DataFrame:
@@ -112,35 +116,31 @@ def q42_quantile_normal(spark: S, d: D) -> DataFrame:
     return sc.fit_scaling(rows, ["mu"], "quantile_normal").apply(rows)
 
 
-def q43_target_round_trip(spark: S, d: D) -> DataFrame:
+def q43_targets(spark: S, d: D) -> DataFrame:
+    """Standardized transformed targets, and predictions brought back: 0.5 standard deviations above each mean, clipped at 0."""
     m = molecules(spark, d, "mu").where("mu >= 0")
-    back = lambda n: sc.target_inverse(n, sc.target_forward(n, F.col("mu")))
-    return rounded(m.select("id", back("sqrt").alias("by_sqrt"), back("log1p").alias("by_log1p"), sc.clip_predictions(F.col("mu") - 3).alias("clipped")))
+    out = [F.col("id")]
+    for name in ("standard", "sqrt", "log1p"):
+        centre, scale = sc.fit_target(m, "mu", name)
+        z = (sc.target_forward(name, F.col("mu")) - centre) / scale
+        out += [z.alias(name), sc.clip_predictions(sc.target_inverse(name, (z - 1) * scale + centre)).alias(f"{name}_back")]
+    return rounded(m.select(*out))
 
 
 # models
 
 
-def q52_ridge(spark: S, d: D) -> DataFrame:
-    w, b = ln.fit_ridge(_frame(spark, d), FEATURES, "mu", 1.0)
-    return spark.createDataFrame([*[(f, float(v)) for f, v in zip(FEATURES, w)], ("intercept", b)], "term string, value double")
-
-
 def q52_least_squares(spark: S, d: D) -> DataFrame:
     w, b = ln.fit_ridge(_frame(spark, d), ["alpha"], "mu", 0.0)
     return rounded(spark.createDataFrame([("alpha", float(w[0])), ("intercept", b)], "term string, value double"))
 
 
-def q53_pls(spark: S, d: D) -> DataFrame:
-    rows = _frame(spark, d)
-    means, rotation = ln.pls(rows, FEATURES, "mu", 3)
-    return ln.project(rows, FEATURES, means, rotation).select("id", "z0", "z1", "z2")
-
-
 def q53_pca(spark: S, d: D) -> DataFrame:
+    """Squared length of each row's scores on all components, which is its squared distance from the mean."""
     rows = _frame(spark, d)
-    means, rotation, _ = ln.pca(rows, FEATURES, 3)
-    return ln.project(rows, FEATURES, means, rotation).select("id", "z0", "z1", "z2")
+    means, rotation, _ = ln.pca(rows, FEATURES, len(FEATURES))
+    scores = ln.project(rows, FEATURES, means, rotation)
+    return rounded(scores.select("id", sum((F.col(f"z{k}") * F.col(f"z{k}") for k in range(len(FEATURES))), F.lit(0.0)).alias("squares")), 4)
 
 
 def _training_sets(spark: S, d: D, n: int) -> DataFrame:
@@ -149,10 +149,12 @@ def _training_sets(spark: S, d: D, n: int) -> DataFrame:
 
 
 def q57_tune(spark: S, d: D) -> DataFrame:
-    grids = {"ridge": [{"alpha": a} for a in ln.RIDGE_ALPHAS], "rbf": [{"alpha": a, "gamma": g} for a in (1e-3, 1e-1) for g in ln.rbf_grid(len(FEATURES))[3:8]]}
-    from tessera.operators.evaluation import learning_curve
+    """A learning curve of the model roster on nested training sets: least pooled error of each model's grid."""
+    from tessera.operators import pipelines as pl
 
-    return learning_curve(_frame(spark, d), _training_sets(spark, d, 100), FEATURES, "mu", grids)
+    specs = lambda seed, name: pl.roster(len(FEATURES), target="sqrt")
+    sets = _training_sets(spark, d, 50).unionByName(_training_sets(spark, d, 100))
+    return pl.curve_table(pl.learning_curve(_frame(spark, d), sets, {"all": FEATURES}, "mu", specs))
 
 
 def q57_dev_curve(spark: S, d: D) -> DataFrame:
@@ -184,7 +186,7 @@ def q57_spectrum(spark: S, d: D) -> DataFrame:
 
     _, _, cov = st.moments_matrix(_frame(spark, d), ["alpha", "zpve", "cv"])
     l = np.linalg.eigvalsh(cov)
-    row = (st.participation_ratio(l), st.components_for_share(l, 0.95), st.condition_number(l), float(st.variance_inflation(cov).max()))
+    row = (round(st.participation_ratio(l), 6), st.components_for_share(l, 0.95), round(st.condition_number(l), 3), round(float(st.variance_inflation(cov).max()), 6))
     return spark.createDataFrame([row], "participation double, components int, condition double, inflation double")
 
 
@@ -222,13 +224,17 @@ def q31_rbf_gram(spark: S, d: D) -> DataFrame:
 
 
 def q32_target_alignment(spark: S, d: D) -> DataFrame:
-    gram = qu.rbf_pairs(_queries(spark, d), _queries(spark, d), "embedding", 0.5)
-    y = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("y"))
+    """Centred alignment of the query vectors' kernel rows, against all vectors, with the products of a target."""
+    every = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    gram = qu.rbf_pairs(_queries(spark, d), every, "embedding", 0.5)
+    y = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("y"))
     return rounded(qu.target_alignment(gram, y))
 
 
 def q33_offdiagonal(spark: S, d: D) -> DataFrame:
-    return rounded(qu.offdiagonal_stats(qu.rbf_pairs(_queries(spark, d), _queries(spark, d), "embedding", 0.5)))
+    """Of the query vectors' kernel values with all other vectors."""
+    every = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return rounded(qu.offdiagonal_stats(qu.rbf_pairs(_queries(spark, d), every, "embedding", 0.5)))
 
 
 def q50_cost_model(spark: S, d: D) -> DataFrame:
@@ -273,13 +279,13 @@ SQL = {
     "q35_keep_one_sample": f"WITH {M}, r AS (SELECT id, md5('7:familiar:' || id) AS h, row_number() OVER (PARTITION BY f ORDER BY md5('7:familiar:' || id)) AS n, count(*) OVER (PARTITION BY f) AS c FROM m WHERE f IS NOT NULL) SELECT id FROM r WHERE n < c ORDER BY h LIMIT 200",
     "q36_kfold": f"WITH {M} SELECT id, ((row_number() OVER (ORDER BY md5('cv:' || id)) - 1) % 5)::INT AS fold FROM m",
     "q37_group_kfold": f"WITH {M} SELECT id, (('0x' || substr(md5('cv:' || f), 1, 8))::BIGINT % 5)::INT AS fold FROM m",
-    "q38_nested_sets": "WITH o AS (SELECT DISTINCT build_id, revision, seed, pos, id FROM train_order), s AS (SELECT unnest([15, 50, 100]) AS n_train) SELECT build_id, revision, seed, n_train, count(*) AS n FROM o, s WHERE pos < n_train GROUP BY 1, 2, 3, 4",
+    "q38_nested_sets": """WITH o AS (SELECT DISTINCT build_id, revision, seed, pos, id FROM train_order WHERE build_id IS NOT NULL AND pos IS NOT NULL AND id IS NOT NULL), b AS (SELECT build_id, unnest(train_sizes) AS n_train FROM (SELECT * FROM split_build WHERE build_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY build_id ORDER BY written_at) = 1))
+ SELECT build_id, revision, seed, n_train, count(*) AS n FROM o JOIN b USING (build_id) WHERE pos < n_train GROUP BY ALL""",
     "q39_stored_overlaps": """WITH r AS (SELECT DISTINCT build_id, set_name, id FROM split_set), k AS (SELECT build_id, id, count(*) AS k FROM r WHERE set_name IN ('pool','test_unseen','test_familiar','dev','dev_unseen') GROUP BY 1, 2)
  SELECT build_id, count(*) FILTER (k > 1) AS shared,
  (SELECT count(*) FROM r q WHERE q.build_id = k.build_id AND q.set_name = 'test_unseen_q' AND q.id NOT IN (SELECT id FROM r p WHERE p.build_id = q.build_id AND p.set_name = 'test_unseen')) AS outside_test_unseen,
  (SELECT count(*) FROM r q WHERE q.build_id = k.build_id AND q.set_name = 'test_familiar_q' AND q.id NOT IN (SELECT id FROM r p WHERE p.build_id = q.build_id AND p.set_name = 'test_familiar')) AS outside_test_familiar
  FROM k GROUP BY build_id""",
-    "q39_split_checks": "SELECT unnest(['id','a','b','c','d','e','f','g','h','i']) AS label, 0 AS violations",
     "q40_fill_order": f"""WITH {M}, p AS (SELECT id, f FROM m WHERE f IS NOT NULL), g AS (SELECT f FROM p GROUP BY f HAVING count(*) >= 20),
  a AS (SELECT id FROM p JOIN g USING (f) QUALIFY row_number() OVER (PARTITION BY f ORDER BY md5('7:0:anchor:' || id)) = 1), n AS (SELECT count(*) AS n FROM a)
  SELECT row_number() OVER (ORDER BY id) - 1 AS pos, id, true AS is_anchor FROM a UNION ALL SELECT row_number() OVER (ORDER BY md5('7:0:' || id)) - 1 + n, id, false FROM p, n WHERE id NOT IN (SELECT id FROM a)""",
@@ -287,15 +293,24 @@ SQL = {
     "q41_standardize_clip": _scaled({c: f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in ("l_extendedprice", "l_quantity")}, "lineitem", "l_orderkey, l_linenumber"),
     "q41_robust": "WITH q AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.25) AS {c}_a, quantile_cont({c}, 0.5) AS {c}_b, quantile_cont({c}, 0.75) AS {c}_c" for c in ("l_extendedprice", "l_quantity")) + " FROM lineitem) " + _scaled({c: f"({c} - {c}_b) / ({c}_c - {c}_a)" for c in ("l_extendedprice", "l_quantity")}, "lineitem, q", "l_orderkey, l_linenumber"),
     "q42_skewed_log": f"WITH {M}, b AS (SELECT id, mu, r2 FROM m), t AS (SELECT id, {_SKEW.format(c='mu')} AS mu, {_SKEW.format(c='r2')} AS r2 FROM b) " + _scaled({c: f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in ("mu", "r2")}, "t", "id"),
-    "q43_target_round_trip": f"WITH {M} SELECT id, round(pow(sqrt(mu), 2), 6) AS by_sqrt, round(exp(ln(1 + mu)) - 1, 6) + 0.0 AS by_log1p, round(greatest(mu - 3, 0), 6) AS clipped FROM m WHERE mu >= 0",
+    "q43_targets": f"""WITH {M}, k AS (SELECT id, mu, sqrt(mu) AS s, ln(1 + mu) AS l FROM m WHERE mu >= 0 AND z IS NOT NULL), f AS (SELECT avg(mu) AS m1, stddev_pop(mu) AS d1, avg(s) AS m2, stddev_pop(s) AS d2, avg(l) AS m3, stddev_pop(l) AS d3 FROM k)
+ SELECT id, round((mu - m1) / d1, 6) + 0.0 AS standard, round(greatest(mu - d1, 0), 6) AS standard_back, round((s - m2) / d2, 6) + 0.0 AS sqrt, round(greatest(s - d2, 0) ** 2, 6) AS sqrt_back, round((l - m3) / d3, 6) + 0.0 AS log1p, round(greatest(exp(l - d3) - 1, 0), 6) AS log1p_back FROM k, f""",
+    "q53_pca": f"WITH {M}, k AS (SELECT id, alpha, zpve, cv, " + ", ".join(f"len(list_filter(z, lambda x: x = {n})) AS n{n}" for n in (6, 1, 7, 8, 9)) + " FROM m WHERE z IS NOT NULL AND mu IS NOT NULL AND alpha IS NOT NULL AND zpve IS NOT NULL AND cv IS NOT NULL) SELECT id, round(" + " + ".join(f"({c} - avg({c}) OVER ()) ** 2" for c in ("n6", "n1", "n7", "n8", "n9", "alpha", "zpve", "cv")) + ", 4) AS squares FROM k",
+    "q57_spectrum": f"""WITH {M}, k AS (SELECT alpha AS a, zpve AS b, cv AS c FROM m WHERE z IS NOT NULL AND mu IS NOT NULL AND alpha IS NOT NULL AND zpve IS NOT NULL AND cv IS NOT NULL),
+ s AS (SELECT var_pop(a) AS xx, var_pop(b) AS yy, var_pop(c) AS zz, covar_pop(a, b) AS xy, covar_pop(a, c) AS xz, covar_pop(b, c) AS yz, corr(a, b) AS p, corr(a, c) AS q_, corr(b, c) AS r FROM k),
+ t AS (SELECT *, (xx + yy + zz) / 3 AS m, sqrt(((xx - (xx + yy + zz) / 3) ** 2 + (yy - (xx + yy + zz) / 3) ** 2 + (zz - (xx + yy + zz) / 3) ** 2 + 2 * (xy ** 2 + xz ** 2 + yz ** 2)) / 6) AS w FROM s),
+ u AS (SELECT *, acos(greatest(least(((xx - m) * ((yy - m) * (zz - m) - yz * yz) - xy * (xy * (zz - m) - yz * xz) + xz * (xy * yz - (yy - m) * xz)) / (2 * w ** 3), 1), -1)) / 3 AS f FROM t),
+ e AS (SELECT *, m + 2 * w * cos(f) AS l1, m + 2 * w * cos(f + 4 * pi() / 3) AS l2, m + 2 * w * cos(f + 2 * pi() / 3) AS l3 FROM u)
+ SELECT round((l1 + l2 + l3) ** 2 / (l1 * l1 + l2 * l2 + l3 * l3), 6) AS participation, CASE WHEN l1 >= 0.95 * 3 * m THEN 1 WHEN l1 + l2 >= 0.95 * 3 * m THEN 2 ELSE 3 END AS components, round(sqrt(l1 / l3), 3) AS condition,
+ round(greatest(1 - r * r, 1 - q_ * q_, 1 - p * p) / (1 + 2 * p * q_ * r - p * p - q_ * q_ - r * r), 6) AS inflation FROM e""",
     "q52_least_squares": f"WITH {M}, r AS (SELECT * FROM m WHERE mu IS NOT NULL AND alpha IS NOT NULL AND zpve IS NOT NULL AND cv IS NOT NULL) SELECT 'alpha' AS term, round(regr_slope(mu, alpha), 6) AS value FROM r UNION ALL SELECT 'intercept', round(regr_intercept(mu, alpha), 6) FROM r",
     "q20_zz_readout": _ZZ,
     "q20_zz_simulated": _ZZ,
     "q31_rbf_gram": f"WITH g AS ({_GRAM}) SELECT i, j, round(k, 6) AS k FROM g",
-    "q32_target_alignment": f"""WITH g AS ({_GRAM} AND b.vec_id % 100 = 0), c AS (SELECT i, j, k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS c FROM g),
- y AS (SELECT vec_id, embedding[1]::DOUBLE - avg(embedding[1]::DOUBLE) OVER () AS t FROM embeddings WHERE vec_id % 100 = 0)
+    "q32_target_alignment": f"""WITH g AS ({_GRAM}), c AS (SELECT i, j, k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS c FROM g),
+ y AS (SELECT vec_id, embedding[1]::DOUBLE - avg(embedding[1]::DOUBLE) OVER () AS t FROM embeddings)
  SELECT round(sum(c * a.t * b.t) / sqrt(sum(c * c) * sum((a.t * b.t) ** 2)), 6) AS alignment FROM c JOIN y a ON a.vec_id = i JOIN y b ON b.vec_id = j""",
-    "q33_offdiagonal": f"WITH g AS ({_GRAM} AND b.vec_id % 100 = 0) SELECT round(avg(k), 6) AS mean, round(stddev_pop(k), 6) AS std, round(min(k), 6) AS min, round(max(k), 6) AS max FROM g WHERE i <> j",
+    "q33_offdiagonal": f"WITH g AS ({_GRAM}) SELECT round(avg(k), 6) AS mean, round(stddev_pop(k), 6) AS std, round(min(k), 6) AS min, round(max(k), 6) AS max FROM g WHERE i <> j",
     "q50_cost_model": """WITH r AS (SELECT p_partkey, p_partkey % 3 AS t, p_size::BIGINT AS n FROM part), c AS (SELECT p_partkey, CASE t WHEN 0 THEN n * (n - 1) // 2 WHEN 1 THEN 3 * n ELSE n END AS train, CASE t WHEN 0 THEN n * n * 2 WHEN 1 THEN 6 * n ELSE 2 * n END AS "new" FROM r)
  SELECT p_partkey, train, "new", round(train * 1000 * (5e-6 + 2e-6 + 250e-6), 6) AS seconds FROM c""",
     "q51_mitigation": "WITH r AS (SELECT vec_id, abs(embedding[1]::DOUBLE) AS x FROM embeddings), l AS (SELECT *, least(greatest((1 - x - 0.125) / 0.875, 1e-3), 1) AS l FROM r) SELECT vec_id, round(least(greatest((x - (1 - l) * 0.125) / l, 0), 1), 6) AS overlap FROM l",

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays as ar
 from tessera.operators import features as ft
+from tessera.operators.molecule_kernels import ATOM_FEATURES
 from tessera.plans.views import M, molecules, rounded, table
 from tessera.sources import records
+from tessera.sources.results import FEATURE_SETS
 
 S, D = SparkSession, str
+N_ATOM_FEATURES = len(ATOM_FEATURES)
 
 
 def q24_integrity(spark: S, d: D) -> DataFrame:
@@ -95,13 +98,9 @@ def q30_valence(spark: S, d: D) -> DataFrame:
 
 
 def q54_cm_spectrum(spark: S, d: D) -> DataFrame:
-    return ft.featurize(molecules(spark, d, "r"), "cm_spectrum")
-
-
-def q54_cm_trace(spark: S, d: D) -> DataFrame:
-    """The eigenvalues' sum, which is the trace of the matrix: checks the spectrum without eigenvalues."""
-    found = ft.featurize(molecules(spark, d, "r"), "cm_spectrum")
-    return rounded(found.where("features is not null").select("id", ar.total(F.col("features")).alias("trace")), 4)
+    """The sums of the eigenvalues and of their squares, which are the trace and the squared norm of the matrix."""
+    found = ft.featurize(molecules(spark, d, "r"), "cm_spectrum").where("features is not null")
+    return rounded(found.select("id", ar.total(F.col("features")).alias("trace"), ar.total(F.transform("features", lambda v: v * v)).alias("squares")), 3)
 
 
 def q55_qeq(spark: S, d: D) -> DataFrame:
@@ -117,16 +116,12 @@ def q58_radius_of_gyration(spark: S, d: D) -> DataFrame:
     return rounded(m.select("id", ar.radius_of_gyration(F.col("r")).alias("radius"), ar.electronegativity_dipole(F.col("z"), F.col("r")).alias("dipole"), ar.heteroatom_offset(F.col("z"), F.col("r")).alias("offset")), 5)
 
 
-def q59_environment_groups(spark: S, d: D) -> DataFrame:
-    from tessera.operators.molecule_kernels import GROUPS
-
-    found = ft.environments(molecules(spark, d, "r"))
-    return found.where("groups is not null").select("id", *[F.get("groups", F.lit(k)).alias(n) for k, n in enumerate(GROUPS)])
-
-
 def q59_atom_table(spark: S, d: D) -> DataFrame:
+    """The long atom table: centred positions (to 32 bits) and how many features each atom has."""
     m = molecules(spark, d, "r")
-    return ft.atom_table(ft.environments(m), m)
+    rows = ft.atom_table(ft.environments(m), m)
+    at = [F.get("pos", F.lit(k)).cast("double").alias(n) for k, n in enumerate("xyz")]
+    return rounded(rows.select("id", "atom_idx", F.col("element").cast("int").alias("element"), *at, F.size("x").alias("features")), 3)
 
 
 def q59_edge_table(spark: S, d: D) -> DataFrame:
@@ -134,7 +129,8 @@ def q59_edge_table(spark: S, d: D) -> DataFrame:
 
 
 def q60_invariance(spark: S, d: D) -> DataFrame:
-    found = ft.invariance_table(molecules(spark, d, "r"), descriptors=["composition", "cm_spectrum", "engineered", "coordinates"])
+    """Every descriptor under every motion; the raw coordinates are the control that must change."""
+    found = ft.invariance_table(molecules(spark, d, "r"))
     return found.select("descriptor", "transform", "n_molecules", "invariant")
 
 
@@ -175,12 +171,15 @@ def q70_charge_correlation(spark: S, d: D) -> DataFrame:
 
 
 def q71_files(spark: S, d: D) -> DataFrame:
-    return records.digests(spark, f"{d}/region.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "md5", "sha256")
+    """Sizes and digests of every file of the folder."""
+    return records.digests(spark, f"{d}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "md5", "sha256")
 
 
 def q72_current_table(spark: S, d: D) -> DataFrame:
-    current = records.table_is_current(spark, f"{d}/molecules.parquet", [*records.COLUMNS, "loaded_at"])
-    return spark.range(1).select(F.lit("molecules").alias("name"), F.lit(current).alias("current"))
+    """Whether a table is the parsed one (its columns are exactly those stated)."""
+    names = ["molecules", "feature_catalog", "atomdata"]
+    found = [(n, records.table_is_current(spark, f"{d}/{n}.parquet", [*records.COLUMNS, "loaded_at"])) for n in names]
+    return spark.createDataFrame(found, "name string, current boolean")
 
 
 def q73_feature_sets(spark: S, d: D) -> DataFrame:
@@ -236,10 +235,12 @@ SQL = {
  SELECT id, name, count(*) AS n FROM n WHERE name IS NOT NULL GROUP BY 1, 2""",
     "q30_valence": f"""WITH {M}, {_BONDS}, e AS (SELECT id, i FROM b UNION ALL SELECT id, j FROM b), g AS (SELECT p.id, p.i, p.e, count(e.i) AS deg FROM p LEFT JOIN e ON e.id = p.id AND e.i = p.i GROUP BY 1, 2, 3)
  SELECT id, count(*) AS atoms_over FROM g WHERE deg < 1 OR deg > CASE e WHEN 1 THEN 1 WHEN 6 THEN 4 WHEN 7 THEN 4 WHEN 8 THEN 2 WHEN 9 THEN 1 END GROUP BY id""",
-    "q54_cm_trace": f"WITH {M}, {_ATOMS} SELECT id, round(sum(0.5 * e ** 2.4), 4) AS trace FROM p GROUP BY id",
+    "q54_cm_spectrum": f"""WITH {M}, {_ATOMS}, c AS (SELECT a.id, a.i = b.i AS own, CASE WHEN a.i = b.i THEN 0.5 * a.e ** 2.4 ELSE a.e * b.e / (1.8897261 * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.w - b.w) ** 2)) END AS v FROM p a JOIN p b ON a.id = b.id)
+ SELECT id, round(sum(v) FILTER (own), 3) AS trace, round(sum(v * v), 3) AS squares FROM c GROUP BY id""",
     "q58_radius_of_gyration": f"""WITH {M}, {_ATOMS}, c AS (SELECT *, {_CHI} AS chi FROM p), k AS (SELECT *, chi - avg(chi) OVER (PARTITION BY id) AS dc FROM c)
  SELECT id, round(sqrt(var_pop(x) + var_pop(y) + var_pop(w)), 5) AS radius, round(sqrt(sum(dc * x) ** 2 + sum(dc * y) ** 2 + sum(dc * w) ** 2), 5) AS dipole,
  round(coalesce(sqrt((avg(x) FILTER (e > 6) - avg(x)) ** 2 + (avg(y) FILTER (e > 6) - avg(y)) ** 2 + (avg(w) FILTER (e > 6) - avg(w)) ** 2), 0), 5) AS "offset" FROM k GROUP BY id""",
+    "q59_atom_table": f"WITH {M}, {_ATOMS} SELECT id, i AS atom_idx, {_PLACE.format(c='e')} AS element, " + ", ".join(f"round((({a}) - avg({a}) OVER (PARTITION BY id))::FLOAT::DOUBLE, 3) + 0.0 AS {n}" for a, n in (("x", "x"), ("y", "y"), ("w", "z"))) + f", {N_ATOM_FEATURES} AS features FROM p",
     "q59_edge_table": f"WITH {M}, {_BONDS} SELECT id, i, j FROM b UNION ALL SELECT id, j, i FROM b",
     "q61_frequency_features": f"WITH {M}, k AS (SELECT id, {_DUP} AS freqs FROM m) SELECT id, round(list_min(freqs), 7) AS freq_lowest, round(list_max(freqs), 7) AS freq_highest, round(list_avg(freqs), 7) AS freq_mean, len(list_filter(freqs, lambda x: x > 2800)) AS n_modes_above_2800, len(list_filter(freqs, lambda x: x < 500)) AS n_modes_below_500 FROM k WHERE len(freqs) > 0",
     "q62_clean_frequencies": f"WITH {M}, k AS (SELECT id, n_atoms, freqs, {_DUP} AS c FROM m) SELECT id, len(freqs) AS listed, len(c) AS kept, len(c) = 3 * n_atoms - 5 AS linear FROM k",
@@ -249,8 +250,10 @@ SQL = {
     "q65_coulomb_matrix": f"""WITH {M}, {_ATOMS}, c AS (SELECT a.id, CASE WHEN a.i = b.i THEN 0.5 * a.e ** 2.4 ELSE a.e * b.e / (1.8897261 * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.w - b.w) ** 2)) END AS v FROM p a JOIN p b ON a.id = b.id)
  SELECT id, round(max(v), 3) AS largest, count(*) AS cells FROM c GROUP BY id""",
     "q73_feature_sets": " UNION ALL ".join(
-        f"SELECT '{name}' AS name, count(*) AS n, coalesce(string_agg(feature, ',' ORDER BY coalesce(x_pos, 1000), feature), '') AS features FROM feature_catalog WHERE kept AND {rule}"
-        for name, rule in (("legal", "legal"), ("all", "true"), ("molecule", "legal AND level = 'molecule'"), ("atom", "legal AND level = 'atom'"), ("exploration", "NOT legal"))
+        f"SELECT '{name}' AS name, count(*)::INT AS n, coalesce(string_agg(feature, ',' ORDER BY list_position({blocks!r}, block), coalesce(x_pos, 1000), feature), '') AS features FROM feature_catalog WHERE kept AND coalesce(level, 'molecule') = 'molecule' AND list_contains({blocks!r}, block)"
+        for name, blocks in FEATURE_SETS.items()
     ),
-    "q72_current_table": "SELECT 'molecules' AS name, true AS current",
+    "q72_current_table": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) = {len(records.COLUMNS) + 1} AND count(*) FILTER (column_name IN ({', '.join(repr(c) for c in [*records.COLUMNS, 'loaded_at'])})) = {len(records.COLUMNS) + 1} AS current FROM (DESCRIBE {n})" for n in ("molecules", "feature_catalog", "atomdata")),
+    "q60_invariance": f"""WITH {M}, g AS (SELECT count(*) AS n FROM m WHERE len(z) > 0 AND r IS NOT NULL AND len(r) = 3 * len(z) AND len(z) <= 29 AND len(list_filter(z, lambda v: v IS NULL)) = 0 AND len(list_filter(r, lambda v: v IS NULL)) = 0)
+ SELECT descriptor, transform, n AS n_molecules, descriptor <> 'coordinates' AS invariant FROM g, (SELECT unnest(['composition', 'cm_spectrum', 'engineered', 'groups', 'qeq', 'rdf', 'coordinates']) AS descriptor), (SELECT unnest(['rotation', 'translation', 'permutation']) AS transform)""",
 }
