@@ -536,6 +536,36 @@ class TabularFitter:
         return {"params": self.chosen, "tuning": self.tuning} | ({"tuning_mae": self.tuning_mae} if self.tuning_mae is not None else {})
 
 
+@dataclass
+class MeanFitter:
+    """Predicts the mean of the training rows."""
+
+    y: str
+
+    @property
+    def config(self) -> dict:
+        return {"kind": "mean", "y": self.y}
+
+    def fit(self, rows: DataFrame) -> MeanFitter:
+        self.mean = rows.agg(F.avg(self.y)).first()[0]
+        return self
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return rows.select("id", F.lit(self.mean).cast("double").alias("pred"))
+
+    def describe(self) -> dict:
+        return {"mean": self.mean}
+
+
+def kernel_ridge(kind: str, features: list[str], y: str, scaling: str = "standard", reduction: tuple[str, int] | None = None, target: str = "standard", alphas: list[float] | None = None, **options) -> TabularFitter:
+    """A fitter of kernel ridge with a kernel of quantum_models.KERNELS, over all its settings and penalties."""
+    from tessera.operators.quantum_models import KERNELS, kernel_candidates
+
+    model = {"rbf": "rbf_krr"}.get(kind, kind)
+    d = reduction[1] if reduction else len(features)
+    return TabularFitter(Recipe(model, scaling, reduction, target), kernel_candidates(KERNELS[kind], d, alphas or KRR_ALPHAS), features, y, **options)
+
+
 # The space of the random search for boosted trees, (name, kind, low, high).
 BOOSTED_SPACE = (
     ("max_depth", "int", 3, 10),
@@ -575,6 +605,10 @@ class BoostedFitter:
     patience: int = 100
     space: tuple = BOOSTED_SPACE
 
+    @property
+    def config(self) -> dict:
+        return {"kind": "boosted", **asdict(self)}
+
     def fit(self, rows: DataFrame) -> BoostedFitter:
         rng = np.random.default_rng(self.seed)
         drawn = [sample_params(self.space, rng) for _ in range(self.trials)]

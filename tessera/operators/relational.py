@@ -114,6 +114,33 @@ def pivot(df: DataFrame, rows: list[str], column: str, values: list, metric: Col
     return wide if fill is None else wide.na.fill(fill)
 
 
+def pivot_table(df: DataFrame, rows: list[str], column: str, values: list, metrics: dict[str, str], how: str = "avg") -> DataFrame:
+    """Wide table of several metrics, columns "<value>_<metric>"; how: avg (the default), sum, min, max or first (by the
+    smallest row of a group in order of the metric)."""
+    agg = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "first": F.min}[how]
+    return df.groupBy(*rows).pivot(column, values).agg(*[agg(source).alias(name) for name, source in metrics.items()])
+
+
+def reindex(df: DataFrame, keys: DataFrame, key: str, fill: dict | None = None) -> DataFrame:
+    """One row for every key of a list (pos, key), in its order; keys that the table has not get nulls, or the fill values."""
+    out = keys.join(df, key, "left")
+    return (out.na.fill(fill) if fill else out).orderBy("pos")
+
+
+def mapped(column: Column, table: dict, default=None) -> Column:
+    """Dictionary lookup; values that are not in it get the default, null stays null."""
+    found = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])[column]
+    return F.when(column.isNotNull(), F.coalesce(found, F.lit(default)))
+
+
+def winners(df: DataFrame, cell: list[str], option: str, metric: str) -> DataFrame:
+    """(option, cells, share): how many cells each option wins alone or together, and which share of all; options that win
+    nothing have 0."""
+    best = df.groupBy(*cell).agg(F.min(metric).alias("_best"))
+    marked = df.join(best, cell).groupBy(option).agg(F.count_if(F.col(metric) == F.col("_best")).alias("cells"))
+    return marked.join(F.broadcast(best.agg(F.count("*").alias("_n")))).select(option, "cells", F.try_divide("cells", "_n").alias("share"))
+
+
 def both_ends(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """The first k and the last k rows in an order, each end a top-k without a total sort."""
     last = df.orderBy(*[F.col(o).desc() for o in order]).limit(k)

@@ -382,6 +382,14 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
     return df.where(F.col(column).isNotNull()).groupBy(F.width_bucket(F.col(column), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def histogram_2d(df: DataFrame, x: str, y: str, ranges: tuple[float, float, float, float], bins: tuple[int, int]) -> DataFrame:
+    """(bin_x, bin_y, n) of equal cells over [x0, x1) x [y0, y1); rows outside or with a null are left out."""
+    x0, x1, y0, y1 = ranges
+    cell = lambda c, a, b, k: F.width_bucket(F.col(c).cast("double"), F.lit(float(a)), F.lit(float(b)), F.lit(k))
+    rows = df.select(cell(x, x0, x1, bins[0]).alias("bin_x"), cell(y, y0, y1, bins[1]).alias("bin_y"))
+    return rows.where(F.col("bin_x").between(1, bins[0]) & F.col("bin_y").between(1, bins[1])).groupBy("bin_x", "bin_y").agg(F.count("*").alias("n"))
+
+
 def shares(df: DataFrame, flags: dict[str, Column], by: list[str]) -> DataFrame:
     """Share of rows for which each flag holds, per group."""
     return df.groupBy(*by).agg(*[F.avg(f.cast("int")).alias(name) for name, f in flags.items()])

@@ -97,6 +97,36 @@ def q83_dictionary_coverage(spark: S, d: D) -> DataFrame:
     return records.data_dictionary(spark).join(F.broadcast(there.withColumn("there", F.lit(1))), "column", "left").groupBy("role").agg(F.count("*").alias("described"), F.count("there").alias("stored"))
 
 
+def q11_pivot_metrics(spark: S, d: D) -> DataFrame:
+    """Mean price and discount by flag, a column for each status and metric."""
+    return rounded(rel.pivot_table(table(spark, d, "lineitem"), ["l_returnflag"], "l_linestatus", ["F", "O"], {"price": "l_extendedprice", "discount": "l_discount"}), 5)
+
+
+def q19_histogram_2d(spark: S, d: D) -> DataFrame:
+    from tessera.operators.statistics import histogram_2d
+
+    return histogram_2d(table(spark, d, "lineitem"), "l_quantity", "l_discount", (0, 50, 0, 0.08), (10, 4))
+
+
+def q48_mapped(spark: S, d: D) -> DataFrame:
+    """Customers by a name their market segment is mapped to, and the nations of a list in its order."""
+    name = rel.mapped(F.col("c_mktsegment"), {"BUILDING": "b", "MACHINERY": "m"}, "other")
+    return table(spark, d, "customer").groupBy(name.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def q48_reindex(spark: S, d: D) -> DataFrame:
+    keys = spark.createDataFrame([(0, 7), (1, 99), (2, 3)], "pos int, n_nationkey int")
+    counts = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), F.col("n_regionkey").cast("int").alias("n_regionkey"))
+    return rel.reindex(counts, keys, "n_nationkey", {"n_regionkey": -1})
+
+
+def q66_winners(spark: S, d: D) -> DataFrame:
+    """In how many nations and segments each priority has the least total price."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    sums = o.groupBy("c_nationkey", "c_mktsegment", "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return rounded(rel.winners(sums, ["c_nationkey", "c_mktsegment"], "o_orderpriority", "total"))
+
+
 # splits
 
 
@@ -333,6 +363,11 @@ SQL = {
     "q82_sampled_rules": "SELECT 'numbered' AS rule, least(300000, count(DISTINCT atom_row)) AS checked, 0 AS violations FROM atomdata",
     "q83_natural_features": f"WITH {M} SELECT id, n_atoms, n_heavy, " + ", ".join(f"len(list_filter(z, lambda x: x = {k})) AS n_{s.lower()}" for s, k in _NUMBER.items()) + ", " + ", ".join(f"round({p}, 6) + 0.0 AS {p}" for p in records.PROPERTIES if p != "mu") + " FROM m",
     "q83_dictionary_coverage": "WITH k AS (SELECT unnest([" + ", ".join(f"{{'c': '{c}', 'role': '{r}'}}" for c, _, _, _, r in records.DICTIONARY) + "]) AS e) SELECT e.role AS role, count(*) AS described, count(column_name) AS stored FROM k LEFT JOIN (DESCRIBE molecules) t ON t.column_name = e.c GROUP BY 1",
+    "q11_pivot_metrics": "SELECT l_returnflag, " + ", ".join(f"round(avg({c}) FILTER (l_linestatus = '{v}'), 5) AS \"{v}_{n}\"" for v in "FO" for n, c in (("price", "l_extendedprice"), ("discount", "l_discount"))) + " FROM lineitem GROUP BY 1",
+    "q19_histogram_2d": "SELECT floor(l_quantity / 5)::BIGINT + 1 AS bin_x, floor(l_discount / 0.08 * 4)::BIGINT + 1 AS bin_y, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 50 AND l_discount >= 0 AND l_discount < 0.08 GROUP BY 1, 2",
+    "q48_mapped": "SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'b' WHEN 'MACHINERY' THEN 'm' ELSE 'other' END AS kind, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1",
+    "q48_reindex": "SELECT pos, k AS n_nationkey, coalesce(n_regionkey, -1)::INT AS n_regionkey FROM (SELECT unnest([0, 1, 2]) AS pos, unnest([7, 99, 3]) AS k) LEFT JOIN nation ON n_nationkey = k",
+    "q66_winners": "WITH s AS (SELECT c_nationkey, c_mktsegment, o_orderpriority, round(sum(o_totalprice), 2) AS t FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), b AS (SELECT *, min(t) OVER (PARTITION BY c_nationkey, c_mktsegment) AS m FROM s), n AS (SELECT count(DISTINCT (c_nationkey, c_mktsegment)) AS n FROM s) SELECT o_orderpriority, count(*) FILTER (t = m) AS cells, round(count(*) FILTER (t = m) / any_value(n), 6) AS share FROM b, n GROUP BY 1",
     "q84_development_ids": "SELECT DISTINCT id FROM split_set WHERE set_name IN ('pool', 'dev', 'dev_unseen')",
     "q84_test_molecules": "WITH s AS (SELECT DISTINCT set_name AS subset, id FROM split_set WHERE set_name IN ('test_unseen_q', 'test_familiar_q')) SELECT subset, id FROM s QUALIFY row_number() OVER (PARTITION BY subset ORDER BY md5('2027:' || subset || ':' || id)) <= 20",
     "q39_stored_rules": """WITH r AS (SELECT DISTINCT build_id, set_name, id FROM split_set), o AS (SELECT DISTINCT build_id, revision, seed, pos, id FROM train_order),

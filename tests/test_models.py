@@ -222,3 +222,32 @@ def test_shot_and_noise_scores(data, kind):
 def test_settings_of_a_stored_run(spark):
     rows = spark.createDataFrame([("projected", 0, json.dumps({"params": {"gamma": 1}})), ("projected", 1, json.dumps({"params": {"gamma": 2}})), ("other", 0, "{}")], "model string, seed int, details string")
     assert qm.settings_of(rows, {"seed": 0}, ["projected"]) == {"projected": {"gamma": 1}}
+
+
+def test_other_fitters(spark, frame, data):
+    mean = pl.MeanFitter("y").fit(frame)
+    assert mean.predict(frame).first().pred == pytest.approx(data[1].mean()) and mean.describe()["mean"] == pytest.approx(data[1].mean()) and mean.config["kind"] == "mean"
+    kernel = pl.kernel_ridge("projected", NAMES[:2], "y", alphas=[0.1]).fit(frame)
+    assert len(kernel.grid) == 42 and kernel.tuning == "5-fold CV" and kernel.predict(frame).count() == 120
+    assert json.dumps(pl.BoostedFitter(NAMES, "y").config)
+
+
+def test_learning_curve_shares_folds(spark, frame):
+    sets = frame.where("id < 40").select(F.lit(1).alias("seed"), F.lit(40).alias("n_train"), "id").unionByName(frame.where("id < 90").select(F.lit(1).alias("seed"), F.lit(90).alias("n_train"), "id"))
+    curve = pl.learning_curve(frame, sets, {"few": NAMES[:2], "all": NAMES}, "y", lambda seed, name: pl.roster(5, ("mean", "ridge")))
+    rows = {(r.n_train, r.model, r.features): r for r in pl.curve_table(curve).collect()}
+    assert len(rows) == 8 and rows[90, "ridge", "all"].n_eval == 90 and rows[40, "mean", "few"].mae == rows[40, "mean", "all"].mae
+    grouped = pl.learning_curve(frame.withColumn("g", F.col("id") % 9), sets, {"all": NAMES}, "y", lambda seed, name: pl.roster(5, ("mean",)), by="g")
+    assert grouped.oof.join(frame, "id").groupBy("recipe", (F.col("id") % 9).alias("g")).agg(F.count_distinct(grouped.oof["fold"]).alias("n")).where("n > 1").count() == 0
+
+
+def test_charge_fitter(spark):
+    from tessera.operators import features as ft
+    from tessera.operators import latent_charge as lc
+
+    rng = np.random.default_rng(0)
+    rows = [(k, [8, 1, 1], [0.0, 0.0, 0.0, 0.96 + 0.02 * rng.standard_normal(), 0.0, 0.0, -0.24, 0.93, 0.0], 1.8) for k in range(25)] + [(99, None, None, 1.0)]
+    table = spark.createDataFrame(rows, "id bigint, z array<int>, r array<double>, y double")
+    data = lc.molecule_rows(ft.environments(table), table).join(table.select("id", "y"), "id")
+    fitted = lc.ChargeFitter("y", 2, {"hidden": (4,), "epochs": 2, "least_steps": 5}).fit(data)
+    assert fitted.predict(data).count() == 25 and fitted.describe()["networks"] == 2 and json.dumps(fitted.config)
