@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import molecule_kernels as k
-from tessera.operators.surroundings import CHUNK, surroundings
+from tessera.operators.surroundings import CHUNK, described, surroundings
 
 #: Largest change that counts as none.
 TOLERANCE = 1e-8
@@ -34,17 +34,21 @@ def _batches(run):
     return outer
 
 
-def _lists(rows: list, kind=np.float64) -> pa.Array:
-    return pa.array([None if x is None else np.asarray(x, kind) for x in rows])
+def _rows(name: str, found: list) -> pa.Array:
+    """Lists of a descriptor's values, null for molecules that are None."""
+    known = [m for m in found if m is not None]
+    values = described(name, known) if known else np.zeros((0, len(k.DESCRIPTORS[name][1])))
+    missing = np.array([m is None for m in found])
+    lengths = np.where(missing, 0, values.shape[1])
+    return _ragged(pa.array(values.ravel()), np.r_[0, np.cumsum(lengths)], missing)
 
 
 def featurize(table: DataFrame, name: str) -> DataFrame:
     """(id, features ARRAY<DOUBLE>) by descriptor name; null where a molecule cannot be described."""
-    function, _ = k.DESCRIPTORS[name]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [None if m is None else function(*m) for m in _molecules(batch)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else np.asarray(x, float) for x in found], pa.list_(pa.float64()))], ["id", "features"])
+        found = list(_molecules(batch))
+        return pa.RecordBatch.from_arrays([batch.column(0), _rows(name, found)], ["id", "features"])
 
     return table.select("id", "z", "r").mapInArrow(_batches(run), "id bigint, features array<double>")
 
@@ -103,12 +107,12 @@ def _environments(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "element", "features", "qeq_charges", "groups", "qeq", "rdf", "edges"])
 
 
-def atom_table(described: DataFrame, table: DataFrame) -> DataFrame:
+def atom_table(environment: DataFrame, table: DataFrame) -> DataFrame:
     """(id, atom_idx, element, pos, x): the long atom table of described molecules, positions centred per molecule."""
     from tessera.functions.arrays import mean, points
 
     p = points(F.col("r"))
-    rows = described.join(table.select("id", "r"), "id").where("features is not null")
+    rows = environment.join(table.select("id", "r"), "id").where("features is not null")
     at = lambda axis: F.transform(p, lambda v: v[axis])
     centred = rows.select("id", "element", "features", at("x").alias("x"), at("y").alias("y"), at("z").alias("z"))
     moved = centred.select("id", "element", "features", *[F.col(a) for a in "xyz"], *[mean(F.col(a)).alias(f"m{a}") for a in "xyz"])
@@ -118,9 +122,9 @@ def atom_table(described: DataFrame, table: DataFrame) -> DataFrame:
     return long.select("id", "atom_idx", pick("element").alias("element"), pos.alias("pos"), F.col("f").cast("array<float>").alias("x"))
 
 
-def edge_table(described: DataFrame) -> DataFrame:
+def edge_table(environment: DataFrame) -> DataFrame:
     """(id, i, j, ux, uy, uz) of every directed bond."""
-    return described.select("id", F.explode("edges").alias("e")).select("id", "e.*")
+    return environment.select("id", F.explode("edges").alias("e")).select("id", "e.*")
 
 
 def bond_lengths(table: DataFrame) -> DataFrame:
@@ -155,12 +159,6 @@ def invariance_table(table: DataFrame, seed: int = 0, descriptors: list[str] | N
     """
     names = descriptors or list(k.DESCRIPTORS)
 
-    def values(name: str, mols: list) -> np.ndarray:
-        if name in ("groups", "qeq", "rdf"):  # described together
-            first = np.r_[0, np.cumsum([len(z) for z, _ in mols])]
-            return getattr(surroundings(np.concatenate([z for z, _ in mols]), np.concatenate([r for _, r in mols]), first), name)
-        return np.stack([k.DESCRIPTORS[name][0](*m) for m in mols])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
@@ -170,10 +168,10 @@ def invariance_table(table: DataFrame, seed: int = 0, descriptors: list[str] | N
                     continue
                 mols = [m for _, m in found]
                 for i, name in enumerate(names):
-                    base = values(name, mols)
+                    base = described(name, mols)
                     for j, (transform, move) in enumerate(k.TRANSFORMS.items()):
                         moved = [move(*m, np.random.default_rng([seed, i, j, ident])) for ident, m in found]
-                        change = np.abs(values(name, moved) - base).max(1)
+                        change = np.abs(described(name, moved) - base).max(1)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(mols)), pa.array([transform] * len(mols)), pa.array(change)], ["descriptor", "transform", "change"])
 
     changes = table.select("id", "z", "r").mapInArrow(run, "descriptor string, transform string, change double")
@@ -197,14 +195,12 @@ def legal_features(table: DataFrame, ids: DataFrame, columns: list[str]) -> Data
     places = [(needed.index(every[c][0]), every[c][1]) for c in columns]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
-        for m in _molecules(batch):
-            if m is None:
-                found.append(None)
-                continue
-            blocks = [k.DESCRIPTORS[name][0](*m) for name in needed]
-            found.append([float(np.float32(blocks[b][at])) for b, at in places])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["id", "features"])
+        found = list(_molecules(batch))
+        known, missing = [m for m in found if m is not None], np.array([m is None for m in found])
+        blocks = [described(name, known) for name in needed] if known else []
+        values = np.stack([blocks[b][:, at] for b, at in places], 1).astype(np.float32).astype(float) if known else np.zeros((0, len(places)))
+        column = _ragged(pa.array(values.ravel()), np.r_[0, np.cumsum(np.where(missing, 0, len(places)))], missing)
+        return pa.RecordBatch.from_arrays([batch.column(0), column], ["id", "features"])
 
     rows = table.select("id", "z", "r").join(wanted, "id", "left_semi").mapInArrow(_batches(run), "id bigint, features array<double>")
     return rows.select("id", *[F.get("features", F.lit(i)).alias(c) for i, c in enumerate(columns)])
@@ -224,14 +220,14 @@ def load_atoms(table: DataFrame, ids: DataFrame, kept: list[str]) -> DataFrame:
     return rows.withColumn("features", F.when(F.col("features").isNotNull(), pick))
 
 
-def subset_atoms(described: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+def subset_atoms(environment: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(atoms (row, id, atom_idx, element, x), edges (i, j, ux, uy, uz)) of wanted molecules (pos, id) one after another: row
     numbers run on from molecule to molecule in order of pos, and edges point to them. Raises MissingKeys for unknown ids."""
     from tessera.operators.relational import MissingKeys, running_total
 
-    if lost := wanted.join(described, "id", "left_anti").limit(5).collect():
+    if lost := wanted.join(environment, "id", "left_anti").limit(5).collect():
         raise MissingKeys([r.id for r in lost])
-    sized = wanted.join(described.select("id", F.size("element").alias("n"), "element", "features", "edges"), "id")
+    sized = wanted.join(environment.select("id", F.size("element").alias("n"), "element", "features", "edges"), "id")
     first = running_total(sized.select("pos", "id", "n"), "pos", "n", "first").select("pos", "first")
     rows = sized.join(first, "pos")
     atoms = rows.select("first", "id", F.posexplode("features").alias("atom_idx", "x"), "element")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from tessera.functions.arrays import BOND_SCALE, DEBYE
+from tessera.functions.arrays import BOHR, BOND_SCALE, DEBYE
 from tessera.operators import molecule_kernels as k
 
 #: Molecules that one pair table holds (about 300 pairs each).
@@ -225,3 +225,108 @@ def _groups(z: np.ndarray, degree: np.ndarray, ring: np.ndarray, height: np.ndar
 
 def one(z: np.ndarray, r: np.ndarray) -> Surroundings:
     return surroundings(z, r, np.array([0, len(z)]))
+
+
+# descriptors of a flat batch, one row a molecule
+
+
+def compositions(z: np.ndarray, r: np.ndarray, first: np.ndarray) -> np.ndarray:
+    m = len(first) - 1
+    mol = np.repeat(np.arange(m), np.diff(first))
+    return tally(mol * 5 + k.places(z), 5 * m).reshape(m, 5)
+
+
+def coulomb_spectra(z: np.ndarray, r: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Eigenvalues of Coulomb matrices by falling size (to 8 decimals, then by value), filled up with zeros."""
+    out = np.zeros((len(first) - 1, max(k.MAX_ATOMS, int(np.diff(first).max(initial=0)))))
+    for mols, atoms in stacks(first):
+        n = atoms.shape[1]
+        charge, at = np.asarray(z, float)[atoms], np.asarray(r, float)[atoms]
+        d = np.sqrt(((at[:, :, None] - at[:, None]) ** 2).sum(-1)) * BOHR
+        matrix = np.divide(charge[:, :, None] * charge[:, None], d, out=np.zeros_like(d), where=d > 0)
+        matrix[:, np.arange(n), np.arange(n)] = 0.5 * charge**2.4
+        values = np.linalg.eigvalsh(matrix)
+        order = np.lexsort((-values, -np.abs(values).round(8)), axis=-1)
+        out[mols, :n] = np.take_along_axis(values, order, 1)
+    return out
+
+
+def _whole(atoms_first: np.ndarray, z: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gyration values, largest distances, principal moments of inertia) of every molecule."""
+    m = len(atoms_first) - 1
+    shape, far, turn = np.zeros((m, 4)), np.zeros(m), np.zeros((m, 3))
+    mass = k._MASS[k.places(z)]
+    for mols, atoms in stacks(atoms_first):
+        at, w = r[atoms], mass[atoms][..., None]
+        x = at - at.mean(1, keepdims=True)
+        spread = np.maximum(np.linalg.eigvalsh(np.swapaxes(x, 1, 2) @ x / atoms.shape[1])[:, ::-1], 0)
+        shape[mols] = np.c_[np.sqrt((x * x).sum((1, 2)) / atoms.shape[1]), spread]
+        far[mols] = np.sqrt(((at[:, :, None] - at[:, None]) ** 2).sum(-1)).max((1, 2))
+        y = at - (w * at).sum(1, keepdims=True) / w.sum(1, keepdims=True)
+        tensor = (w * y * y).sum((1, 2))[:, None, None] * np.eye(3) - np.swapaxes(w * y, 1, 2) @ y
+        turn[mols] = np.maximum(np.linalg.eigvalsh(tensor), 0)
+    return shape, far, turn
+
+
+def _parts(first: np.ndarray, bond: Pairs) -> np.ndarray:
+    """Connected parts of every molecule: each atom takes the smallest name among its neighbours until none changes."""
+    name = np.arange(first[-1])
+    while len(bond.i):
+        seen = name.copy()
+        np.minimum.at(seen, bond.i, name[bond.j])
+        seen = np.minimum(seen, seen[seen])
+        if (seen == name).all():
+            break
+        name = seen
+    mol = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return np.bincount(mol[name == np.arange(len(name))], minlength=len(first) - 1)
+
+
+def engineered_rows(z: np.ndarray, r: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The values of ENGINEERED of every molecule."""
+    z, r, first = np.asarray(z, int), np.asarray(r, float), np.asarray(first, int)
+    m, e = len(first) - 1, k.places(z)
+    size = np.maximum(np.diff(first), 1)
+    mol = np.repeat(np.arange(m), np.diff(first))
+    shape, far, turn = _whole(first, z, r)
+    pair = pair_table(r, first)
+    radius = k._RADIUS[e]
+    every = pair.only(pair.d < BOND_SCALE * (radius[pair.i] + radius[pair.j]))
+    bond = every.only(every.i < every.j)
+    of = mol[bond.i]
+    pull = k._CHI[e[bond.j]] - k._CHI[e[bond.i]]
+    centre = tally(mol, m, r) / size[:, None]
+    hetero = np.isin(z, (7, 8, 9))
+    some = np.bincount(mol[hetero], minlength=m)
+    away = tally(mol[hetero], m, r[hetero]) / np.maximum(some, 1)[:, None] - centre
+    chi = k._CHI[e]
+    lean = chi - (tally(mol, m, chi) / size)[mol]
+    length = lambda v: np.sqrt((v * v).sum(1))
+    low, high = np.minimum(e[bond.i], e[bond.j]), np.maximum(e[bond.i], e[bond.j])
+    kinds = tally(of * 25 + low * 5 + high, 25 * m).reshape(m, 25)[:, [a * 5 + b for a, b in k.PAIRS]]
+    small, large = np.minimum(z[bond.i], z[bond.j]), np.maximum(z[bond.i], z[bond.j])
+    orders = [tally(of[(small == a) & (large == b) & (bond.d >= lo) & (bond.d < hi)], m) for _, (a, b), lo, hi in k.BOND_ORDERS]
+    rings = np.bincount(of, minlength=m) - np.diff(first) + _parts(first, every)
+    return np.column_stack(
+        [shape, far, np.where(some > 0, length(away), 0.0), tally(of, m, np.abs(pull)), length(tally(of, m, pull[:, None] * bond.unit)), length(tally(mol, m, lean[:, None] * r)), kinds, *orders, rings, turn]
+    )
+
+
+def _block(name: str):
+    return lambda z, r, first: getattr(surroundings(z, r, first), name)
+
+
+#: Descriptors by name for flat batches; coordinates have no better way than one by one.
+BATCHED = {"composition": compositions, "cm_spectrum": coulomb_spectra, "engineered": engineered_rows, "groups": _block("groups"), "qeq": _block("qeq"), "rdf": _block("rdf")}
+
+
+def described(name: str, mols: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(molecules, values) of one descriptor, CHUNK molecules at a time."""
+    if name not in BATCHED:
+        return np.stack([k.DESCRIPTORS[name][0](*m) for m in mols])
+    out = []
+    for start in range(0, len(mols), CHUNK):
+        part = mols[start : start + CHUNK]
+        first = np.r_[0, np.cumsum([len(z) for z, _ in part])]
+        out.append(BATCHED[name](np.concatenate([z for z, _ in part]), np.concatenate([r for _, r in part]), first))
+    return np.concatenate(out)

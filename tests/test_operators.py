@@ -139,6 +139,17 @@ def test_equilibrated_charges_are_neutral():
     assert q.sum() == pytest.approx(0, abs=1e-12) and q[0] < 0 and np.ptp(q[1:]) < 1e-9
 
 
+def test_batched_descriptors_equal_single_ones():
+    from tessera.operators.surroundings import described
+
+    rng = np.random.default_rng(5)
+    mols = [METHANE, (np.array([6]), np.zeros((1, 3))), (np.array([8, 1, 1]), np.array([[0, 0, 0], [0.96, 0, 0], [-0.24, 0.93, 0]]))]
+    mols += [(rng.choice([1, 6, 7, 8, 9], n), rng.uniform(-2, 2, (n, 3))) for n in (2, 5, 12, 12, 29)]
+    for name, (function, names) in mk.DESCRIPTORS.items():
+        assert np.allclose(described(name, mols), np.stack([function(*m) for m in mols]), atol=1e-8), name
+        assert described(name, mols).shape[1] == len(names)
+
+
 def test_surroundings_by_hand_and_one_by_one(spark):
     from tessera.operators import features as ft
     from tessera.operators.surroundings import one, surroundings
