@@ -103,17 +103,26 @@ def ordered_counts(long: DataFrame, keys: list[str], value: str, bins: int = 64)
     return ranked.select(*keys, value, "count", (F.col("_start") + F.col("_within")).alias("below"))
 
 
-def quantiles_of(ordered: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """(keys, q ARRAY): exact quantiles, linear between neighbours, of the groups of ordered_counts."""
-    n = ordered.groupBy(*keys).agg(F.sum("count").alias("_n"))
-    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(shares)])).alias("e")
-    wanted = n.select(*keys, "_n", at).withColumn("_at", (F.col("_n") - 1) * F.col("e.p"))
-    marks = ordered.join(wanted, keys)
+def quantiles_of(ordered: DataFrame, keys: list[str], value: str, shares: list[float], sizes: DataFrame | None = None) -> DataFrame:
+    """(keys, q ARRAY, distinct): exact quantiles, linear between neighbours, of the groups of ordered_counts, and how many
+    different values they have. sizes (keys, n), if they are known, save a pass."""
+    n = sizes.select(*keys, F.col("n").alias("_n")) if sizes is not None else ordered.groupBy(*keys).agg(F.sum("count").alias("_n"))
+    marked = ordered.join(n, keys)
+    at = F.transform(F.array(*[F.lit(float(p)) for p in shares]), lambda p: (F.col("_n") - 1) * p)
     holds = lambda rank: (F.col("below") <= rank) & (rank < F.col("below") + F.col("count"))
-    low, high = F.floor("_at"), F.ceil("_at")
-    ends = marks.where(holds(low) | holds(high)).groupBy(*keys, "e.k").agg(F.min(F.when(holds(low), F.col(value))).alias("lo"), F.max(F.when(holds(high), F.col(value))).alias("hi"), F.first("_at").alias("_at"))
-    found = ends.select(*keys, "k", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("_at") - F.floor("_at"))).alias("v"))
-    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("q"))
+    if len(shares) > 12:  # one row a share instead of two columns
+        wanted = marked.select(*keys, value, "count", "below", F.posexplode(at).alias("k", "_at"))
+        ends = wanted.where(holds(F.floor("_at")) | holds(F.ceil("_at"))).groupBy(*keys, "k").agg(F.min(F.when(holds(F.floor("_at")), F.col(value))).alias("lo"), F.max(F.when(holds(F.ceil("_at")), F.col(value))).alias("hi"), F.first("_at").alias("_at"))
+        found = ends.select(*keys, "k", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("_at") - F.floor("_at"))).alias("v"))
+        return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda e: e["v"]).alias("q"))
+    cells = [F.count("*").alias("distinct"), F.first("_n").alias("_n")]
+    for k, p in enumerate(shares):
+        place = (F.col("_n") - 1) * float(p)
+        cells += [F.min(F.when(holds(F.floor(place)), F.col(value))).alias(f"_lo{k}"), F.max(F.when(holds(F.ceil(place)), F.col(value))).alias(f"_hi{k}")]
+    wide = marked.groupBy(*keys).agg(*cells)
+    part = lambda p: (F.col("_n") - 1) * float(p) - F.floor((F.col("_n") - 1) * float(p))
+    q = F.array(*[F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * part(p) for k, p in enumerate(shares)])
+    return wide.select(*keys, q.alias("q"), "distinct")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -125,7 +134,7 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     long = unpivot(df, columns).where(v.isNotNull())
     ordered = ordered_counts(long, ["column"], "value")
     agg = long.groupBy("column").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2"))
-    agg = agg.join(ordered.groupBy("column").agg(F.count("*").alias("n_distinct")), "column").join(quantiles_of(ordered, ["column"], "value", [0.01, 0.5, 0.99]), "column")
+    agg = agg.join(quantiles_of(ordered, ["column"], "value", [0.01, 0.5, 0.99], agg).withColumnRenamed("distinct", "n_distinct"), "column")
     n = F.col("n").cast("double")
     return agg.select(
         "column", "n", "n_distinct", "mean", "std", "min",
@@ -140,7 +149,8 @@ def outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows beyond three standard deviations, and beyond 1.5 quartile ranges, of each column: counts and shares."""
     long = unpivot(df, columns).where("value is not null")
     ordered = ordered_counts(long, ["column"], "value")
-    marks = long.groupBy("column").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).join(quantiles_of(ordered, ["column"], "value", [0.25, 0.75]), "column")
+    marks = long.groupBy("column").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    marks = marks.join(quantiles_of(ordered, ["column"], "value", [0.25, 0.75], marks), "column").drop("n", "distinct")
     v, low, high, n = F.col("value"), F.col("q")[0], F.col("q")[1], F.col("count")
     far = F.abs(v - F.col("m")) > 3 * F.col("s")
     fence = (v < low - 1.5 * (high - low)) | (v > high + 1.5 * (high - low))
