@@ -15,6 +15,8 @@ from tessera.plans.lineage import cut
 
 #: Bins into which the draws of one category are counted, so that no task ranks a whole category.
 BINS = 256
+#: Copies of a category's goal that a join with its members is spread over.
+SALT = 16
 #: Oversampling in standard deviations of the number accepted, and a few rows more for small targets.
 SPREAD, EXTRA = 3.0, 4.0
 
@@ -25,12 +27,13 @@ def uniform(*parts: Column | int | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def smallest_per_group(rows: DataFrame, keys: list[str], draw: str, ident: str, wanted: str, bins: int = BINS) -> DataFrame:
+def smallest_per_group(rows: DataFrame, keys: list[str], draw: str, ident: str, wanted: str, bins: int = BINS, bin_: Column | None = None) -> DataFrame:
     """Of each group the `wanted` rows with the smallest draws (ties: smaller ident), without sorting a group in one task.
 
-    The draws, in [0, 1), are counted in bins; only the bin in which the target falls is ranked.
+    The draws, in [0, 1), are counted in bins (`bin_` numbers them otherwise, in order of the draw); only the bin in which
+    the target falls is ranked. A hot group is spread over its bins in every shuffle.
     """
-    binned = rows.withColumn("_bin", F.floor(F.col(draw) * bins).cast("int"))
+    binned = rows.withColumn("_bin", F.floor(F.col(draw) * bins).cast("int") if bin_ is None else bin_)
     counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"), F.first(wanted).alias("_w"))
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     marks = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_before < _w")
@@ -50,22 +53,23 @@ def proportional_sample(members: DataFrame, targets: DataFrame, keys: list[str],
     report: the targets' columns with available, taken and deficit. A category of targets without members has available 0;
     members of categories without a target, with a null key or a null ident are not drawn; a null or negative target is 0.
     The draw of a record depends on its identifier, its category and the seed only.
+
+    A record is accepted if its draw lies under its category's rate, which aims at slightly more than the target; accepted
+    records are counted in BINS bins, rejected ones in as many beyond, and the exact correction takes the first records in
+    order of the bins: it thins what chance accepted too many, and reaches for rejected ones where it accepted too few.
     """
     clean = cut(members.select(*keys, ident).dropna().distinct())
     targets = targets.withColumn(wanted, F.greatest(F.coalesce(F.col(wanted), F.lit(0)), F.lit(0)).cast("bigint"))
-    seen = clean.groupBy(*keys).agg(F.count("*").alias("available"))
+    seen = cut(clean.groupBy(*keys).agg(F.count("*").alias("available")))
     goals = targets.select(*keys, F.col(wanted).alias("_wanted")).dropna().join(seen, keys)
-    goals = goals.withColumn("_rate", F.least(F.lit(1.0), (F.col("_wanted") + SPREAD * F.sqrt("_wanted") + EXTRA) / F.col("available")))
-    goals = cut(goals)
-    drawn = clean.join(goals, keys).withColumn("_u", uniform(seed, *[F.col(k) for k in keys], F.col(ident)))
-    accepted = drawn.where("_u < _rate").groupBy(*keys).agg(F.count("*").alias("_accepted"))
-    # where chance accepted too few, the exact correction looks at the whole category
-    short = accepted.join(goals, keys, "right").select(
-        *keys,
-        F.when(F.coalesce("_accepted", F.lit(0)) < F.least("_wanted", "available"), 1.0).otherwise(F.col("_rate")).alias("_final"),
-    )
-    open_ = drawn.join(short, keys).where("_u < _final").withColumn("_v", F.col("_u") / F.col("_final"))
-    sample = smallest_per_group(open_, keys, "_v", ident, "_wanted").select(*keys, ident)
+    rate = F.least(F.lit(1.0), (F.col("_wanted") + SPREAD * F.sqrt("_wanted") + EXTRA) / F.col("available"))
+    goals = goals.select(*keys, "_wanted", rate.alias("_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    # a category may hold a third of all members: its goal is there SALT times
+    salted = clean.withColumn("_salt", F.pmod(F.xxhash64(ident), F.lit(SALT)).cast("int"))
+    drawn = salted.join(goals, [*keys, "_salt"]).drop("_salt").withColumn("_u", uniform(seed, *[F.col(k) for k in keys], F.col(ident)))
+    u, r = F.col("_u"), F.col("_rate")
+    bin_ = F.when(u < r, F.floor(u / r * BINS)).otherwise(BINS + F.floor((u - r) / (1 - r) * BINS)).cast("int")
+    sample = smallest_per_group(drawn, keys, "_u", ident, "_wanted", bin_=bin_).select(*keys, ident)
     taken = sample.groupBy(*keys).agg(F.count("*").alias("taken"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     report = targets.join(seen, keys, "left").join(taken, keys, "left").withColumn("available", zero("available")).withColumn("taken", zero("taken"))
