@@ -2,11 +2,12 @@
 
 The automaton's arcs are labelled with tokens; a path from the start spells a byte string and its labels are the string's
 BPE tokens. It starts with one state and a loop for every byte. Each merge (u, v) -> t, in order, adds one gadget: after u
-the arc v is cut, and wherever an arc u leads to such a state an arc t is added that ends where v ended. Written out, the
-arcs of 50,000 merges would be a table of billions of entries; but the life of an arc follows from the births of the two
-tokens it joins, so the gadgets are kept as (birth, left, right, cut) and rows of the table are filled when a text first
-needs them. Encoding walks the pre-split word once, from state to state: of the tokens that end at a place exactly one has
-an arc from the state where it begins, since a byte string has one path only. Decoding concatenates the labels.
+the arc v is cut, and wherever an arc u leads to such a state an arc t is added that ends where v ended. All arcs with one
+label end in states that behave alike, so the finished automaton has one state a token, besides the start. Written out, its
+table of 50,000 states and tokens would have billions of cells; but whether an arc is there follows from the gadgets of the
+two tokens it joins, so the gadgets are kept as arrays (birth, parts, cut) and a state's row of the table is filled, cell by
+cell, when a text first reaches it. Encoding walks a word forward from state to state: every place that a token can end at is
+reached by exactly one arc, since a byte string has one path only. Decoding concatenates the labels.
 """
 
 from __future__ import annotations
@@ -14,20 +15,25 @@ from __future__ import annotations
 import base64
 import json
 
-START = -1
+#: The start's state; the state that token t leads to is t + 1.
+START = 0
+#: Identifiers of tokens are smaller than this.
+LARGEST = 1 << 20
 
 
 class MergeAutomaton:
     def __init__(self) -> None:
         self.label: dict[int, bytes] = {}
         self.ident: dict[bytes, int] = {}
+        # gadgets, by token: when it was born (0: a byte) and of which parts; by pair of tokens: when their arc was cut
         self.birth: dict[int, int] = {}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
-        self.cut: dict[tuple[int, int], int] = {}
-        self.table: dict[int, bool] = {}
-        #: Trie of reversed labels: (node, byte) to node, and the token that ends a walk there.
-        self.back: dict[int, int] = {}
+        self.cut: dict[int, int] = {}
+        #: The table: row of each state that was reached, token to whether the state has its arc.
+        self.rows: dict[int, dict[int, bool]] = {}
+        # labels as a trie: (node, byte) to node, and the token that ends there
+        self.next: dict[int, int] = {}
         self.ends: dict[int, int] = {}
         self.nodes = 1
 
@@ -40,45 +46,49 @@ class MergeAutomaton:
         """The gadget of one merge; times rise from 1."""
         self._add(ident, self.label[u] + self.label[v], time)
         self.left[ident], self.right[ident] = u, v
-        self.cut.setdefault((u, v), time)
+        self.cut.setdefault(u * LARGEST + v, time)
 
     def _add(self, ident: int, label: bytes, time: int) -> None:
+        if not 0 <= ident < LARGEST:
+            raise ValueError("token identifier out of range")
         self.label[ident] = label
         self.ident[label] = ident
         self.birth[ident] = time
         node = 0
-        for byte in reversed(label):
+        for byte in label:
             key = node << 8 | byte
-            if key not in self.back:
-                self.back[key] = self.nodes
+            if key not in self.next:
+                self.next[key] = self.nodes
                 self.nodes += 1
-            node = self.back[key]
+            node = self.next[key]
         self.ends[node] = ident
 
     # transitions
 
-    def arc(self, p: int, t: int) -> bool:
-        """Whether the finished automaton has an arc t out of the state that p leads to."""
-        if p == START:
-            return True
-        key = p << 20 | t
-        found = self.table.get(key)
+    def arc(self, state: int, token: int) -> bool:
+        """Whether the finished automaton has an arc of this token out of a state."""
+        row = self.rows.setdefault(state, {})
+        found = row.get(token)
         if found is None:
-            found = self.table[key] = self._alive(p, t, 1 << 60)
+            found = row[token] = state == START or self._joined(state - 1, token)
         return found
 
-    def _alive(self, p: int, t: int, time: int) -> bool:
-        birth = self.birth
-        while True:
-            if self.cut.get((p, t), time + 1) <= time:
-                return False
-            bp, bt = birth[p], birth[t]
-            if bp == 0 and bt == 0:
+    def _joined(self, p: int, t: int) -> bool:
+        """Whether arc t is left after token p, told by going back through the gadgets, the younger of the two first."""
+        birth, cut, time = self.birth, self.cut, 1 << 60
+        while cut.get(p * LARGEST + t, time + 1) > time:
+            born_p, born_t = birth[p], birth[t]
+            if not born_p and not born_t:
                 return True
-            if bp > bt:  # the state of p was the state after its right part, just before p was born
-                p, time = self.right[p], bp - 1
+            if born_p > born_t:  # the state after p was the state after its right part, just before p was born
+                p, time = self.right[p], born_p - 1
             else:  # the arc t was drawn where the arc of its left part was left over
-                t, time = self.left[t], bt
+                t, time = self.left[t], born_t
+        return False
+
+    def forget(self) -> None:
+        """Empties the table; gadgets stay."""
+        self.rows.clear()
 
     # encoding and decoding
 
@@ -86,36 +96,36 @@ class MergeAutomaton:
         whole = self.ident.get(word)
         if whole is not None:
             return [whole]  # one arc from the start is a path, and there is only one
-        back, ends, table = self.back.get, self.ends.get, self.table
-        last = [START]
-        for end in range(1, len(word) + 1):
-            node = 0
-            hit = None
-            for at in range(end - 1, -1, -1):
-                node = back(node << 8 | word[at])
+        step, ends, n = self.next.get, self.ends.get, len(word)
+        state = [-1] * (n + 1)
+        state[0] = START
+        for at in range(n):
+            here = state[at]
+            if here < 0:
+                raise ValueError("a byte of the text is not in the vocabulary")
+            row = self.rows.get(here)
+            if row is None:
+                row = self.rows[here] = {}
+            node, end = 0, at
+            while end < n:
+                node = step(node << 8 | word[end])
                 if node is None:
                     break
-                token = ends(node)
-                if token is not None:
-                    p = last[at]
-                    if p < 0:
-                        hit = token
-                        break
-                    key = p << 20 | token
-                    alive = table.get(key)
-                    if alive is None:
-                        alive = table[key] = self._alive(p, token, 1 << 60)
-                    if alive:
-                        hit = token
-                        break
-            if hit is None:
-                raise ValueError("a byte of the text is not in the vocabulary")
-            last.append(hit)
+                end += 1
+                if state[end] < 0:
+                    token = ends(node)
+                    if token is not None:
+                        there = row.get(token)
+                        if there is None:
+                            there = self.arc(here, token)
+                        if there:
+                            state[end] = token + 1
+        if n and state[n] < 0:
+            raise ValueError("a byte of the text is not in the vocabulary")
         out = []
-        at = len(word)
-        while at:
-            out.append(last[at])
-            at -= len(self.label[last[at]])
+        while n:
+            out.append(state[n] - 1)
+            n -= len(self.label[state[n] - 1])
         out.reverse()
         return out
 
@@ -134,7 +144,7 @@ class MergeAutomaton:
                 auto.add_byte(rank, token)
         for time, (rank, token) in enumerate(((r, t) for r, t in ranks if len(t) > 1), 1):
             parts = auto.encode(token)
-            auto.table.clear()
+            auto.forget()
             if len(parts) != 2:
                 raise ValueError(f"token {rank} is not a merge of two earlier tokens")
             auto.add_merge(rank, *parts, time)

@@ -38,7 +38,7 @@ class Encoder(dict):
         if len(word) <= 64:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-                self.automaton.table.clear()
+                self.automaton.forget()
             self[word] = ids
         return ids
 
