@@ -438,6 +438,56 @@ def curve_table(result: CVResult) -> DataFrame:
     return best.select(part(1).cast("int").alias("seed"), part(2).cast("int").alias("n_train"), part(3).alias("model"), part(4).alias("features"), "eval_set", "mae", "rmse", "fold_sd", "n_eval", "n_candidates", "hyperparams")
 
 
+def development_curve(table: DataFrame, train_sets: DataFrame, eval_sets: dict[str, DataFrame], features: list[str], y: str, recipes: dict[str, Recipe], cache: str | None = None, tail: float = 9.0) -> DataFrame:
+    """(seed, n_train, model, eval_set, mae, rmse, rmse_below_tail, r2, bias, n_eval): every recipe fitted on every training
+    set and scored on every evaluation set, as one job table.
+
+    train_sets: (seed, n_train, id); eval_sets: (id) by name. A row that a fit trains on must not be in an evaluation set
+    (ValueError). With `cache`, results lie as Parquet under the hash of (seed, size, recipe, features, target, evaluation
+    sets) and jobs that are there are read instead of run.
+    """
+    from tessera.operators.provenance import config_hash
+
+    spark = table.sparkSession
+    wanted = train_sets.select("id")
+    for rows in eval_sets.values():
+        wanted = wanted.unionByName(rows.select("id"))
+    ids, x, t = training_arrays(table.join(wanted.distinct(), "id", "left_semi"), features, y)
+    place = lambda rows: np.flatnonzero(np.isin(ids, rows.select("id").distinct().toArrow().column("id").to_numpy()))
+    held = {name: place(rows) for name, rows in eval_sets.items()}
+    frame = train_sets.select("seed", "n_train", "id").distinct().toArrow().to_pandas()
+    sets = {f"{seed}:{n}": np.flatnonzero(np.isin(ids, part["id"].to_numpy())) for (seed, n), part in frame.groupby(["seed", "n_train"])}
+    if any(len(np.intersect1d(a, b)) for a in sets.values() for b in held.values()):
+        raise ValueError("a training row is in an evaluation set")
+    jobs = [{"set": s, "model": m, "key": config_hash({"set": s, "recipe": r.describe(), "features": features, "y": y, "sets": sorted(eval_sets)})} for s in sets for m, r in recipes.items()]
+    schema = "key string, seed int, n_train int, model string, eval_set string, mae double, rmse double, rmse_below_tail double, r2 double, bias double, n_eval bigint"
+    stored = spark.read.schema(schema).parquet(cache) if cache and _there(spark, cache) else spark.createDataFrame([], schema)
+    known = {r.key for r in stored.select("key").distinct().collect()}
+
+    def work(job: dict, ids, x, t, sets, held) -> Iterator[tuple]:
+        at = sets[job["set"]]
+        fitted = fit(recipes[job["model"]], x[at], t[at])
+        seed, n = job["set"].split(":")
+        for name, rows in held.items():
+            e, v = fitted.predict(x[rows])[:, 0] - t[rows], t[rows]
+            below, spread = v < tail, ((v - v.mean()) ** 2).sum() if len(v) else 0.0
+            mean = lambda a: float(a.mean()) if len(a) else math.nan
+            yield job["key"], int(seed), int(n), job["model"], name, mean(np.abs(e)), math.sqrt(mean(e * e)), math.sqrt(mean(e[below] ** 2)), float(1 - (e * e).sum() / spread) if spread else math.nan, mean(e), len(rows)
+
+    fresh = run_jobs(spark, [j for j in jobs if j["key"] not in known], work, (ids, x, t, sets, held), schema)
+    if cache:
+        fresh.write.mode("append").parquet(cache)
+        stored = spark.read.schema(schema).parquet(cache)
+        fresh = spark.createDataFrame([], schema)
+    mine = spark.createDataFrame([(j["key"],) for j in jobs], "key string")
+    return stored.unionByName(fresh).dropDuplicates(["key", "eval_set"]).join(F.broadcast(mine), "key", "left_semi").drop("key")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def pca_cv_curve(rows: DataFrame, features: list[str], y: str, ks: list[int], model: str = "ridge", **options) -> DataFrame:
     """(k, pca, mae, rmse, hyperparams): error on the first k components of the scaled features, and without reduction."""
     recipes = {f"{k}:1": build(model, len(features), reduction=("pca", k), **options) for k in ks}

@@ -268,6 +268,15 @@ def q57_cv_mean(spark: S, d: D) -> DataFrame:
     return rounded(pl.curve_table(found).select("seed", "n_train", "model", "features", "mae", "rmse", "n_eval"), 5)
 
 
+def q57_development_curve(spark: S, d: D) -> DataFrame:
+    """Mean and least squares on one feature, trained on the first 200 molecules in hashed order, scored on all others."""
+    frame = _frame(spark, d).select("id", "alpha", "mu")
+    order = sp.hashed_rank(frame.select("id"), sp.draw("train:0", "id"), "n").select("id", (F.col("n") - 1).alias("pos"))
+    sets = sp.nested_sets(order, [200]).select(F.lit(0).alias("seed"), "n_train", "id")
+    found = pl.development_curve(frame, sets, {"rest": order.where("pos >= 200").select("id")}, ["alpha"], "mu", {"mean": pl.Recipe("mean"), "linear": pl.Recipe("linear")})
+    return rounded(found, 5)
+
+
 def q57_pca_curve(spark: S, d: D) -> DataFrame:
     rows = pl.make_folds(_frame(spark, d), 0)
     return pl.pca_cv_curve(rows, FEATURES, "mu", [1, 2, 4, 8])
@@ -403,6 +412,10 @@ SQL = {
  x AS (SELECT t.*, id, fold, mu, greatest(least((alpha - ma) / sa, 10), -10) AS v FROM t, k), f AS (SELECT hold, avg(v) AS mv, var_pop(v) * count(*) AS vv, covar_pop(v, (mu - my) / sy) * count(*) AS vz FROM x WHERE fold <> hold GROUP BY hold),
  c AS (SELECT unnest([0, 1, 2]) AS candidate, unnest([0.0, 10.0, 1000.0]) AS alpha_), e AS (SELECT candidate, hold, greatest(my + sy * (v - mv) * vz / (vv + alpha_), 0) - mu AS e FROM x JOIN f USING (hold), c WHERE fold = hold),
  p AS (SELECT candidate, hold, count(*) AS n, sum(abs(e)) AS a, sum(e * e) AS s FROM e GROUP BY 1, 2) SELECT candidate, round(sum(a) / sum(n), 5) AS mae, round(sqrt(sum(s) / sum(n)), 5) AS rmse, round(stddev_samp(a / n), 5) AS fold_sd, sum(n)::BIGINT AS n_eval FROM p GROUP BY 1""",
+    "q57_development_curve": f"""WITH {M}, {_FR}, o AS (SELECT alpha, mu, row_number() OVER (ORDER BY md5('train:0:' || id)) <= 200 AS own FROM fr), t AS (SELECT avg(alpha) AS ma, stddev_pop(alpha) AS sa, avg(mu) AS my FROM o WHERE own),
+ x AS (SELECT own, mu, my, greatest(least((alpha - ma) / sa, 10), -10) AS v FROM o, t), w AS (SELECT regr_slope(mu, v) AS b, regr_intercept(mu, v) AS c FROM x WHERE own),
+ e AS (SELECT unnest(['mean', 'linear']) AS model, unnest([my, c + b * v]) AS pred, mu FROM x, w WHERE NOT own), k AS (SELECT model, mu, greatest(pred, 0) - mu AS e FROM e)
+ SELECT 0 AS seed, 200 AS n_train, model, 'rest' AS eval_set, round(avg(abs(e)), 5) AS mae, round(sqrt(avg(e * e)), 5) AS rmse, round(sqrt(avg(e * e) FILTER (mu < 9)), 5) AS rmse_below_tail, round(1 - sum(e * e) / (var_pop(mu) * count(*)), 5) AS r2, round(avg(e), 5) + 0.0 AS bias, count(*) AS n_eval FROM k GROUP BY model""",
     "q57_cv_mean": f"""WITH {M}, {_FR}, o AS (SELECT id, mu, row_number() OVER (ORDER BY md5('train:0:' || id)) - 1 AS pos FROM fr), s AS (SELECT n AS n_train, id, mu, (row_number() OVER (PARTITION BY n ORDER BY md5('cv:0:' || n || ':' || id)) - 1) % 5 AS fold FROM o, (SELECT unnest([50, 200]) AS n) WHERE pos < n),
  t AS (SELECT n_train, fold, mu, (sum(mu) OVER (PARTITION BY n_train) - sum(mu) OVER (PARTITION BY n_train, fold)) / (count(*) OVER (PARTITION BY n_train) - count(*) OVER (PARTITION BY n_train, fold)) AS pred FROM s)
  SELECT 0 AS seed, n_train, 'mean' AS model, 'one' AS features, round(avg(abs(pred - mu)), 5) AS mae, round(sqrt(avg((pred - mu) ** 2)), 5) AS rmse, count(*) AS n_eval FROM t GROUP BY n_train""",

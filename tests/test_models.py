@@ -251,3 +251,17 @@ def test_charge_fitter(spark):
     data = lc.molecule_rows(ft.environments(table), table).join(table.select("id", "y"), "id")
     fitted = lc.ChargeFitter("y", 2, {"hidden": (4,), "epochs": 2, "least_steps": 5}).fit(data)
     assert fitted.predict(data).count() == 25 and fitted.describe()["networks"] == 2 and json.dumps(fitted.config)
+
+
+def test_development_curve_and_its_cache(spark, frame, data, tmp_path):
+    x, y = data
+    sets = frame.where("id < 60").select(F.lit(0).alias("seed"), F.lit(60).alias("n_train"), "id")
+    held = {"rest": frame.where("id >= 60").select("id"), "few": frame.where("id >= 110").select("id")}
+    recipes = {"mean": pl.Recipe("mean"), "ridge": pl.Recipe("ridge").with_settings(alpha=1.0)}
+    path = str(tmp_path / "cache")
+    first = {(r.model, r.eval_set): r for r in pl.development_curve(frame, sets, held, NAMES, "y", recipes, path).collect()}
+    assert first["mean", "rest"].mae == pytest.approx(np.abs(y[:60].mean() - y[60:]).mean()) and first["ridge", "few"].n_eval == 10
+    again = {(r.model, r.eval_set): r.mae for r in pl.development_curve(frame, sets, held, NAMES, "y", recipes, path).collect()}
+    assert again == {k: r.mae for k, r in first.items()} and spark.read.parquet(path).count() == 4
+    with pytest.raises(ValueError, match="evaluation set"):
+        pl.development_curve(frame, sets, {"bad": sets.select("id")}, NAMES, "y", recipes)
