@@ -10,9 +10,11 @@ from __future__ import annotations
 import re
 import zlib
 
-#: Hash buckets of words, and the three buckets of what is no word: numbers, runs of letters and digits, pieces with neither.
+#: Hash buckets of words (from FIRST_WORD on), and four that name no word: numbers, runs of letters and digits, pieces with
+#: neither, and words that one of the NEAR words before is too.
 BUCKETS = 1 << 18
-NUMBER, MIXED, MARK = 0, 1, 2
+NUMBER, MIXED, MARK, REPEATED, FIRST_WORD = range(5)
+NEAR = 4
 #: A segment that surely is a sentence has so many words, so large a share of letters, and a stop.
 SURE_WORDS, SURE_LETTERS = 6, 0.6
 #: Bits of a segment's kind: its first occurrence in the text, surely a sentence, surely without a stop.
@@ -39,7 +41,7 @@ class Buckets(dict):
         if any(map(str.isdigit, run)):
             found = NUMBER if not any(map(str.isalpha, run)) else MIXED
         else:
-            found = 3 + zlib.crc32(run.encode("utf-8", "surrogatepass")) % (BUCKETS - 3)
+            found = FIRST_WORD + zlib.crc32(run.encode("utf-8", "surrogatepass")) % (BUCKETS - FIRST_WORD)
         self[run] = found
         return found
 
@@ -99,10 +101,12 @@ def describe(text: str) -> tuple[tuple[float, ...], list[int], list[int], list[i
             segment = " ".join(pieces)
             runs = runs_of(segment)
             at = list(map(_BUCKETS.__getitem__, runs))
-            words = [run for run, bucket in zip(runs, at) if bucket > MARK]
+            words = [run for run, bucket in zip(runs, at) if bucket >= FIRST_WORD]
             n, letters = len(words), sum(map(len, words))
             n_words += n
             word_chars += letters
+            if len(set(at)) < len(at):
+                at = [REPEATED if b >= FIRST_WORD and b in at[max(0, k - NEAR) : k] else b for k, b in enumerate(at)]
             at += [MARK] * (len(pieces) - len(runs))
             buckets += at
             key = segment.rstrip(".!?…").lower()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.prose import BUCKETS, FIRST, MARK, OPEN, SURE, describe
+from tessera.llm.prose import BUCKETS, FIRST, FIRST_WORD, OPEN, SURE, describe
 from tessera.llm.prose import STATISTICS as LAYOUT
 from tessera.llm.tables import read
 from tessera.plans.lineage import cut
@@ -104,7 +104,7 @@ def word_weights(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     a, b = max(sure.sum(), 1.0) / rest, max(open_.sum(), 1.0) / rest
     weights = np.log((sure + NEUTRAL * a) / (open_ + NEUTRAL * b)) - np.log(a / b)
     often = seen >= COMMON * max(1.0, seen.sum())
-    often[: MARK + 1] = False
+    often[:FIRST_WORD] = False
     return weights.astype(np.float32), often
 
 

@@ -338,12 +338,13 @@ def test_prose_is_told_by_what_the_corpus_says(spark):
         1000: SENTENCES[0].upper(), 1001: "> " + SENTENCES[1][:40] + "\n> " + SENTENCES[1][40:], 1002: "- " + SENTENCES[2] + "\n- " + SENTENCES[3],
         1003: SENTENCES[0].lower().rstrip("."), 1004: (SENTENCES[0] + "\n") * 9, 1005: SENTENCES[4] + "\n\n" + "\n".join("lamp of the town" for _ in range(3)),
         1006: "a,b,c\n1,2,3\n4,5,6", 1007: "aa233c48 dd7b2934a946ee08 07ce f68d9831826fb1a1", 1008: "qjx zrtk. " * 40,
+        1009: "harbour lamp\n" * 60, 1010: "the village, the village, " * 50,
     }
     rows = [(k, t, "en") for k, t in enumerate(prose + lists)] + [(k, t, None) for k, t in odd.items()]
     stats = quality.text_statistics(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang")
     got = {r.doc_id: r.prose_ratio for r in stats.collect()}
     assert min(got[k] for k in range(150)) > 0.9 and max(got[k] for k in range(150, 210)) < 0.1
-    assert all(got[k] > 0.9 for k in (1000, 1001, 1002, 1003)) and all(got[k] < 0.5 for k in (1004, 1006, 1007, 1008)) and 0.5 < got[1005] < 0.9
+    assert all(got[k] > 0.9 for k in (1000, 1001, 1002, 1003)) and all(got[k] < 0.5 for k in (1004, 1006, 1007, 1008, 1009, 1010)) and 0.5 < got[1005] < 0.9
 
 
 def test_flags_survive_odd_input(spark):
