@@ -20,6 +20,15 @@ def stored(monkeypatch):
     return seen
 
 
+def test_latent_charge_stores_no_atoms(spark, stored):
+    from tessera.plans.q_tables import q57_latent_charge
+    from tessera.plans.views import molecules
+
+    known = molecules(spark, SMALL, "r", "mu").where("mu is not null and size(r) = 3 * size(z)")
+    assert q57_latent_charge(spark, SMALL).count() == known.count()
+    assert stored and not {"x", "features", "pos", "edges"} & {c for columns in stored for c in columns}
+
+
 def test_atom_subset_stores_elements_only(spark, stored):
     from tessera.plans.q_tables import q86_atom_subset
 
