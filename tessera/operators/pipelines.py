@@ -18,10 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import boosting
+from tessera.operators import boosting, summed
 from tessera.operators.linear import KRR_ALPHAS, RIDGE_ALPHAS, rbf_grid
 from tessera.operators.quantum import default_qubits, gamma_grid
 from tessera.operators.statistics import mutual_information
+from tessera.plans.lineage import cut
 
 #: Rows, and numbers, that a training set may have.
 MAX_ROWS, MAX_CELLS = 200_000, 50_000_000
@@ -306,11 +307,20 @@ def fit(recipe: Recipe, x: np.ndarray, y: np.ndarray, candidates: list[dict] | N
 # job tables
 
 
+def clean_rows(rows: DataFrame, features: list[str], y: str, *more: str) -> DataFrame:
+    """(id, features, y, more...) without null or NaN rows, numbers as doubles."""
+    return rows.select("id", *[F.col(c).cast("double").alias(c) for c in [*features, y]], *more).dropna()
+
+
+def _too_many(n: int, features: list[str]) -> bool:
+    return n > MAX_ROWS or n * len(features) > MAX_CELLS
+
+
 def training_arrays(rows: DataFrame, features: list[str], y: str, *more: str) -> tuple[np.ndarray, ...]:
     """(ids, x, y, more...) in order of id, null or NaN rows left out; refused beyond MAX_ROWS rows or MAX_CELLS numbers."""
-    clean = rows.select("id", *[F.col(c).cast("double").alias(c) for c in [*features, y]], *more).dropna()
+    clean = clean_rows(rows, features, y, *more)
     n = clean.count()
-    if n > MAX_ROWS or n * len(features) > MAX_CELLS:
+    if _too_many(n, features):
         raise ValueError(f"a training set of {n} rows x {len(features)} columns is larger than one task holds")
     table = clean.toArrow().sort_by("id")
     columns = lambda names: np.stack([table.column(c).to_numpy() for c in names], 1) if len(table) else np.zeros((0, len(names)))
@@ -358,7 +368,10 @@ class CVResult:
 def _pooled(oof: DataFrame) -> DataFrame:
     """Errors of every candidate over all its out-of-fold predictions, each row predicted once."""
     e = F.col("pred") - F.col("y")
-    by_fold = oof.groupBy("recipe", "candidate", "fold").agg(F.count("*").alias("n"), F.sum(F.abs(e)).alias("a"), F.sum(e * e).alias("s"))
+    return _over_folds(oof.groupBy("recipe", "candidate", "fold").agg(F.count("*").alias("n"), F.sum(F.abs(e)).alias("a"), F.sum(e * e).alias("s")))
+
+
+def _over_folds(by_fold: DataFrame) -> DataFrame:
     return by_fold.groupBy("recipe", "candidate").agg(
         (F.sum("a") / F.sum("n")).alias("mae"), F.sqrt(F.sum("s") / F.sum("n")).alias("rmse"), F.stddev_samp(F.col("a") / F.col("n")).alias("fold_sd"), F.sum("n").alias("n_eval")
     )
@@ -368,9 +381,17 @@ def tune(rows: DataFrame, recipes: dict[str, tuple[Recipe, list[dict]]], feature
     """Cross-validation of every candidate of every recipe on the same folds.
 
     rows: id, fold, y and features; a row with fold -1 is always trained on (a holdout is folds 0 and -1). Each id must be
-    there once. One job per (recipe, fold) fits its scaling and reduction once for all candidates.
+    there once. One job per (recipe, fold) fits its scaling and reduction once for all candidates. Beyond what one task holds,
+    recipes that `summed` knows are fitted from sums over the table; others are refused there.
     """
-    ids, x, t, fold = training_arrays(rows, features, y, "fold")
+    clean = cut(clean_rows(rows, features, y, "fold"))
+    if _too_many(clean.count(), features) and all(summed.knows(recipe) for recipe, _ in recipes.values()):
+        if not clean.groupBy("id").count().where("count > 1").isEmpty():
+            raise ValueError("a row is validated more than once")
+        fitted = summed.fit_folds(clean, recipes, features, y)
+        oof = summed.out_of_fold(clean, fitted, features, y).select("recipe", "candidate", "id", "fold", "pred")
+        return CVResult(oof, _over_folds(summed.errors_by_fold(clean, fitted, features, y)), {name: grid or [{}] for name, (_, grid) in recipes.items()})
+    ids, x, t, fold = training_arrays(clean, features, y, "fold")
     if len(np.unique(ids)) != len(ids):
         raise ValueError("a row is validated more than once")
     grids = {name: grid or [{}] for name, (_, grid) in recipes.items()}
@@ -500,8 +521,14 @@ def permutation_importance_cv(rows: DataFrame, recipe: Recipe, features: list[st
     """(feature, rise): mean rise of the validation error when a feature's values change places, over folds and repeats.
 
     rows: id, fold, y and features. One job per (fold, feature); the order of values depends on (seed, fold, feature, repeat).
+    Beyond what one task holds, a recipe that `summed` knows is fitted from sums and values change places by hashed orders.
     """
-    shared = training_arrays(rows, features, y, "fold")
+    clean = cut(clean_rows(rows, features, y, "fold"))
+    if _too_many(clean.count(), features) and summed.knows(recipe):
+        fitted = summed.fit_folds(clean, {"own": (recipe, [{}])}, features, y)
+        rises = summed.permuted_errors(clean, fitted, features, y, repeats, seed)
+        return rises.groupBy("feature").agg(F.avg("rise").alias("rise"))
+    shared = training_arrays(clean, features, y, "fold")
     jobs = [{"fold": int(f), "feature": j} for f in np.unique(shared[3]) for j in range(len(features))]
 
     def work(job: dict, ids, x, t, fold) -> Iterator[tuple]:

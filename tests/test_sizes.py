@@ -35,3 +35,32 @@ def test_atom_subset_stores_elements_only(spark, stored):
     rows = sorted(q86_atom_subset(spark, SMALL).collect(), key=lambda r: -r.id)
     assert [r.first for r in rows] == np.cumsum([0, *[r.n for r in rows]])[:-1].tolist()
     assert stored and not {"x", "features", "edges"} & {c for columns in stored for c in columns}
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((600, 4)) * [1, 10, 0.1, 3] + [0, 100, 5, 0]
+    x[7, 1], x[:, 3] = 1e4, x[:, 0] * 2 + 0.1 * x[:, 3]
+    y = np.maximum(3 + x[:, 0] + 0.05 * x[:, 1] + rng.standard_normal(600) * 0.3, 0)
+    return spark.createDataFrame([(k, int(k % 5) - (k % 5 == 4) * 5, *map(float, r), float(t)) for k, (r, t) in enumerate(zip(x, y))], "id bigint, fold int, a double, b double, c double, d double, y double")
+
+
+NAMES = ["a", "b", "c", "d"]
+
+
+def test_tuning_beyond_one_task_is_the_same(rows, monkeypatch):
+    from tessera.operators import pipelines as pl
+
+    recipes = {"mean": pl.build("mean", 4), "linear": pl.build("linear", 4), "ridge": pl.build("ridge", 4, target="sqrt"), "pca": pl.build("ridge", 4, reduction=("pca", 2)), "pls": pl.build("ridge", 4, reduction=("pls", 2), target="log1p"), "none": pl.build("ridge", 4, "none")}
+    wanted = pl.tune(rows, recipes, NAMES, "y")
+    monkeypatch.setattr(pl, "MAX_ROWS", 100)
+    found = pl.tune(rows, recipes, NAMES, "y")
+    key = lambda r: (r.recipe, r.candidate)
+    for a, b in zip(sorted(wanted.candidates.collect(), key=key), sorted(found.candidates.collect(), key=key), strict=True):
+        assert key(a) == key(b) and a.n_eval == b.n_eval == 480 and (a.mae, a.rmse, a.fold_sd) == pytest.approx((b.mae, b.rmse, b.fold_sd), rel=1e-7)
+    assert found.best_oof().where("recipe = 'pca'").count() == 480
+    with pytest.raises(ValueError, match="more than once"):
+        pl.tune(rows.union(rows), recipes, NAMES, "y")
+    with pytest.raises(ValueError, match="larger than one task"):
+        pl.tune(rows, {"rf": pl.build("rf", 4)}, NAMES, "y")
