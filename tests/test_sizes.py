@@ -64,3 +64,13 @@ def test_tuning_beyond_one_task_is_the_same(rows, monkeypatch):
         pl.tune(rows.union(rows), recipes, NAMES, "y")
     with pytest.raises(ValueError, match="larger than one task"):
         pl.tune(rows, {"rf": pl.build("rf", 4)}, NAMES, "y")
+
+
+def test_pca_curve_beyond_one_task(rows, monkeypatch):
+    from tessera.operators import pipelines as pl
+
+    curve = lambda: {(r.k, r.pca): (r.mae, r.hyperparams) for r in pl.pca_cv_curve(rows, NAMES, "y", [1, 2, 4]).collect()}
+    wanted = curve()
+    monkeypatch.setattr(pl, "MAX_ROWS", 100)
+    found = curve()
+    assert set(found) == set(wanted) and all(found[k][0] == pytest.approx(wanted[k][0], rel=1e-7) and found[k][1] == wanted[k][1] for k in wanted)
