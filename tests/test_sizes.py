@@ -74,3 +74,13 @@ def test_pca_curve_beyond_one_task(rows, monkeypatch):
     monkeypatch.setattr(pl, "MAX_ROWS", 100)
     found = curve()
     assert set(found) == set(wanted) and all(found[k][0] == pytest.approx(wanted[k][0], rel=1e-7) and found[k][1] == wanted[k][1] for k in wanted)
+
+
+def test_importance_beyond_one_task(rows, monkeypatch):
+    from tessera.operators import pipelines as pl
+
+    recipe, rows = pl.Recipe("ridge").with_settings(alpha=1.0), rows.withColumn("fold", (F.col("id") % 5).cast("int"))
+    wanted = {r.feature: r.rise for r in pl.permutation_importance_cv(rows, recipe, NAMES, "y", 3).collect()}
+    monkeypatch.setattr(pl, "MAX_ROWS", 100)
+    found = {r.feature: r.rise for r in pl.permutation_importance_cv(rows, recipe, NAMES, "y", 3).collect()}
+    assert set(found) == set(NAMES) and all(found[k] == pytest.approx(wanted[k], rel=0.2, abs=0.02) for k in NAMES)
