@@ -15,6 +15,8 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from tessera.plans.lineage import cut
 
 #: Rows, and numbers, that a training set may have.
 MAX_ROWS, MAX_CELLS = 200_000, 50_000_000
+#: Bytes of fitted models that are sent to the rows at a time.
+SENT = 1 << 26
 
 Apply = Callable[[np.ndarray], np.ndarray]
 
@@ -461,7 +465,7 @@ def curve_table(result: CVResult) -> DataFrame:
 
 def development_curve(table: DataFrame, train_sets: DataFrame, eval_sets: dict[str, DataFrame], features: list[str], y: str, recipes: dict[str, Recipe], cache: str | None = None, tail: float = 9.0) -> DataFrame:
     """(seed, n_train, model, eval_set, mae, rmse, rmse_below_tail, r2, bias, n_eval): every recipe fitted on every training
-    set and scored on every evaluation set, as one job table.
+    set and scored on every evaluation set. The fits are one job table; evaluation rows stay where they are and may be any number.
 
     train_sets: (seed, n_train, id); eval_sets: (id) by name. A row that a fit trains on must not be in an evaluation set
     (ValueError). With `cache`, results lie as Parquet under the hash of (seed, size, recipe, features, target, evaluation
@@ -470,32 +474,33 @@ def development_curve(table: DataFrame, train_sets: DataFrame, eval_sets: dict[s
     from tessera.operators.provenance import config_hash
 
     spark = table.sparkSession
-    wanted = train_sets.select("id")
-    for rows in eval_sets.values():
-        wanted = wanted.unionByName(rows.select("id"))
-    ids, x, t = training_arrays(table.join(wanted.distinct(), "id", "left_semi"), features, y)
-    place = lambda rows: np.flatnonzero(np.isin(ids, rows.select("id").distinct().toArrow().column("id").to_numpy()))
-    held = {name: place(rows) for name, rows in eval_sets.items()}
-    frame = train_sets.select("seed", "n_train", "id").distinct().toArrow().to_pandas()
+    clean = cut(clean_rows(table, features, y))
+    members = train_sets.select("seed", "n_train", "id").distinct()
+    train = clean.join(members.select("id").distinct(), "id", "left_semi")
+    ids, x, t = training_arrays(train, features, y)
+    frame = members.toArrow().to_pandas()
     sets = {f"{seed}:{n}": np.flatnonzero(np.isin(ids, part["id"].to_numpy())) for (seed, n), part in frame.groupby(["seed", "n_train"])}
-    if any(len(np.intersect1d(a, b)) for a in sets.values() for b in held.values()):
+    held = spark.createDataFrame([], "id bigint, eval_set string")
+    for name, rows in eval_sets.items():
+        held = held.unionByName(rows.select("id", F.lit(name).alias("eval_set")).distinct())
+    if not train.join(held, "id", "left_semi").isEmpty():
         raise ValueError("a training row is in an evaluation set")
     jobs = [{"set": s, "model": m, "key": config_hash({"set": s, "recipe": r.describe(), "features": features, "y": y, "sets": sorted(eval_sets)})} for s in sets for m, r in recipes.items()]
     schema = "key string, seed int, n_train int, model string, eval_set string, mae double, rmse double, rmse_below_tail double, r2 double, bias double, n_eval bigint"
     stored = spark.read.schema(schema).parquet(cache) if cache and _there(spark, cache) else spark.createDataFrame([], schema)
     known = {r.key for r in stored.select("key").distinct().collect()}
 
-    def work(job: dict, ids, x, t, sets, held) -> Iterator[tuple]:
+    def work(job: dict, ids, x, t, sets) -> Iterator[tuple]:
         at = sets[job["set"]]
-        fitted = fit(recipes[job["model"]], x[at], t[at])
-        seed, n = job["set"].split(":")
-        for name, rows in held.items():
-            e, v = fitted.predict(x[rows])[:, 0] - t[rows], t[rows]
-            below, spread = v < tail, ((v - v.mean()) ** 2).sum() if len(v) else 0.0
-            mean = lambda a: float(a.mean()) if len(a) else math.nan
-            yield job["key"], int(seed), int(n), job["model"], name, mean(np.abs(e)), math.sqrt(mean(e * e)), math.sqrt(mean(e[below] ** 2)), float(1 - (e * e).sum() / spread) if spread else math.nan, mean(e), len(rows)
-
-    fresh = run_jobs(spark, [j for j in jobs if j["key"] not in known], work, (ids, x, t, sets, held), schema)
+        yield job["key"], cloudpickle.dumps(fit(recipes[job["model"]], x[at], t[at]))
+
+    todo = [j for j in jobs if j["key"] not in known]
+    scores = _held_out_errors(run_jobs(spark, todo, work, (ids, x, t, sets), "key string, fitted binary"), clean.join(held, "id"), features, y, tail)
+    cells = [(j["key"], *map(int, j["set"].split(":")), j["model"], name) for j in todo for name in eval_sets]
+    nan = F.lit(math.nan)
+    fresh = spark.createDataFrame(cells, "key string, seed int, n_train int, model string, eval_set string").join(scores, ["key", "eval_set"], "left").select(
+        "key", "seed", "n_train", "model", "eval_set", *[F.coalesce(c, nan).alias(c) for c in ("mae", "rmse", "rmse_below_tail", "r2", "bias")], F.coalesce("n_eval", F.lit(0)).cast("bigint").alias("n_eval")
+    )
     if cache:
         fresh.write.mode("append").parquet(cache)
         stored = spark.read.schema(schema).parquet(cache)
@@ -504,6 +509,38 @@ def development_curve(table: DataFrame, train_sets: DataFrame, eval_sets: dict[s
     return stored.unionByName(fresh).dropDuplicates(["key", "eval_set"]).join(F.broadcast(mine), "key", "left_semi").drop("key")
 
 
+def _held_out_errors(models: DataFrame, rows: DataFrame, features: list[str], y: str, tail: float) -> DataFrame:
+    """(key, eval_set, mae, rmse, rmse_below_tail, r2, bias, n_eval) of models (key, fitted) on rows (features, y, eval_set) of
+    any number: the models are sent to the rows, as many at a time as SENT bytes hold, and one at least."""
+    models = cut(models)
+    batches: list[list[str]] = []
+    room = 0
+    for r in models.select("key", F.length("fitted").alias("n")).orderBy("key").collect():
+        if r.n > room or not batches:
+            batches.append([])
+            room = SENT
+        batches[-1].append(r.key)
+        room -= r.n
+    out = None
+    for keys in batches or [[]]:
+        sent = rows.sparkSession.sparkContext.broadcast({r.key: bytes(r.fitted) for r in models.where(F.col("key").isin(keys)).collect()})
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            fitted = {key: cloudpickle.loads(value) for key, value in sent.value.items()}
+            for batch in batches:
+                v, t = summed.matrix(batch, features), batch.column(y).to_numpy()
+                for key, model in fitted.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(t), pa.string()), batch.column("eval_set"), pa.array(model.predict(v)[:, 0] - t), pa.array(t)], ["key", "eval_set", "e", "v"])
+
+        part = rows.select(*features, y, "eval_set").mapInArrow(run, "key string, eval_set string, e double, v double")
+        out = part if out is None else out.unionByName(part)
+    e, spread = F.col("e"), F.var_pop("v") * F.count("*")
+    return out.groupBy("key", "eval_set").agg(
+        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.avg(F.when(F.col("v") < tail, e * e))).alias("rmse_below_tail"),
+        F.when(spread > 0, 1 - F.sum(e * e) / spread).alias("r2"), F.avg(e).alias("bias"), F.count("*").alias("n_eval"),
+    )
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

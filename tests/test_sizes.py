@@ -84,3 +84,19 @@ def test_importance_beyond_one_task(rows, monkeypatch):
     monkeypatch.setattr(pl, "MAX_ROWS", 100)
     found = {r.feature: r.rise for r in pl.permutation_importance_cv(rows, recipe, NAMES, "y", 3).collect()}
     assert set(found) == set(NAMES) and all(found[k] == pytest.approx(wanted[k], rel=0.2, abs=0.02) for k in NAMES)
+
+
+def test_development_curve_scores_any_number_of_rows(rows, monkeypatch):
+    from tessera.operators import pipelines as pl
+
+    sets = rows.where("id < 80").select(F.lit(0).alias("seed"), F.lit(80).alias("n_train"), "id")
+    held = {"rest": rows.where("id >= 80").select("id"), "none": rows.where("id < 0").select("id"), "few": rows.where("id >= 590").select("id")}
+    recipes = {"mean": pl.Recipe("mean"), "rbf": pl.Recipe("rbf_krr").with_settings(alpha=0.1, gamma=0.2)}
+    monkeypatch.setattr(pl, "MAX_ROWS", 100)
+    monkeypatch.setattr(pl, "SENT", 10)
+    found = {(r.model, r.eval_set): r for r in pl.development_curve(rows, sets, held, NAMES, "y", recipes).collect()}
+    _, x, t = (np.array(v) for v in zip(*[(r.id, [r[c] for c in NAMES], r.y) for r in rows.orderBy("id").collect()]))
+    e = pl.fit(recipes["rbf"], x[:80], t[:80], [{}]).predict(x[80:])[:, 0] - t[80:]
+    r = found["rbf", "rest"]
+    assert (r.mae, r.rmse, r.bias, r.r2, r.n_eval) == pytest.approx((np.abs(e).mean(), np.sqrt((e**2).mean()), e.mean(), 1 - (e**2).sum() / ((t[80:] - t[80:].mean()) ** 2).sum(), 520))
+    assert len(found) == 6 and found["mean", "none"].n_eval == 0 and np.isnan(found["mean", "none"].mae) and found["mean", "few"].n_eval == 10
