@@ -10,13 +10,15 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
+from multiprocessing.connection import Client, Listener
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import BarrierTaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -702,6 +704,56 @@ def sample_params(space: tuple, rng: np.random.Generator) -> dict:
     return {name: draws[kind](low, high) for name, kind, low, high in space}
 
 
+def _table_edges(rows: DataFrame, features: list[str]) -> list[np.ndarray]:
+    """boosting.bin_edges of a table's columns: distinct values are counted, quantiles exact."""
+    from tessera.operators.statistics import ordered_counts, quantiles_of, unpivot
+
+    ordered = cut(ordered_counts(unpivot(rows, features), ["column"], "value"))
+    few = ordered.groupBy("column").agg(F.count("*").alias("n")).where(F.col("n") <= boosting.BINS).select("column")
+    values = {r.column: np.array(sorted(r.v)) for r in ordered.join(few, "column").groupBy("column").agg(F.collect_list("value").alias("v")).collect()}
+    shares = np.linspace(0, 1, boosting.BINS + 1)[1:-1].tolist()
+    cuts = {r.column: np.unique(np.array(r.q)) for r in quantiles_of(ordered.join(few, "column", "left_anti"), ["column"], "value", shares).collect()}
+    return [(values[c][:-1] + values[c][1:]) / 2 if c in values else cuts[c] for c in features]
+
+
+def _together(spread: DataFrame, features: list[str], y: str, work: Callable, schema: str) -> DataFrame:
+    """The rows that work(ids, x, t, fold, add) yields in the first task; all tasks run it side by side, each on its part."""
+    types = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    kinds = {name: types[kind] for name, kind in (part.split() for part in schema.split(", "))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        first, tasks = context.partitionId() == 0, len(context.getTaskInfos())
+        # the barrier's own exchange takes a second a call: it only tells where the first task listens
+        key = os.urandom(16)
+        listener = Listener(("0.0.0.0", 0), backlog=tasks, authkey=key) if first else None
+        told = context.allGather(f"{listener.address[1]}:{key.hex()}" if first else "")[0].split(":")
+        if first:
+            peers = dict((c.recv(), c) for c in [listener.accept() for _ in range(tasks - 1)])
+        else:
+            upward = Client((context.getTaskInfos()[0].address.rsplit(":", 1)[0], int(told[0])), authkey=bytes.fromhex(told[1]))
+            upward.send(context.partitionId())
+
+        def add(sums: np.ndarray) -> np.ndarray:
+            own = np.ascontiguousarray(sums, float)
+            if not first:
+                upward.send_bytes(own.tobytes())
+                return np.frombuffer(upward.recv_bytes(), float).reshape(own.shape)
+            for k in sorted(peers):
+                own = own + np.frombuffer(peers[k].recv_bytes(), float).reshape(own.shape)
+            for peer in peers.values():
+                peer.send_bytes(own.tobytes())
+            return own
+
+        parts = [(b.column("id").to_numpy(), summed.matrix(b, features), b.column(y).to_numpy(), b.column("fold").to_numpy()) for b in batches]
+        parts = parts or [(np.zeros(0, np.int64), np.zeros((0, len(features))), np.zeros(0), np.zeros(0, np.int32))]
+        out = list(work(*map(np.concatenate, zip(*parts)), add))
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(kinds, zip(*out))], list(kinds))
+
+    return spread.mapInArrow(run, schema, barrier=True)
+
+
 @dataclass
 class BoostedFitter:
     """Random search with early stopping inside the training set; the winner grows as many trees as it needed on average,
@@ -728,7 +780,10 @@ class BoostedFitter:
         drawn = [sample_params(self.space, rng) for _ in range(self.trials)]
         n = rows.count()
         parts, self.tuning = _tuning_rows(rows, n, self.seed, self.cv_max_n, self.validation, self.most_validation)
-        shared = training_arrays(parts, self.features, self.y, "fold")
+        clean = cut(clean_rows(parts, self.features, self.y, "fold"))
+        if _too_many(n_clean := clean.count(), self.features):
+            return self._fit_together(clean, n_clean, drawn)
+        shared = training_arrays(clean, self.features, self.y, "fold")
         folds = np.unique(shared[3][shared[3] >= 0])
         forward, inverse = TARGETS[self.target]
         seed, most, patience = self.seed, self.most_trees, self.patience
@@ -743,16 +798,55 @@ class BoostedFitter:
 
         jobs = [{"trial": k, "fold": int(f)} for k in range(self.trials) for f in folds]
         cells = run_jobs(rows.sparkSession, jobs, work, shared, "trial int, fold int, n bigint, a double, trees int, inner bigint")
-        self.table = cells.groupBy("trial").agg((F.sum("a") / F.sum("n")).alias("mae"), F.avg("trees").alias("trees"), F.avg("inner").alias("inner")).orderBy("mae", "trial").collect()
-        best = self.table[0]
-        self.params, self.tuning_mae = drawn[best.trial], best.mae
         _, x, t, _ = shared
-        self.n_trees = max(1, math.ceil(best.trees * len(t) / best.inner))
+        self._choose(cells, drawn, len(t))
         z = forward(t)
         self.centre, self.scale = float(z.mean()), float(_spread(z.std()))
         self.model = boosting.grow(x, (z - self.centre) / self.scale, trees=self.n_trees, seed=self.seed, **self.params)
         return self
 
+    def _choose(self, cells: DataFrame, drawn: list[dict], n: int) -> None:
+        self.table = cells.groupBy("trial").agg((F.sum("a") / F.sum("n")).alias("mae"), F.avg("trees").alias("trees"), F.avg("inner").alias("inner")).orderBy("mae", "trial").collect()
+        best = self.table[0]
+        self.params, self.tuning_mae = drawn[best.trial], best.mae
+        self.n_trees = max(1, math.ceil(best.trees * n / best.inner))
+
+    def _fit_together(self, clean: DataFrame, n: int, drawn: list[dict]) -> BoostedFitter:
+        """The same search on rows that no task holds alone: each task of a barrier stage keeps a part, and all grow every tree
+        together from histograms that they add up."""
+        forward, inverse = TARGETS[self.target]
+        seed, most, patience = self.seed, self.most_trees, self.patience
+        folds = sorted(r.fold for r in clean.select("fold").where("fold >= 0").distinct().collect())
+        edges = {f: _table_edges(clean.where(F.col("fold") != f), self.features) for f in folds}
+        spread = cut(clean.repartition(clean.sparkSession.sparkContext.defaultParallelism))
+
+        def standard(z: np.ndarray, add: boosting.Add) -> tuple[float, float]:
+            total, k = add(np.array([z.sum(), len(z)]))
+            return float(total / k), float(_spread(np.sqrt(add(np.array([((z - total / k) ** 2).sum()]))[0] / k)))
+
+        def search(ids, x, t, fold, add) -> Iterator[tuple]:
+            for trial, params in enumerate(drawn):
+                for f in folds:
+                    held = fold == f
+                    z = forward(t[~held])
+                    m, s = standard(z, add)
+                    g = boosting.grow_together(x[~held], (z - m) / s, ids[~held], edges[f], add, trees=most, seed=seed, watch=(x[held], (forward(t[held]) - m) / s), patience=patience, **params)
+                    a, k, inner = add(np.array([np.abs(np.maximum(inverse(g.predict(x[held]) * s + m), 0) - t[held]).sum(), held.sum(), (~held).sum()]))
+                    yield trial, f, int(k), float(a), len(g.trees), int(inner)
+
+        cells = cut(_together(spread, self.features, self.y, search, "trial int, fold int, n bigint, a double, trees int, inner bigint"))
+        self._choose(cells, drawn, n)
+        whole, params, trees = _table_edges(clean, self.features), self.params, self.n_trees
+
+        def last(ids, x, t, fold, add) -> Iterator[tuple]:
+            z = forward(t)
+            m, s = standard(z, add)
+            yield (cloudpickle.dumps((m, s, boosting.grow_together(x, (z - m) / s, ids, whole, add, trees=trees, seed=seed, **params))),)
+
+        found = _together(spread, self.features, self.y, last, "model binary").collect()
+        self.centre, self.scale, self.model = cloudpickle.loads(bytes(found[0].model))
+        return self
+
     def predict(self, rows: DataFrame) -> DataFrame:
         """(id, pred), a narrow stage; NaN goes the way of small values in every split, null too."""
         model, m, s, names, inverse = self.model, self.centre, self.scale, self.features, TARGETS[self.target][1]

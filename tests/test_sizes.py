@@ -100,3 +100,17 @@ def test_development_curve_scores_any_number_of_rows(rows, monkeypatch):
     r = found["rbf", "rest"]
     assert (r.mae, r.rmse, r.bias, r.r2, r.n_eval) == pytest.approx((np.abs(e).mean(), np.sqrt((e**2).mean()), e.mean(), 1 - (e**2).sum() / ((t[80:] - t[80:].mean()) ** 2).sum(), 520))
     assert len(found) == 6 and found["mean", "none"].n_eval == 0 and np.isnan(found["mean", "none"].mae) and found["mean", "few"].n_eval == 10
+
+
+def test_boosted_trees_grow_together(rows, monkeypatch):
+    from tessera.operators import boosting
+    from tessera.operators import pipelines as pl
+
+    one = lambda: pl.BoostedFitter(NAMES, "y", trials=2, most_trees=30, patience=5, cv_max_n=50, space=(("max_depth", "int", 3, 4), ("subsample", "uniform", 1.0, 1.0), ("colsample", "uniform", 1.0, 1.0))).fit(rows.drop("fold"))
+    wanted = one()
+    monkeypatch.setattr(pl, "MAX_ROWS", 100)
+    monkeypatch.setattr(boosting, "CELLS", 100)
+    found = one()
+    assert found.params == wanted.params and found.n_trees == wanted.n_trees and found.tuning_mae == pytest.approx(wanted.tuning_mae)
+    both = found.predict(rows).toDF("id", "p").join(wanted.predict(rows), "id").collect()
+    assert len(both) == 600 and all(r.p == pytest.approx(r.pred) for r in both)
