@@ -19,8 +19,10 @@ from tessera.llm.components import connected_components
 from tessera.llm.tables import read
 from tessera.plans.lineage import cut
 
-#: Molecules whose tokens are shipped together; groups of one chunk, and of all, beyond which a token is too frequent to pair.
+#: Molecules whose tokens are shipped together; groups of one chunk, and of all, beyond which a token is frequent.
 CHUNK, LOCAL, HOLDERS = 4000, 16, 1000
+#: Slots of the filter that tells tasks which tokens are frequent; keys that a task makes at a time.
+SLOTS, PIECE = 1 << 18, 500_000
 #: Ids of a group that one task pairs with all others.
 BUCKET = 1000
 
@@ -97,7 +99,7 @@ def test_pairs(pairs: DataFrame, described: DataFrame) -> DataFrame:
 
 
 def _hot_in_chunk(t: np.ndarray, g: np.ndarray, local: int) -> np.ndarray:
-    """Tokens that more than `local` groups of a chunk hold: shipped as a few rows and a mark, whatever their number."""
+    """Tokens that more than `local` groups of a chunk hold: shipped as a mark, whatever their number."""
     order = np.lexsort((g, t))
     t, g = t[order], g[order]
     head = np.r_[True, (t[1:] != t[:-1]) | (g[1:] != g[:-1])]
@@ -105,50 +107,54 @@ def _hot_in_chunk(t: np.ndarray, g: np.ndarray, local: int) -> np.ndarray:
     return held[n > local]
 
 
-def _tokenize(tasks: int, level: int, local: int | None):
-    """Rows (id, e, p, component) to chunks (part, t, q, d, hot, lost) of little-endian numbers: tokens and for each its
-    query (and what the query wants), its group less the query, tokens known to be hot, and queries that hold those."""
+def _tokens_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Rows (id, e, p, component) to ids, their groups, what they want as queries, and tokens."""
+    ids = part.column(0).to_numpy()
+    own = np.where(part.column(3).is_null().to_numpy(zero_copy_only=False), ids, part.column(3).fill_null(0).to_numpy())
+    (e, p), n = (part.column(k).flatten().to_numpy() for k in (1, 2)), part.column(1).value_lengths().to_numpy()
+    cuts = np.cumsum(n)[:-1]
+    found = structures.tokens(np.split(e.astype(np.int64), cuts), np.split(p.astype(np.float64).reshape(-1, 3), cuts))
+    return ids, own, np.array([structures.wanted_overlap(k) for k in n], np.int64), found
+
+
+def _tokenize(tasks: int, local: int):
+    """Rows (id, e, p, component) to chunks (part, t, q, d, hot) of little-endian numbers: tokens and for each its query (and
+    what the query wants), its group less the query, and tokens known to be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(start, CHUNK)
-                ids = part.column(0).to_numpy()
-                own = np.where(part.column(3).is_null().to_numpy(zero_copy_only=False), ids, part.column(3).fill_null(0).to_numpy())
-                (e, p), n = (part.column(k).flatten().to_numpy() for k in (1, 2)), part.column(1).value_lengths().to_numpy()
-                cuts = np.cumsum(n)[:-1]
-                found = structures.tokens(np.split(e.astype(np.int64), cuts), np.split(p.astype(np.float64).reshape(-1, 3), cuts), level)
+                ids, own, wanted, found = _tokens_of(batch.slice(start, CHUNK))
                 row = np.repeat(np.arange(len(ids)), [len(t) for t in found])
                 t = np.concatenate(found)
-                wanted = np.array([structures.wanted_overlap(k) for k in n])
                 q, d = (ids * 4 + wanted)[row], (own - ids)[row]
-                hot = np.isin(t, _hot_in_chunk(t, own[row], local)) if local else np.zeros(len(t), bool)
+                hot = np.isin(t, _hot_in_chunk(t, own[row], local))
                 where = (t % np.uint64(tasks)).astype(np.int64)
                 order = np.argsort(where, kind="stable")  # the rows of one query stay together, which compresses well
                 rows = []
                 for piece in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
                     if len(piece):
                         plain, over = piece[~hot[piece]], piece[hot[piece]]
-                        rows.append((where[piece[0]], *[x.tobytes() for x in (t[plain], q[plain], d[plain], np.unique(t[over]), np.unique(q[over]))]))
+                        rows.append((where[piece[0]], *[x.tobytes() for x in (t[plain], q[plain], d[plain], np.unique(t[over]))]))
                 if rows:
                     first, *rest = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), *[pa.array(c, pa.binary()) for c in rest]], ["part", "t", "q", "d", "hot", "lost"])
+                    yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), *[pa.array(c, pa.binary()) for c in rest]], ["part", "t", "q", "d", "hot"])
 
     return run
 
 
-def _bounds(holders: int | None):
-    """Chunks of one part to (q, g, w) of every query and other group that share a token, once per token; g null: the query
-    holds a token that too many groups hold, and has to come again with finer tokens."""
+def _bounds(holders: int):
+    """Chunks of one part to (q, g, w) of every query and other group that share a token, once per token; g null: q is a
+    frequent token, which is not paired here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        parts: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            for k, kind in enumerate((np.uint64, np.int64, np.int64, np.uint64, np.int64)):
+            for k, kind in enumerate((np.uint64, np.int64, np.int64, np.uint64)):
                 parts[k] += [np.frombuffer(x, kind) for x in batch.column(k + 1).to_pylist()]
         if not parts[0]:
             return
-        t, q, d, hot, lost = (np.concatenate(x) for x in parts)
+        t, q, d, hot = (np.concatenate(x) for x in parts)
         w, q = q & 3, q >> 2
         g = q + d
         order = np.lexsort((g, t))
@@ -158,9 +164,9 @@ def _bounds(holders: int | None):
         begins = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
         ends = np.r_[begins[1:], len(t)]
         groups = np.searchsorted(heads, ends) - np.searchsorted(heads, begins)
-        over = np.isin(t[begins], hot) | (groups > (holders or len(t))) if len(t) else np.zeros(0, bool)
-        again = np.unique(np.concatenate([lost >> 2, *[q[b:e] for b, e in zip(begins[over], ends[over])]]))
-        yield _hits(again, None, np.zeros(len(again), np.int64))
+        over = np.isin(t[begins], hot) | (groups > holders) if len(t) else np.zeros(0, bool)
+        frequent = np.unique(np.concatenate([hot, t[begins[over]]]))
+        yield _hits(frequent.view(np.int64), None, np.zeros(len(frequent), np.int64))
         keep = ~over & (groups > 1)
         begins, ends = begins[keep], ends[keep]
         # within a run sorted by group: each row is a query of every smaller group's first row
@@ -187,26 +193,102 @@ def group_bounds(described: DataFrame, groups: DataFrame) -> DataFrame:
     groups: (node, component) of structures that are already grouped; all others are groups of their own. For two groups
     the members of the one with the larger name are the queries. Tokens are shuffled in chunks; each task sorts its tokens
     and pairs the queries of a token with the other groups that hold it, each group once however many members it has.
-    A token that more than HOLDERS groups hold pairs nobody. Its holders come again with tokens of one atom more, at the next
-    level, where a common subset of the pair still makes common tokens but chance no longer does; at the last level every
-    token pairs. Nothing is dropped: what a frequent token alone would have found, finer tokens find.
+    A token that more than HOLDERS groups hold is not paired there; what overlaps in such tokens is found by frequent_bounds,
+    so that the result does not depend on HOLDERS.
     """
     labelled = described.select("id", "e", "p").join(groups.toDF("id", "component"), "id", "left").select("id", "e", "p", "component")
-    found = None
-    for level in range(structures.LEVELS):
-        # tasks of about a million and a half tokens, which a Python worker sorts in memory; a stated number is not coalesced
-        tasks = max(int(described.sparkSession.conf.get("spark.sql.shuffle.partitions")), labelled.count() * 2 * structures.TOKENS // 1_500_000)
-        last = level == structures.LEVELS - 1
-        chunks = labelled.mapInArrow(_tokenize(tasks, level, None if last else LOCAL), "part int, t binary, q binary, d binary, hot binary, lost binary")
-        hits = chunks.repartitionById(tasks, "part").mapInArrow(_bounds(None if last else HOLDERS), "q bigint, g bigint, w int")
-        counted = cut(hits.groupBy("q", "g").agg(F.count("*").alias("n"), F.max("w").alias("w")).where("g is null or n >= w").select("q", "g"))
-        some = counted.where("g is not null")
-        found = some if found is None else found.unionByName(some)
-        again = counted.where("g is null").select(F.col("q").alias("id"))
-        if last or again.isEmpty():
-            break
-        labelled = cut(labelled.join(again, "id", "left_semi"))
-    return found.distinct()
+    # tasks of about a million and a half tokens, which a Python worker sorts in memory; a stated number is not coalesced
+    tasks = max(int(described.sparkSession.conf.get("spark.sql.shuffle.partitions")), labelled.count() * 2 * structures.TOKENS // 1_500_000)
+    chunks = labelled.mapInArrow(_tokenize(tasks, LOCAL), "part int, t binary, q binary, d binary, hot binary")
+    hits = chunks.repartitionById(tasks, "part").mapInArrow(_bounds(HOLDERS), "q bigint, g bigint, w int")
+    counted = cut(hits.groupBy("q", "g").agg(F.count("*").alias("n"), F.max("w").alias("w")).where("g is null or n >= w").select("q", "g"))
+    found = counted.where("g is not null")
+    slots = [r.s for r in counted.where("g is null").select(F.pmod("q", F.lit(SLOTS)).cast("int").alias("s")).distinct().collect()]
+    return found.unionByName(frequent_bounds(labelled, slots)).distinct() if slots else found
+
+
+def frequent_bounds(labelled: DataFrame, slots: list[int]) -> DataFrame:
+    """(q, g) as in group_bounds, of those that have a frequent token in common: one that falls in a slot of the filter.
+
+    A query that wants one token has each frequent one as a key, one that wants two has each frequent one together with each
+    other token of its own, and a group has both of its members' united tokens. Whoever overlaps as wanted, in a frequent token
+    among others, has a key in common; the second token of a key is what tells apart the many that hold the first. Keys
+    that many hold are split on both sides, so that a task pairs about BUCKET queries with BUCKET groups at a time.
+    """
+    frequent = np.zeros(SLOTS, bool)
+    frequent[slots] = True
+    lists = cut(labelled.mapInArrow(_listed(frequent), "id bigint, own bigint, w int, t array<bigint>"))
+    united = lists.select("own", F.explode("t").alias("t")).groupBy("own", "t").agg(F.count("*").alias("n")).groupBy("own").agg(F.collect_list("t").alias("t"))
+    queries = lists.select("id", "own", "w", "t").mapInArrow(_keys(frequent), "q bigint, own bigint, k array<bigint>").select("q", "own", F.explode("k").alias("k"))
+    holding = united.select(F.lit(None).cast("bigint").alias("id"), "own", F.lit(0).alias("w"), "t").mapInArrow(_keys(frequent), "q bigint, own bigint, k array<bigint>").select(F.col("own").alias("g"), F.explode("k").alias("k"))
+    parts = lambda rows, n: rows.groupBy("k").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias(n))
+    large = cut(parts(queries, "a").join(parts(holding, "b"), "k").where("a > 1 or b > 1"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    split = lambda rows: rows.join(large, "k", "left").withColumns({"a": F.coalesce("a", F.lit(1)), "b": F.coalesce("b", F.lit(1))})
+    left = split(queries).select("k", "q", "own", own("q", "a").alias("i"), every("b").alias("j"))
+    right = split(holding).select("k", "g", every("a").alias("i"), own("g", "b").alias("j"))
+    return left.join(right, ["k", "i", "j"]).where("g < own").select("q", "g")
+
+
+def _listed(frequent: np.ndarray):
+    """Rows (id, e, p, component) to (id, own, w, t) of the structures that may count in an overlap with a frequent token:
+    those that hold one, and all that are grouped with others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(start, CHUNK)
+                ids, own, wanted, found = _tokens_of(part)
+                alone = part.column(3).is_null().to_numpy(zero_copy_only=False)
+                at = np.array([k for k, t in enumerate(found) if not alone[k] or _is_frequent(t, frequent).any()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(own[at]), pa.array(wanted[at], pa.int32()), _lists([found[k] for k in at])], ["id", "own", "w", "t"])
+
+    return run
+
+
+def _keys(frequent: np.ndarray):
+    """Rows (id, own, w, t) to (q, own, k): the keys of frequent_bounds for queries; for groups (w = 0) those of either kind.
+    Lists are cut to about PIECE numbers, and a batch is no longer."""
+
+    def made(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for row, (w, values) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
+            t = values.values.to_numpy().view(np.uint64)
+            hot = t[_is_frequent(t, frequent)]
+            if w < 2:
+                yield row, hot
+            step = max(1, PIECE // max(1, len(t)))
+            for start in range(0, len(hot) if w != 1 else 0, step):
+                yield row, structures.pair_keys(hot[start : start + step], t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, parts, room = [], [], PIECE
+            for row, k in made(batch):
+                rows.append(row)
+                parts.append(k)
+                room -= len(k)
+                if room <= 0:
+                    yield _keyed(batch, rows, parts)
+                    rows, parts, room = [], [], PIECE
+            yield _keyed(batch, rows, parts)
+
+    return run
+
+
+def _keyed(batch: pa.RecordBatch, rows: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+    part = batch.take(pa.array(rows, pa.int64()))
+    return pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(parts)], ["q", "own", "k"])
+
+
+def _is_frequent(t: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    return frequent[(t % np.uint64(len(frequent))).astype(np.int64)]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """Unsigned numbers as lists of signed ones."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *parts])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in parts], dtype=np.int64)], pa.int32()), pa.array(flat.view(np.int64)))
 
 
 def alike_groups(atoms: DataFrame) -> DataFrame:

@@ -11,11 +11,11 @@ import numpy as np
 SHARE, TOLERANCE = 0.75, 0.15
 #: Width of the distance bins in tokens, and in tokens of two atoms; both come in two offsets.
 BIN, PAIR_BIN = 0.2, 2 * TOLERANCE
-#: Atoms of a token at the first level (each level has one more), of the subsets it grows from, and of the last level.
-ATOMS, ANCHOR, LEVELS = 5, 4, 3
+#: Atoms of a token, and of the subsets it grows from.
+ATOMS, ANCHOR = 5, 4
 #: Subsets to grow from, and tokens, that a molecule is meant to keep of each offset.
 ANCHORS, TOKENS = 32, 60
-#: Up to so many atoms, tokens of pairs (at each level of one atom more) are added; up to TINY there are no others.
+#: Up to so many atoms, tokens of pairs are added; up to TINY there are no others.
 PAIRS, TINY = 10, 6
 MARKS = 6
 
@@ -60,8 +60,8 @@ def _subsets(n: int, size: int) -> np.ndarray:
     return _SUBSETS[n, size]
 
 
-def _grown(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(molecule, token) of the kept subsets of ATOMS + level atoms.
+def _grown(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(molecule, token) of the kept subsets of ATOMS atoms.
 
     A subset's hash is the mixed sum of its pairs' hashes, so the order of atoms, rotation, reflection and translation do
     not change it. Subsets of ANCHOR atoms below a limit are kept, grown by every other atom, and thinned again.
@@ -76,7 +76,7 @@ def _grown(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     inside = np.zeros((len(mol), n), bool)
     np.put_along_axis(inside, atoms, True, 1)
     kept = min(ANCHORS, len(base))
-    for size in range(ANCHOR, ATOMS + level):
+    for size in range(ANCHOR, ATOMS):
         grown = total[:, None] + _to_members(hashes, mol, atoms)
         keep = ~inside & (_mix(grown) <= _limit(TOKENS, kept * (n - size)))
         row, atom = np.nonzero(keep)
@@ -88,7 +88,7 @@ def _grown(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         inside = inside[row]
         inside[np.arange(len(row)), atom] = True
         kept = min(TOKENS, kept * (n - size))
-    return mol, _mix(total + np.uint64(ATOMS + level))
+    return mol, _mix(total + np.uint64(ATOMS))
 
 
 def _to_members(hashes: np.ndarray, mol: np.ndarray, atoms: np.ndarray) -> np.ndarray:
@@ -99,12 +99,12 @@ def _to_members(hashes: np.ndarray, mol: np.ndarray, atoms: np.ndarray) -> np.nd
     return out
 
 
-def _small_tokens(element: np.ndarray, dist: np.ndarray, level: int) -> np.ndarray:
-    """Tokens of one small molecule: its atom if it is one, else all subsets of 2 + level atoms in both offsets (wide bins)."""
+def _small_tokens(element: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """Tokens of one small molecule: its atom if it is one, else all pairs of atoms in both offsets (wide bins)."""
     n = len(element)
     if n == 1:
         return _mix(element.astype(np.uint64) + np.uint64(11))
-    size = min(2 + level, n, small_size(n))
+    size = min(2, n)
     sets = _subsets(n, size)
     out = []
     for offset in (0, 1):
@@ -116,15 +116,10 @@ def _small_tokens(element: np.ndarray, dist: np.ndarray, level: int) -> np.ndarr
     return np.concatenate(out)
 
 
-def small_size(n: int) -> int:
-    """Atoms that a molecule of n atoms has in common with any that is alike: larger subsets might miss."""
-    return max(2, math.ceil(n * SHARE / (2 - SHARE) - 1e-9))
-
-
-def tokens(elements: list[np.ndarray], positions: list[np.ndarray], level: int = 0) -> list[np.ndarray]:
+def tokens(elements: list[np.ndarray], positions: list[np.ndarray]) -> list[np.ndarray]:
     """The distinct tokens of each molecule; molecules with equally many atoms are treated together.
 
-    All atoms take part alike. A token is a subset of ATOMS + level atoms, told by elements and binned distances, in two
+    All atoms take part alike. A token is a subset of ATOMS atoms, told by elements and binned distances, in two
     offsets of the bins; of a molecule's subsets a hashed part is kept, the same in every molecule that has the subset.
     """
     out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(elements)
@@ -139,17 +134,24 @@ def tokens(elements: list[np.ndarray], positions: list[np.ndarray], level: int =
             dist = _distances(np.stack([positions[k] for k in part]))
             parts: list[list[np.ndarray]] = [[] for _ in part]
             for offset in (0, 1) if n > TINY else ():
-                mol, token = _grown(_pair_hashes(e, dist, BIN, offset), level)
+                mol, token = _grown(_pair_hashes(e, dist, BIN, offset))
                 cuts = np.searchsorted(mol, np.arange(1, len(part)))
                 for m, found in enumerate(np.split(token, cuts)):
                     parts[m].append(found)
             for m, k in enumerate(part):
                 if n <= PAIRS:
-                    parts[m].append(_small_tokens(e[m], dist[m], level))
+                    parts[m].append(_small_tokens(e[m], dist[m]))
                 out[k] = np.unique(np.concatenate(parts[m])) if parts[m] else out[k]
     return out
 
 
+def pair_keys(some: np.ndarray, all_: np.ndarray) -> np.ndarray:
+    """A key of each two different tokens of which the first is one of some, in either order the same; each once."""
+    a, b = (x.ravel() for x in np.meshgrid(some, all_, indexing="ij"))
+    a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    return np.unique(_mix(a * _MIX + _mix(b + np.uint64(13))))
+
+
 def marks(own: np.ndarray) -> np.ndarray:
     """MARKS min-hashes of a token set."""
     h = own[None, :] * _MIX + _SEEDS[:, None]

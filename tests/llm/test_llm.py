@@ -172,6 +172,31 @@ def test_alike_groups_match_brute_force(spark, monkeypatch, holders):
     assert got == {x: root(x) for x in list(parent)}
 
 
+@pytest.mark.parametrize("holders, local", [(1, 1), (3, 2), (1000, 16)])
+def test_group_bounds_do_not_depend_on_frequent_tokens(spark, monkeypatch, holders, local):
+    rng = np.random.default_rng(6)
+    base = _molecules(rng, 24)[:12]
+    mols = []
+    for k in range(60):  # parts of common structures: tokens that many hold, and pairs with few in common
+        (e, p), (f, q) = (base[j] for j in rng.integers(0, len(base), 2))
+        n = int(rng.integers(4, 8))
+        mols.append((np.r_[e[:n], f[: 14 - n]], np.r_[p[:n], q[: 14 - n] + 4]) if k % 3 else (e[: n + 2], p[: n + 2]))
+    rows = [(i, 32 * i + k, int(a), *map(float, x)) for i, (e, pos) in enumerate(mols) for k, (a, x) in enumerate(zip(e, pos))]
+    described = alike.describe(spark.createDataFrame(rows, "id bigint, atom bigint, e tinyint, px float, py float, pz float"))
+    component = {0: 0, 7: 0, 12: 0, 20: 20, 21: 20}
+    tokens = [set(t.tolist()) for t in structures.tokens([e for e, _ in mols], [p.astype(np.float32).astype(float) for _, p in mols])]
+    own = [component.get(i, i) for i in range(len(mols))]
+    united = {g: set().union(*[tokens[i] for i in range(len(mols)) if own[i] == g]) for g in own}
+    shared = {(q, g): len(tokens[q] & united[g]) for q in range(len(mols)) for g in united if g < own[q]}
+    wanted = {(q, g) for (q, g), n in shared.items() if n >= structures.wanted_overlap(len(mols[q][0]))}
+    assert len({n for n in shared.values()} & {0, 1, 2, 3}) == 4 and 20 < len(wanted) < len(shared)
+    for name, value in (("HOLDERS", holders), ("LOCAL", local), ("BUCKET", 3)):
+        monkeypatch.setattr(alike, name, value)
+    monkeypatch.setattr(alike, "PIECE", 50, raising=False)
+    groups = spark.createDataFrame(list(component.items()), "node bigint, component bigint")
+    assert {(r.q, r.g) for r in alike.group_bounds(described, groups).collect()} == wanted
+
+
 def test_alike_at_bin_edges_and_with_one_common_token(spark):
     rng = np.random.default_rng(8)
     grid = 1.4 * np.array([(a, b, c) for a in range(3) for b in range(2) for c in range(2)], float)
